@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analytics this library rebuilds are batch jobs: they read whole input
+tables, train, and score.  There is no watermark, window, trigger or state
+to reproduce, so this package holds no operators.  A scored-customers table
+written by ``plans.scoring`` can be read by any Structured Streaming job
+with ``spark.readStream`` if incremental consumers are needed.
+"""
