@@ -41,13 +41,13 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataF
 def pr_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 4) -> DataFrame:
     """Trapezoidal area under the PR curve, closed at (recall 0, precision 1)."""
     c = _score_counts(df, label, score, descending=True)
-    p_total = c.agg(F.sum("_pos")).scalar()
     tp, fp = F.col("_pos_cum"), F.col("_neg_cum")
     tp0, fp0 = tp - F.col("_pos"), fp - F.col("_neg")
     prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     prec0 = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
-    area = F.try_divide(F.col("_pos"), p_total) * (prec + prec0) / 2.0
-    return c.agg(F.round(F.sum(area), digits).alias("pr_auc"))
+    # recall steps are pos / P, so the area is sum(pos * mean precision) / P
+    area = F.try_divide(F.sum(F.col("_pos") * (prec + prec0) / 2.0), F.sum("_pos"))
+    return c.agg(F.round(area, digits).alias("pr_auc"))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 4) -> DataFrame:
@@ -88,12 +88,16 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
         (F.sum(F.col("precision") * F.col("support")) / total).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / total).alias("wr"),
         (F.sum(F.col("f1_score") * F.col("support")) / total).alias("wf"))
+    def row(name, p, r, f):
+        return F.struct(F.lit(name).alias("class"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1_score"),
+                        F.col("n").cast("bigint").alias("support"))
+
     rows = summary.select(F.inline(F.array(
-        F.struct(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1_score"),
-                 F.col("n").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")))))
-    out = per.select("class", "precision", "recall", "f1_score", "support").unionByName(rows)
+        row("accuracy", F.lit(None), F.lit(None), F.col("acc")),
+        row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
+        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))))
+    out = per.select("class", "precision", "recall", "f1_score",
+                     F.col("support").cast("bigint").alias("support")).unionByName(rows)
     return out.select("class", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1_score")],
                       F.col("support").cast("bigint").alias("support"))

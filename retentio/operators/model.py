@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -133,7 +134,7 @@ def build_pipeline(df: DataFrame, cols: list[str], opts: ModelOptions, label: st
         scalar_cols = [c for c in cols if not isinstance(df.schema[c].dataType, T.ArrayType)]
         stages.append(median_imputer(df, scalar_cols))
     prepared, inputs = _assembler_inputs(df, cols)
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error"))
     feat = "_features"
     if opts.scale:
         stages.append(StandardScaler(inputCol=feat, outputCol="_scaled", withMean=True, withStd=True))
@@ -161,8 +162,13 @@ def fit(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
         weight_col: str | None = None) -> PipelineModel:
     data = fill_features(df, cols).withColumn(label, F.col(label).cast("double"))
     pipe, prepared = build_pipeline(data, cols, opts, label, weight_col)
-    keep = [c for c in prepared.columns]
-    return pipe.fit(stable_layout(prepared.select(*keep), opts.fit_partitions))
+    # The fit makes several passes (scaler statistics, split candidates,
+    # bagging); keep the prepared rows instead of recomputing the features.
+    data = stable_layout(prepared, opts.fit_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipe.fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, cols: list[str], dim: int | None = None,

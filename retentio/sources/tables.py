@@ -43,8 +43,8 @@ def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
     for c in str_cols:
         v = F.col(c)
         checks += [
-            F.sum(F.when(v.isNotNull() & F.try_cast(v, "bigint").isNull(), 1).otherwise(0)).alias(f"{c}__l"),
-            F.sum(F.when(v.isNotNull() & F.try_cast(v, "double").isNull(), 1).otherwise(0)).alias(f"{c}__d"),
+            F.sum(F.when(v.isNotNull() & v.try_cast("bigint").isNull(), 1).otherwise(0)).alias(f"{c}__l"),
+            F.sum(F.when(v.isNotNull() & v.try_cast("double").isNull(), 1).otherwise(0)).alias(f"{c}__d"),
             F.sum(F.when(v.isNotNull(), 1).otherwise(0)).alias(f"{c}__n"),
         ]
     stats = df.agg(*checks).first().asDict()
