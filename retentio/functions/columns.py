@@ -78,15 +78,22 @@ def whole_days_between(later, earlier) -> Column:
     return F.floor(diff / F.lit(MICROS_PER_DAY)).cast("bigint")
 
 
+# Fixed value: decimal places kept exactly by exact_mean (money has 2-4).
+MEAN_SCALE_DIGITS = 4
+
+
 def exact_mean(c, scale: int = 6) -> Column:
-    """Mean of a money-like column summed exactly in decimal, rounded to ``scale``.
+    """Mean of a money-like column, summed exactly, rounded to ``scale``.
 
-    Summing in ``decimal(38,4)`` makes the result independent of row order
-    (partition layout), so reruns and other engines agree to the last digit.
+    Values are summed as integers of 1e-4 units (a 64-bit sum, codegen'd and
+    exact), so the result does not depend on row order or partition layout
+    and agrees with a DECIMAL sum in other engines.  Per-group sums must stay
+    below 9.2e14 units of the column.
     """
     col = as_column(c)
-    s = F.sum(col.cast("decimal(38,4)")).cast("double")
-    return F.round(s / F.count(col), scale)
+    unit = 10 ** MEAN_SCALE_DIGITS
+    total = F.sum(F.round(col.cast("double") * unit).cast("bigint")).cast("double") / F.lit(float(unit))
+    return F.round(total / F.count(col), scale)
 
 
 def clip01(c) -> Column:

@@ -43,6 +43,10 @@ class ModelOptions:
     folds: int = 5
     test_fraction: float = 0.2
     fit_partitions: int | None = None
+    # execution knobs (do not change what is learned, only how): node
+    # statistics memory per pass and node-id caching for deep trees
+    max_memory_mb: int = 1024
+    cache_node_ids: bool = True
 
 
 @dataclass
@@ -143,7 +147,8 @@ def build_pipeline(df: DataFrame, cols: list[str], opts: ModelOptions, label: st
     rf = RandomForestClassifier(featuresCol=feat, labelCol=label, numTrees=opts.n_estimators,
                                 maxDepth=depth, maxBins=opts.max_bins, seed=opts.seed,
                                 probabilityCol="_probability", rawPredictionCol="_raw",
-                                predictionCol="_prediction")
+                                predictionCol="_prediction", maxMemoryInMB=opts.max_memory_mb,
+                                cacheNodeIds=opts.cache_node_ids)
     if weight_col:
         rf.setWeightCol(weight_col)
     stages.append(rf)

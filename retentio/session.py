@@ -43,6 +43,19 @@ def get_spark(master: str | None = None, app_name: str = "retentio",
     return spark
 
 
+def checkpoint_base(spark: SparkSession) -> str:
+    """The shared checkpoint folder: ``spark.checkpoint.dir`` / the context's
+    checkpoint dir; only when neither is set (local tests) a temp folder."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir()
+    if not base:
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        base = conf or tempfile.mkdtemp(prefix="retentio-ckpt-")
+        sc.setCheckpointDir(base)
+        base = sc.getCheckpointDir() or base
+    return base
+
+
 def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
@@ -50,12 +63,7 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     dir).  Only when neither is set — local tests — a directory under the
     system temp folder is created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="retentio-ckpt-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+    base = checkpoint_base(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
     sub = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
