@@ -364,7 +364,7 @@ def q_train_and_score(spark, d):
 @query("cross_validated_scores")
 def q_cross_validated_scores(spark, d):
     model, meta, metrics = _train(spark, d, ModelOptions(cv=True))
-    return metrics["cv_pr_auc"]
+    return metrics["cv_scores"]
 
 
 @query("model_roundtrip")

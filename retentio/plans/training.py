@@ -54,8 +54,18 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
     stratified k-fold out-of-fold scores -> PR AUC, then a final fit on all
     rows.  Oversampling touches only the data a model is fit on (never the
     rows it is evaluated on)."""
+    from retentio.session import checkpoint_base
+    checkpoint_base(df.sparkSession)
+    df = fill_features(df, cols, dim).select(KEY, LABEL, *cols)
+    # Assign folds / the hold-out split once and checkpoint the labelled rows:
+    # the guard, every fit and every evaluation then read this table instead
+    # of recomputing features, embeddings and ranks.
+    if opts.cv:
+        df = stratified_folds(df, LABEL, KEY, opts.folds, opts.seed)
+    else:
+        df = stratified_split(df, LABEL, KEY, opts.test_fraction, opts.seed)
+    df = df.checkpoint(eager=True)
     require_two_classes(df, LABEL)
-    df = fill_features(df, cols, dim)
     metrics: dict[str, DataFrame] = {"diagnostics": training_diagnostics(df, cols)}
 
     def prepare(part: DataFrame) -> tuple[DataFrame, str | None]:
@@ -64,26 +74,27 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         return _weights(part, opts)
 
     if opts.cv:
-        folded = stratified_folds(df, LABEL, KEY, opts.folds, opts.seed).persist()
         parts = []
         for k in range(opts.folds):
-            tr, w = prepare(folded.where(F.col("fold") != k))
+            tr, w = prepare(df.where(F.col("fold") != k).drop("fold"))
             m = fit(tr, cols, opts, LABEL, w)
-            parts.append(_scores(m, folded.where(F.col("fold") == k), cols, dim)
+            parts.append(_scores(m, df.where(F.col("fold") == k), cols, dim)
                          .select(KEY, LABEL, "score", "prediction"))
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
+        oof = oof.checkpoint(eager=True)  # five model transforms, evaluated once
+        metrics["cv_scores"] = oof
         metrics["cv_pr_auc"] = pr_auc(oof, LABEL, "score")
-        full, w = prepare(df)
+        full, w = prepare(df.drop("fold"))
         model = fit(full, cols, opts, LABEL, w)
-        folded.unpersist()
         return model, metrics
 
-    split = stratified_split(df, LABEL, KEY, opts.test_fraction, opts.seed)
-    tr, w = prepare(split.where(F.col("split") == "train").drop("split"))
+    tr, w = prepare(df.where(F.col("split") == "train").drop("split"))
     model = fit(tr, cols, opts, LABEL, w)
-    test = _scores(model, split.where(F.col("split") == "test"), cols, dim)
+    test = (_scores(model, df.where(F.col("split") == "test").drop("split"), cols, dim)
+            .select(KEY, LABEL, "score", "prediction").checkpoint(eager=True))
+    metrics["test_scores"] = test
     metrics["classification_report"] = classification_report(test, LABEL, "prediction")
     metrics["roc_auc"] = roc_auc(test, LABEL, "score")
     return model, metrics
