@@ -63,15 +63,18 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(FEATURE_PREFIXES)]
 
 
-def fill_features(df: DataFrame, cols: list[str], dim: int | None = None) -> DataFrame:
-    """Missing feature values -> 0 (P4); a missing vector -> zero vector."""
+def fill_features(df: DataFrame, cols: list[str], dim: int | None = None, scalars: bool = True) -> DataFrame:
+    """Missing feature values -> 0 (P4); a missing vector -> zero vector.
+    ``scalars=False`` leaves scalar NULLs to a median-imputer stage."""
     exprs = {}
     for c in cols:
         if isinstance(df.schema[c].dataType, T.ArrayType):
             if dim is not None:
                 exprs[c] = F.coalesce(F.col(c), F.array_repeat(F.lit(0.0).cast("float"), dim))
-        else:
+        elif scalars:
             exprs[c] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        else:
+            exprs[c] = F.col(c).cast("double")
     return df.withColumns(exprs) if exprs else df
 
 
@@ -102,18 +105,19 @@ def _assembler_inputs(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[s
     return out, names
 
 
-def median_imputer(df: DataFrame, cols: list[str]) -> SQLTransformer:
-    """Fitted exact-median imputer as a SQLTransformer whose medians are
-    literals, so it persists inside the PipelineModel (M3)."""
+def median_imputer(df: DataFrame, cols: list[str]) -> tuple[SQLTransformer, dict[str, str]]:
+    """Fitted exact-median imputer (M3): a SQLTransformer adding
+    ``_imp_<c> = coalesce(c, <median>)`` with the medians as literals, so it
+    persists inside the PipelineModel and keeps every other column.  Returns
+    the stage and the column -> imputed column mapping."""
     meds = {}
     for c in cols:
         row = exact_percentiles(df, c, [0.5], names=["m"]).first()
         meds[c] = row["m"] if row is not None else None
     fills = ", ".join(
-        f"coalesce(`{c}`, {repr(float(m)) if m is not None else 'CAST(NULL AS DOUBLE)'}) AS `{c}`" for c, m in meds.items())
-    keep = ", ".join(f"`{c}`" for c in df.columns if c not in meds)
-    sel = ", ".join(x for x in (keep, fills) if x)
-    return SQLTransformer(statement=f"SELECT {sel} FROM __THIS__")
+        f"coalesce(`{c}`, {repr(float(m)) if m is not None else 'CAST(NULL AS DOUBLE)'}) AS `_imp_{c}`"
+        for c, m in meds.items())
+    return SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"), {c: f"_imp_{c}" for c in cols}
 
 
 def standardize(df: DataFrame, cols: list[str], ddof: int = 0) -> DataFrame:
@@ -134,10 +138,13 @@ def build_pipeline(df: DataFrame, cols: list[str], opts: ModelOptions, label: st
                    weight_col: str | None = None) -> tuple[Pipeline, DataFrame]:
     """VectorAssembler -> [StandardScaler] -> RandomForestClassifier."""
     stages = []
+    prepared, inputs = _assembler_inputs(df, cols)
     if opts.missing == "median":
         scalar_cols = [c for c in cols if not isinstance(df.schema[c].dataType, T.ArrayType)]
-        stages.append(median_imputer(df, scalar_cols))
-    prepared, inputs = _assembler_inputs(df, cols)
+        if scalar_cols:
+            stage, mapping = median_imputer(df, scalar_cols)
+            stages.append(stage)
+            inputs = [mapping.get(c, c) for c in inputs]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="error"))
     feat = "_features"
     if opts.scale:
@@ -165,7 +172,8 @@ def stable_layout(df: DataFrame, partitions: int | None = None, key: str = KEY)
 
 def fit(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
         weight_col: str | None = None) -> PipelineModel:
-    data = fill_features(df, cols).withColumn(label, F.col(label).cast("double"))
+    data = fill_features(df, cols, scalars=opts.missing != "median")
+    data = data.withColumn(label, F.col(label).cast("double"))
     pipe, prepared = build_pipeline(data, cols, opts, label, weight_col)
     # The fit makes several passes (scaler statistics, split candidates,
     # bagging); keep the prepared rows instead of recomputing the features.
@@ -179,7 +187,8 @@ def fit(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
 def predict(model: PipelineModel, df: DataFrame, cols: list[str], dim: int | None = None,
             score_col: str = "risk_score", prediction_col: str | None = None) -> DataFrame:
     """Positive-class probability (M13) as ``score_col``; internal columns dropped."""
-    data = fill_features(df, cols, dim)
+    imputes = any(isinstance(st, SQLTransformer) for st in model.stages)
+    data = fill_features(df, cols, dim, scalars=not imputes)
     prepared, _ = _assembler_inputs(data, cols)
     out = model.transform(prepared)
     out = out.withColumn(score_col, vector_to_array(F.col("_probability"))[1])

@@ -87,6 +87,16 @@ def q_raw_preview(spark, d):
     return preview(driver.orders(spark, d), "order_id", 200)
 
 
+@query("raw_preview_feedback", sql.with_(sql.FEEDBACK) + "SELECT * FROM f ORDER BY feedback_id LIMIT 200")
+def q_raw_preview_feedback(spark, d):
+    return preview(driver.feedback(spark, d), "feedback_id", 200)
+
+
+@query("raw_preview_delivery", sql.with_(sql.DELIVERY) + "SELECT * FROM d ORDER BY order_id, line_number LIMIT 200")
+def q_raw_preview_delivery(spark, d):
+    return preview(driver.delivery(spark, d), ["order_id", "line_number"], 200)
+
+
 @query("predictions_export", sql.FULL_SCORED + f"SELECT {', '.join(SCORED_COLS)} FROM sc")
 def q_predictions_export(spark, d):
     path = scratch_dir(spark, "predictions")
@@ -224,6 +234,18 @@ def q_training_diagnostics(spark, d):
     return lab.training_diagnostics(t, ["recency", "frequency", "monetary", "on_time_rate", "avg_delay_hours"])
 
 
+@query("feature_sample", sql.FULL + """
+SELECT customer_id, coalesce(CAST(recency AS DOUBLE), 0.0) AS recency, coalesce(CAST(frequency AS DOUBLE), 0.0) AS frequency,
+       coalesce(monetary, 0.0) AS monetary, coalesce(on_time_rate, 0.0) AS on_time_rate,
+       coalesce(avg_delay_hours, 0.0) AS avg_delay_hours, is_at_risk
+FROM tgt ORDER BY customer_id LIMIT 5""")
+def q_feature_sample(spark, d):
+    """First rows of the filled feature matrix with the label (M14's sample)."""
+    cols = ["recency", "frequency", "monetary", "on_time_rate", "avg_delay_hours"]
+    t = fill_features(target(spark, d), cols)
+    return preview(t.select(KEY, *cols, lab.LABEL), KEY, 5)
+
+
 # ---------------------------------------------------------------- embeddings and feature alignment
 
 @query("embedding_widen", "SELECT CAST(vec_id AS VARCHAR) AS customer_id, " + sql.emb_cols(64, "embedding") +
@@ -329,6 +351,12 @@ def q_pr_auc(spark, d):
     return met.pr_auc(_scored_target(spark, d), lab.LABEL, "score")
 
 
+@query("pr_curve", sql.PR_CURVE)
+def q_pr_curve(spark, d):
+    c = met.pr_curve(_scored_target(spark, d), lab.LABEL, "score")
+    return c.select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 @query("roc_auc", sql.ROC_AUC)
 def q_roc_auc(spark, d):
     return met.roc_auc(_scored_target(spark, d), lab.LABEL, "score")

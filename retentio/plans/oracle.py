@@ -27,7 +27,8 @@ ORDERS = """o AS (
 DELIVERY = """d AS (
   SELECT CAST(od.o_custkey AS VARCHAR) AS customer_id,
          (l.l_shipdate <= od.o_orderdate) AS on_time,
-         CAST(greatest(date_diff('day', CAST(od.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)), 0) * 24 AS DOUBLE) AS delay_hours
+         CAST(greatest(date_diff('day', CAST(od.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)), 0) * 24 AS DOUBLE) AS delay_hours,
+         l.l_orderkey AS order_id, l.l_linenumber AS line_number
   FROM lineitem l JOIN orders od ON l.l_orderkey = od.o_orderkey)"""
 
 FEEDBACK = """f AS (
@@ -168,3 +169,12 @@ SELECT customer_id, is_at_risk, CAST(NULL AS BIGINT) AS draw FROM b
 UNION ALL
 SELECT b.customer_id, b.is_at_risk, CAST(draws.j AS BIGINT) AS draw
 FROM draws JOIN b ON b.is_at_risk = draws.cls AND b.rk = draws.pick"""
+
+PR_CURVE = f"""{with_(FEATURE_CTES, TARGET)}, s AS (
+  SELECT {PSEUDO} AS sc, is_at_risk FROM tgt),
+g AS (
+  SELECT sc, CAST(count(*) FILTER (WHERE is_at_risk = 1) AS BIGINT) AS pos,
+         CAST(count(*) FILTER (WHERE is_at_risk <> 1) AS BIGINT) AS neg FROM s GROUP BY sc),
+c AS (SELECT sc, sum(pos) OVER (ORDER BY sc DESC) AS tp, sum(neg) OVER (ORDER BY sc DESC) AS fp FROM g)
+SELECT sc AS threshold, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+       round(tp / (SELECT sum(pos) FROM g), 6) AS recall FROM c"""

@@ -56,7 +56,7 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
     rows it is evaluated on)."""
     from retentio.session import checkpoint_base
     checkpoint_base(df.sparkSession)
-    df = fill_features(df, cols, dim).select(KEY, LABEL, *cols)
+    df = fill_features(df, cols, dim, scalars=opts.missing != "median").select(KEY, LABEL, *cols)
     # Assign folds / the hold-out split once and checkpoint the labelled rows:
     # the guard, every fit and every evaluation then read this table instead
     # of recomputing features, embeddings and ranks.

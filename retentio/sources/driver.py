@@ -29,12 +29,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: customer_id, on_time (bool), delay_hours (double).
+    """One row per line item: customer_id, on_time (bool), delay_hours (double),
+    plus order_id and line_number (the row key, used by previews).
 
     Line items are joined to their order on the order key (a shuffle join on
     both sides at scale; no broadcast of a growing table).
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     ship = F.col("l_shipdate").cast("date")
@@ -43,6 +44,8 @@ def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("customer_id"),
         (F.col("l_shipdate") <= F.col("o_orderdate")).alias("on_time"),
         (F.greatest(F.datediff(ship, ordered), F.lit(0)) * 24).cast("double").alias("delay_hours"),
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line_number"),
     )
 
 
