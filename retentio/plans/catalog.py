@@ -248,6 +248,18 @@ def q_feature_sample(spark, d):
 
 # ---------------------------------------------------------------- embeddings and feature alignment
 
+@query("features_without_inputs", sql.with_(sql.ORDERS, sql.AGG) + """
+SELECT customer_id, coalesce(days_since_last_order, 999) AS recency, coalesce(num_orders_90d, 0) AS frequency,
+       coalesce(avg_order_value, (SELECT median(avg_order_value) FROM agg)) AS monetary,
+       CAST(NULL AS DOUBLE) AS on_time_rate, CAST(NULL AS DOUBLE) AS avg_delay_hours,
+       0.0 AS risk_score, 'Unknown' AS risk_label,
+       CAST(NULL AS DOUBLE) AS avg_rating, CAST(0 AS BIGINT) AS negative_feedback_count FROM agg""")
+def q_features_without_inputs(spark, d):
+    """Orders only: no delivery table, no feedback table, no model (P18, P10)."""
+    f = feat.tabular_features(driver.orders(spark, d), None, as_of=AS_OF)
+    return score_customers(f, None, feedback=None)
+
+
 @query("embedding_widen", "SELECT CAST(vec_id AS VARCHAR) AS customer_id, " + sql.emb_cols(64, "embedding") +
        " FROM embeddings")
 def q_embedding_widen(spark, d):

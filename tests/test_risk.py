@@ -46,3 +46,21 @@ def test_score_with_and_ratings(spark):
     out = {r["customer_id"]: r for r in score_with(feats, F.lit(0.75), fb).collect()}
     assert out["1"]["risk_label"] == "High" and out["1"]["negative_feedback_count"] == 1
     assert out["2"]["avg_rating"] is None and out["2"]["negative_feedback_count"] is None
+
+
+def test_feature_columns_by_prefix(spark):
+    from retentio.operators.model import feature_columns
+    df = spark.createDataFrame([("1", 1, 1, 1.0, 0.5, 2.0, 4.0, 3.0, 0, [1.0])],
+                               "customer_id string, recency long, frequency long, monetary double, "
+                               "on_time_rate double, avg_delay_hours double, rating double, avg_rating double, "
+                               "is_at_risk int, emb_vector array<float>")
+    assert feature_columns(df) == ["recency", "frequency", "monetary", "on_time_rate", "avg_delay_hours",
+                                   "emb_vector"]
+
+
+def test_alignment_adds_zero_columns(spark):
+    from retentio.operators.model import align_features
+    df = spark.createDataFrame([("1", 3.0)], "customer_id string, recency double")
+    out, added = align_features(df, ["recency", "monetary", "emb_vector"], dim=2)
+    r = out.first()
+    assert added == ["monetary", "emb_vector"] and r.monetary == 0.0 and list(r.emb_vector) == [0.0, 0.0]
