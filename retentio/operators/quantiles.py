@@ -42,14 +42,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
 
     vals = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     vals = quantile_bucket(vals, "_v", buckets=buckets)
-    cum = running_totals(vals, ["_v"], ["_cnt"], by=by, bucket="_b")
-    n_col = F.sum("_cnt")
-    if by:
-        sizes = vals.groupBy(*by).agg(n_col.alias("_n"))
-        # one row per group (``by`` must be a low-cardinality grouping)
-        cum = cum.join(F.broadcast(sizes), by, "inner")
-    else:
-        cum = cum.withColumn("_n", vals.agg(n_col).scalar())
+    # the group size comes with the bucket offsets (no extra pass or join)
+    cum = running_totals(vals, ["_v"], ["_cnt"], by=by, bucket="_b", with_totals=True)
+    cum = cum.withColumnRenamed("_cnt_total", "_n")
     start = F.col("_cnt_cum") - F.col("_cnt")
     aggs = []
     for i, p in enumerate(probs):

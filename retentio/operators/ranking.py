@@ -33,9 +33,11 @@ def hash_int(*parts) -> Column:
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str],
-                   by: Sequence[str] = (), bucket: str = "_b", suffix: str = "_cum") -> DataFrame:
+                   by: Sequence[str] = (), bucket: str = "_b", suffix: str = "_cum",
+                   with_totals: bool = False) -> DataFrame:
     """Add ``<c><suffix>`` = inclusive running sum of ``c`` in ``order_by``
-    order within ``by`` groups, for each ``c`` in ``sums``.
+    order within ``by`` groups, for each ``c`` in ``sums`` (and, with
+    ``with_totals``, ``<c>_total`` = the group's whole sum).
 
     ``bucket`` must be non-decreasing in ``order_by`` within a group, and
     ``order_by`` must be unique within a group.  The bucket-total table is
@@ -45,8 +47,10 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str],
     by = list(by)
     totals = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sums])
     w_off = Window.partitionBy(*by).orderBy(bucket) if by else Window.orderBy(bucket)
+    w_all = Window.partitionBy(*by)
     offsets = totals.select(*by, bucket, *[
-        (F.sum(f"_bt_{c}").over(w_off) - F.col(f"_bt_{c}")).alias(f"_off_{c}") for c in sums])
+        (F.sum(f"_bt_{c}").over(w_off) - F.col(f"_bt_{c}")).alias(f"_off_{c}") for c in sums],
+        *([F.sum(f"_bt_{c}").over(w_all).alias(f"{c}_total") for c in sums] if with_totals else []))
     w_in = (Window.partitionBy(*by, bucket).orderBy(*order_by)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = df.join(offsets, [*by, bucket], "inner")
@@ -55,17 +59,21 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str],
 
 
 def bucketed_rank(df: DataFrame, by: Sequence[str] | str, key: str, seed: int = 42,
-                  rank_col: str = "rank", prefix_digits: int = HASH_PREFIX_DIGITS) -> DataFrame:
+                  rank_col: str = "rank", prefix_digits: int = HASH_PREFIX_DIGITS,
+                  size_col: str | None = None) -> DataFrame:
     """0-based rank of each row inside its ``by`` group in md5(key:seed) order
-    (ties on the hash broken by ``key``).
+    (ties on the hash broken by ``key``); ``size_col`` adds the group size.
 
     Equals ``row_number() over (partition by <by> order by md5(key||':'||seed), key) - 1``.
     """
     by = [by] if isinstance(by, str) else list(by)
     h = hash_order(key, seed)
     d = df.withColumns({"_h": h, "_b": F.substring(h, 1, prefix_digits), "_one": F.lit(1).cast("bigint")})
-    r = running_totals(d, ["_h", key], ["_one"], by=by, bucket="_b")
-    return r.withColumn(rank_col, F.col("_one_cum") - 1).drop("_h", "_b", "_one", "_one_cum")
+    r = running_totals(d, ["_h", key], ["_one"], by=by, bucket="_b", with_totals=size_col is not None)
+    r = r.withColumn(rank_col, F.col("_one_cum") - 1)
+    if size_col is not None:
+        r = r.withColumnRenamed("_one_total", size_col)
+    return r.drop("_h", "_b", "_one", "_one_cum")
 
 
 def quantile_bucket(df: DataFrame, value: str, buckets: int = 1024, out: str = "_b",

@@ -35,9 +35,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = KEY, test_fra
                      seed: int = SEED, split_col: str = "split") -> DataFrame:
     """Add ``split`` in {'train', 'test'}: per class, the first
     round(test_fraction * n_class) rows in md5(key:seed) order are test."""
-    r = bucketed_rank(df, label, key, seed, rank_col="_rk")
-    # class-count table: one row per class, so broadcasting it is bounded
-    r = r.join(F.broadcast(class_counts(df, label)), label, "inner")
+    r = bucketed_rank(df, label, key, seed, rank_col="_rk", size_col="class_n")
     n_test = F.floor(F.col("class_n") * F.lit(test_fraction) + F.lit(0.5))
     return (r.withColumn(split_col, F.when(F.col("_rk") < n_test, "test").otherwise("train"))
             .drop("_rk", "class_n"))
