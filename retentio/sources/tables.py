@@ -18,11 +18,13 @@ NA_TOKENS = (
     "nan", "null",
 )
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType | str | None):
-    r = spark.read.options(**CSV_OPTIONS)
+def _csv_reader(spark: SparkSession, schema: T.StructType | str | None, multiline: bool = True):
+    # multiLine keeps quoted newlines inside one field, but a multiLine file is
+    # read by one task: at scale keep such inputs as many files (or Parquet).
+    r = spark.read.options(**CSV_OPTIONS).option("multiLine", "true" if multiline else "false")
     if schema is not None:
         return r.schema(schema)
     return r.option("inferSchema", "false")
@@ -61,19 +63,22 @@ def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None, optional: bool = False,
-               infer_types: bool = True, key: str | None = "customer_id") -> DataFrame | None:
+               infer_types: bool = True, key: str | None = "customer_id",
+               multiline: bool = True) -> DataFrame | None:
     """Read a CSV or Parquet table.
 
     CSV: header row, quoted fields may hold newlines and doubled quotes; NA
     tokens become NULL; without a schema each text column gets the narrowest
     numeric type all its values parse as.  NaN becomes NULL, and the entity key
     is cast to string.  ``optional=True`` returns None for a missing path
-    instead of raising (the dashboard's behaviour).
+    instead of raising (the dashboard's behaviour).  ``multiline=False``
+    makes large single CSV files splittable when no field holds a newline;
+    passing ``schema`` skips the type-inference pass.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     try:
         if fmt == "csv":
-            df = _csv_reader(spark, schema).csv(path)
+            df = _csv_reader(spark, schema, multiline).csv(path)
             df = _normalise_na_and_types(df, infer=infer_types and schema is None)
         else:
             df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
