@@ -160,7 +160,7 @@ def q_delivery_delay_only(spark, d):
 
 
 @query("delivery_on_time_only", sql.with_(sql.DELIVERY) + f"""
-SELECT customer_id, {sql.mean('CAST(on_time AS INTEGER)')} AS on_time_rate, 0.0 AS avg_delay_hours
+SELECT customer_id, {sql.mean('CAST(on_time AS INTEGER)')} AS on_time_rate, CAST(0.0 AS DOUBLE) AS avg_delay_hours
 FROM d WHERE customer_id IS NOT NULL GROUP BY customer_id""")
 def q_delivery_on_time_only(spark, d):
     return feat.delivery_metrics(driver.delivery(spark, d).drop("delay_hours"))
@@ -252,7 +252,7 @@ def q_feature_sample(spark, d):
 SELECT customer_id, coalesce(days_since_last_order, 999) AS recency, coalesce(num_orders_90d, 0) AS frequency,
        coalesce(avg_order_value, (SELECT median(avg_order_value) FROM agg)) AS monetary,
        CAST(NULL AS DOUBLE) AS on_time_rate, CAST(NULL AS DOUBLE) AS avg_delay_hours,
-       0.0 AS risk_score, 'Unknown' AS risk_label,
+       CAST(0.0 AS DOUBLE) AS risk_score, 'Unknown' AS risk_label,
        CAST(NULL AS DOUBLE) AS avg_rating, CAST(0 AS BIGINT) AS negative_feedback_count FROM agg""")
 def q_features_without_inputs(spark, d):
     """Orders only: no delivery table, no feedback table, no model (P18, P10)."""
@@ -280,7 +280,7 @@ def q_embedding_join(spark, d):
 SELECT customer_id, CAST(coalesce(days_since_last_order, 999) AS DOUBLE) AS recency,
        CAST(coalesce(num_orders_90d, 0) AS DOUBLE) AS frequency,
        coalesce(avg_order_value, (SELECT median(avg_order_value) FROM agg)) AS monetary,
-       0.0 AS on_time_rate, 0.0 AS avg_delay_hours FROM agg""")
+       CAST(0.0 AS DOUBLE) AS on_time_rate, CAST(0.0 AS DOUBLE) AS avg_delay_hours FROM agg""")
 def q_feature_alignment(spark, d):
     base = feat.tabular_features(driver.orders(spark, d), None, as_of=AS_OF).select(
         KEY, "recency", "frequency", "monetary")
@@ -426,7 +426,7 @@ def q_risk_labels(spark, d):
 
 
 @query("unknown_labels", sql.with_(sql.FEATURE_CTES) +
-       "SELECT customer_id, 0.0 AS risk_score, 'Unknown' AS risk_label FROM feat")
+       "SELECT customer_id, CAST(0.0 AS DOUBLE) AS risk_score, 'Unknown' AS risk_label FROM feat")
 def q_unknown_labels(spark, d):
     return score_customers(features_wide(spark, d), None).select(KEY, SCORE, "risk_label")
 
