@@ -23,7 +23,7 @@ def _score_counts(df: DataFrame, label: str, score: str, descending: bool) -> Da
     # order key: ascending score, or descending via negation
     g = g.withColumn("_o", -F.col("_s") if descending else F.col("_s"))
     g = quantile_bucket(g, "_o")
-    return running_totals(g, ["_o"], ["_pos", "_neg"], bucket="_b")
+    return running_totals(g, ["_o"], ["_pos", "_neg"], bucket="_b", with_totals=True)
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -31,11 +31,10 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataF
     thresholds), as in a precision-recall curve; the closing point
     (recall 0, precision 1) is implicit."""
     c = _score_counts(df, label, score, descending=True)
-    p_total = c.agg(F.sum("_pos")).scalar()
     tp, fp = F.col("_pos_cum"), F.col("_neg_cum")
     return c.select(F.col("_s").alias("threshold"),
                     F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("precision"),
-                    F.coalesce(F.try_divide(tp, p_total), F.lit(1.0)).alias("recall"))
+                    F.coalesce(F.try_divide(tp, F.col("_pos_total")), F.lit(1.0)).alias("recall"))
 
 
 def pr_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 4) -> DataFrame:

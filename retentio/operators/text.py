@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +113,3 @@ def widen(df: DataFrame, dim: int, column: str = EMBEDDING, prefix: str = "emb_"
     """Replace the vector column by ``emb_0 .. emb_{dim-1}`` (export only)."""
     others = [c for c in df.columns if c != column]
     return df.select(*others, *[F.col(column)[i].alias(f"{prefix}{i}") for i in range(dim)])
-
-
-def as_ml_vector(column: str = EMBEDDING):
-    return array_to_vector(F.col(column))

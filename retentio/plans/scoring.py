@@ -33,7 +33,7 @@ def scored_customers(spark: SparkSession, orders: DataFrame, delivery: DataFrame
 def main(argv=None):
     from retentio.session import get_spark
     from retentio.sources.tables import read_table, write_predictions
-    from retentio.operators.text import EMBEDDING
+    from retentio.operators.text import EMBEDDING, widen
 
     p = argparse.ArgumentParser(description="Score every customer and export predictions")
     p.add_argument("--orders", required=True)
@@ -42,13 +42,18 @@ def main(argv=None):
     p.add_argument("--model")
     p.add_argument("--out", required=True)
     p.add_argument("--as-of", default=None)
+    p.add_argument("--format", choices=["csv", "parquet"], default=None,
+                   help="input format (default: csv for *.csv paths, else parquet)")
     a = p.parse_args(argv)
     spark = get_spark()
-    orders = read_table(spark, a.orders)
-    delivery = read_table(spark, a.delivery, optional=True) if a.delivery else None
-    feedback = read_table(spark, a.feedback, optional=True) if a.feedback else None
+    orders = read_table(spark, a.orders, fmt=a.format)
+    delivery = read_table(spark, a.delivery, fmt=a.format, optional=True) if a.delivery else None
+    feedback = read_table(spark, a.feedback, fmt=a.format, optional=True) if a.feedback else None
     scored = scored_customers(spark, orders, delivery, feedback, a.model, as_of=a.as_of)
-    write_predictions(scored.drop(EMBEDDING) if EMBEDDING in scored.columns else scored, a.out)
+    if EMBEDDING in scored.columns:  # export carries emb_0..emb_{d-1} like the feature frame
+        loaded = load_model(spark, a.model) if a.model else None
+        scored = widen(scored, loaded[1].embedding_dim) if loaded else scored.drop(EMBEDDING)
+    write_predictions(scored, a.out)
 
 
 if __name__ == "__main__":

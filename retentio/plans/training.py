@@ -122,6 +122,8 @@ def main(argv=None):
     p.add_argument("--feedback")
     p.add_argument("--model", required=True, help="output directory for the model artifact")
     p.add_argument("--as-of", default=None)
+    p.add_argument("--format", choices=["csv", "parquet"], default=None,
+                   help="input format (default: csv for *.csv paths, else parquet)")
     p.add_argument("--n_estimators", type=int, default=200)
     p.add_argument("--max_depth", type=int, default=10)
     p.add_argument("--oversample", action="store_true")
@@ -129,9 +131,9 @@ def main(argv=None):
     p.add_argument("--cv", action="store_true")
     a = p.parse_args(argv)
     spark = get_spark()
-    orders = read_table(spark, a.orders)
-    delivery = read_table(spark, a.delivery, optional=True) if a.delivery else None
-    feedback = read_table(spark, a.feedback, optional=True) if a.feedback else None
+    orders = read_table(spark, a.orders, fmt=a.format)
+    delivery = read_table(spark, a.delivery, fmt=a.format, optional=True) if a.delivery else None
+    feedback = read_table(spark, a.feedback, fmt=a.format, optional=True) if a.feedback else None
     opts = ModelOptions(n_estimators=a.n_estimators, max_depth=a.max_depth, oversample=a.oversample,
                         use_class_weight=a.use_class_weight, cv=a.cv)
     _, _, metrics = run(spark, orders, delivery, feedback, a.model, opts, as_of=a.as_of)

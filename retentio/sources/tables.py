@@ -31,8 +31,9 @@ def _csv_reader(spark: SparkSession, schema: T.StructType | str | None, multilin
 
 
 def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
-    """NA tokens -> NULL; then, if asked, type each text column as the
-    narrowest of bigint / double / timestamp that parses all non-null values."""
+    """NA tokens -> NULL; then, if asked, type each text column as boolean
+    (True/False), bigint or double when all its non-null values parse so;
+    other columns (dates included) stay text and are parsed where used."""
     exprs = {}
     str_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     for c in str_cols:
@@ -48,13 +49,16 @@ def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
             F.sum(F.when(v.isNotNull() & v.try_cast("bigint").isNull(), 1).otherwise(0)).alias(f"{c}__l"),
             F.sum(F.when(v.isNotNull() & v.try_cast("double").isNull(), 1).otherwise(0)).alias(f"{c}__d"),
             F.sum(F.when(v.isNotNull(), 1).otherwise(0)).alias(f"{c}__n"),
+            F.sum(F.when(v.isNotNull() & ~F.lower(v).isin("true", "false"), 1).otherwise(0)).alias(f"{c}__b"),
         ]
     stats = df.agg(*checks).first().asDict()
     casts = {}
     for c in str_cols:
         if stats[f"{c}__n"] == 0:
             continue
-        if stats[f"{c}__l"] == 0:
+        if stats[f"{c}__b"] == 0:
+            casts[c] = F.lower(F.col(c)) == "true"
+        elif stats[f"{c}__l"] == 0:
             casts[c] = F.col(c).cast("bigint")
         elif stats[f"{c}__d"] == 0:
             casts[c] = F.col(c).cast("double")

@@ -80,3 +80,15 @@ def test_single_class_training_fails(spark):
     df = _separable(spark, 50).withColumn("is_at_risk", F.lit(0))
     with pytest.raises(ValueError):
         train(df, ["recency"], ModelOptions(n_estimators=2))
+
+
+def test_csv_booleans_and_na_tokens(spark, tmpdir_path):
+    p = f"{tmpdir_path}/d.csv"
+    with open(p, "w") as fh:
+        fh.write("customer_id,on_time,delay_hours,note\n1,True,0,NA\n1,False,N/A,x\n2,,3.5,\n")
+    d = read_table(spark, p, fmt="csv")
+    types = dict(d.dtypes)
+    assert types["on_time"] == "boolean" and types["delay_hours"] == "double" and types["customer_id"] == "string"
+    from retentio.operators.features import delivery_metrics
+    r = {x.customer_id: x for x in delivery_metrics(d).collect()}
+    assert r["1"].on_time_rate == 0.5 and r["1"].avg_delay_hours == 0.0 and r["2"].on_time_rate is None
