@@ -4,6 +4,7 @@ queries, which get a rows-only check).  Each query takes (spark, sf_dir)."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from retentio.operators.model import ModelOptions, align_features, fill_features
 from retentio.operators.quantiles import exact_percentiles
 from retentio.operators.risk import SCORE, score_customers, score_with, with_suggestion
 from retentio.plans import oracle as sql
-from retentio.session import scratch_dir
+from retentio.session import SESSION_DEFAULTS, scratch_dir
 from retentio.sources import driver
 from retentio.sources.tables import preview, read_table, write_predictions
 
@@ -33,8 +34,15 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
+    """Register a catalogue query; the session gets the library defaults
+    (UTC above all: day arithmetic and truncation depend on it)."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for k, v in SESSION_DEFAULTS.items():
+                spark.conf.set(k, v)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn
