@@ -41,7 +41,7 @@ def orders_aggregate(orders: DataFrame, as_of=AS_OF_DEFAULT, strict_dates: bool
                      order_key: str | None = None) -> DataFrame:
     """customer_id, num_orders_90d, avg_order_value, days_since_last_order.
 
-    ``num_orders_90d`` keeps the reference's name but counts all history
+    ``num_orders_90d`` keeps its historical name but counts all history
     (decision D1).  Without ``order_id`` the parsed dates are counted; without
     ``order_value`` the order count stands in for money (with a warning).
     Orders without ``customer_id`` take the unkeyed path (P8).

@@ -35,7 +35,7 @@ class ModelOptions:
     max_depth: int | None = 10
     max_bins: int = 32
     seed: int = 42
-    missing: str = "zero"           # 'zero' (reference behaviour) or 'median'
+    missing: str = "zero"           # 'zero' (fill with 0 before the pipeline) or 'median'
     scale: bool = True
     use_class_weight: bool = False
     oversample: bool = False
@@ -121,7 +121,7 @@ def median_imputer(df: DataFrame, cols: list[str]) -> tuple[SQLTransformer, dict
 
 
 def standardize(df: DataFrame, cols: list[str], ddof: int = 0) -> DataFrame:
-    """z-scores with the population (ddof=0, scikit-learn) or sample (ddof=1)
+    """z-scores with the population (ddof=0) or sample (ddof=1)
     deviation; a zero deviation divides by 1.  The statistics are one
     aggregate row used as a scalar subquery."""
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp

@@ -97,7 +97,7 @@ def precomputed_embeddings(vectors: DataFrame, column: str = "embedding") -> Dat
 def join_embeddings(features: DataFrame, vectors: DataFrame | None, dim: int | None = None,
                     fill_zero: bool = True) -> DataFrame:
     """features LEFT JOIN vectors on customer_id (J2); with ``fill_zero`` a
-    customer without a vector gets the zero vector (the reference's fillna(0))."""
+    customer without a vector gets the zero vector (missing features are 0)."""
     if vectors is None:
         return features
     df = features.join(vectors.select(KEY, EMBEDDING), KEY, "left")
