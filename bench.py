@@ -22,6 +22,7 @@ from retentio.operators import features as feat  # noqa: E402
 from retentio.operators.model import ModelOptions  # noqa: E402
 from retentio.operators.views import orders_trend, top_interventions  # noqa: E402
 from retentio.plans import catalog  # noqa: E402
+from retentio.plans.scoring import publish_scored  # noqa: E402
 from retentio.session import get_spark  # noqa: E402
 from retentio.sources import driver  # noqa: E402
 
@@ -55,12 +56,10 @@ def main():
     def score():
         model, meta = state["model"]
         scored = catalog._score_all(spark, sf_dir, model, meta)
-        path = f"{state['tmp']}/scored-{time.time_ns()}"
-        scored.write.mode("overwrite").parquet(path)
-        state["scored"] = path
+        state["scored"] = publish_scored(scored, f"{state['tmp']}/scored-{time.time_ns()}")
 
     def top20():
-        run(top_interventions(spark.read.parquet(state["scored"]), 20))
+        run(top_interventions(state["scored"], 20))
 
     def trend():
         run(orders_trend(driver.orders(spark, sf_dir)))

@@ -30,6 +30,19 @@ def scored_customers(spark: SparkSession, orders: DataFrame, delivery: DataFrame
                            meta.embedding_dim if meta else None, feedback)
 
 
+def publish_scored(scored: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the scored customers once as Parquet (default: a fresh folder
+    under the shared checkpoint dir) and return the table read back: every
+    analysis view then scans it with pushdown instead of recomputing
+    features and scores, and it survives executor loss."""
+    from retentio.session import scratch_dir
+
+    spark = scored.sparkSession
+    path = path or scratch_dir(spark, "scored")
+    scored.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def main(argv=None):
     from retentio.session import get_spark
     from retentio.sources.tables import read_table, write_predictions
