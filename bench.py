@@ -81,7 +81,11 @@ def main():
             samples.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(samples), 3)
     total = round(sum(times.values()), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(sf_name)
+    except ValueError:
+        sf = sf_name
     print(json.dumps({"metric": "headline_jobs_total", "value": total, "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "runs": runs,
                       "shuffle_partitions": cpus * 2}))
