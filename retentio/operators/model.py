@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,10 +135,16 @@ def standardize(df: DataFrame, cols: list[str], ddof: int = 0) -> DataFrame:
 
 
 def build_pipeline(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
-                   weight_col: str | None = None) -> tuple[Pipeline, DataFrame]:
-    """VectorAssembler -> [StandardScaler] -> RandomForestClassifier."""
+                   weight_col: str | None = None, dim: int | None = None) -> tuple[Pipeline, DataFrame]:
+    """[median imputer] -> [VectorSizeHint] -> VectorAssembler -> [StandardScaler]
+    -> RandomForestClassifier.  With ``dim`` the vector size is declared, so
+    the assembler needs no look at the data (and the model also works on
+    streaming frames)."""
     stages = []
     prepared, inputs = _assembler_inputs(df, cols)
+    if dim is not None:
+        stages += [VectorSizeHint(inputCol=n, size=dim, handleInvalid="error")
+                   for n, c in zip(inputs, cols) if n != c]
     if opts.missing == "median":
         scalar_cols = [c for c in cols if not isinstance(df.schema[c].dataType, T.ArrayType)]
         if scalar_cols:
@@ -171,10 +177,10 @@ def stable_layout(df: DataFrame, partitions: int | None = None, key: str = KEY)
 
 
 def fit(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
-        weight_col: str | None = None) -> PipelineModel:
+        weight_col: str | None = None, dim: int | None = None) -> PipelineModel:
     data = fill_features(df, cols, scalars=opts.missing != "median")
     data = data.withColumn(label, F.col(label).cast("double"))
-    pipe, prepared = build_pipeline(data, cols, opts, label, weight_col)
+    pipe, prepared = build_pipeline(data, cols, opts, label, weight_col, dim)
     # The fit makes several passes (scaler statistics, split candidates,
     # bagging); keep the prepared rows instead of recomputing the features.
     data = stable_layout(prepared, opts.fit_partitions).persist(StorageLevel.MEMORY_AND_DISK)

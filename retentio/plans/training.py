@@ -77,7 +77,7 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         parts = []
         for k in range(opts.folds):
             tr, w = prepare(df.where(F.col("fold") != k).drop("fold"))
-            m = fit(tr, cols, opts, LABEL, w)
+            m = fit(tr, cols, opts, LABEL, w, dim)
             parts.append(_scores(m, df.where(F.col("fold") == k), cols, dim)
                          .select(KEY, LABEL, "score", "prediction"))
         oof = parts[0]
@@ -87,11 +87,11 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         metrics["cv_scores"] = oof
         metrics["cv_pr_auc"] = pr_auc(oof, LABEL, "score")
         full, w = prepare(df.drop("fold"))
-        model = fit(full, cols, opts, LABEL, w)
+        model = fit(full, cols, opts, LABEL, w, dim)
         return model, metrics
 
     tr, w = prepare(df.where(F.col("split") == "train").drop("split"))
-    model = fit(tr, cols, opts, LABEL, w)
+    model = fit(tr, cols, opts, LABEL, w, dim)
     test = (_scores(model, df.where(F.col("split") == "test").drop("split"), cols, dim)
             .select(KEY, LABEL, "score", "prediction").checkpoint(eager=True))
     metrics["test_scores"] = test
