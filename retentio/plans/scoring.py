@@ -43,6 +43,32 @@ def publish_scored(scored: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def analysis_tables(scored: DataFrame, orders: DataFrame, labels=None, recency=(0, None),
+                    monetary=(None, None), top_n: int = 20) -> dict[str, DataFrame]:
+    """The dashboard's datasets over one scored table: filter domains, risk
+    distribution, scatter sample, monetary box (+ outliers), correlation
+    (all on the filtered customers), top-n with suggestions (all customers)
+    and the orders trend (raw orders)."""
+    from retentio.operators import views as vw
+
+    filtered = vw.filter_customers(scored, labels, recency, monetary)
+    box = vw.monetary_box(filtered)
+    out = {
+        "filter_domain": vw.filter_domain(scored),
+        "risk_distribution": vw.risk_distribution(filtered),
+        "scatter_sample": vw.scatter_sample(filtered),
+        "monetary_box": box,
+        "monetary_outliers": vw.monetary_outliers(filtered, box),
+        "correlation": vw.correlation(filtered),
+        "top_at_risk": vw.top_at_risk(scored, top_n),
+        "top_interventions": vw.top_interventions(scored, top_n),
+    }
+    trend = vw.orders_trend(orders)
+    if trend is not None:
+        out["orders_trend"] = trend
+    return out
+
+
 def main(argv=None):
     from retentio.session import get_spark
     from retentio.sources.tables import read_table, write_predictions
@@ -53,7 +79,9 @@ def main(argv=None):
     p.add_argument("--delivery")
     p.add_argument("--feedback")
     p.add_argument("--model")
-    p.add_argument("--out", required=True)
+    p.add_argument("--out", required=True, help="predictions CSV directory")
+    p.add_argument("--tables-out", default=None, help="directory for the analysis tables (Parquet)")
+    p.add_argument("--top-n", type=int, default=20)
     p.add_argument("--as-of", default=None)
     p.add_argument("--format", choices=["csv", "parquet"], default=None,
                    help="input format (default: csv for *.csv paths, else parquet)")
@@ -61,8 +89,12 @@ def main(argv=None):
     spark = get_spark()
     orders = read_table(spark, a.orders, fmt=a.format)
     delivery = read_table(spark, a.delivery, fmt=a.format, optional=True) if a.delivery else None
-    feedback = read_table(spark, a.feedback, fmt=a.format, optional=True) if a.feedback else None
-    scored = scored_customers(spark, orders, delivery, feedback, a.model, as_of=a.as_of)
+    feedback = (read_table(spark, a.feedback, fmt=a.format, optional=True, row_id="feedback_id")
+                if a.feedback else None)
+    scored = publish_scored(scored_customers(spark, orders, delivery, feedback, a.model, as_of=a.as_of))
+    if a.tables_out:
+        for name, table in analysis_tables(scored, orders, top_n=a.top_n).items():
+            table.write.mode("overwrite").parquet(f"{a.tables_out.rstrip('/')}/{name}")
     if EMBEDDING in scored.columns:  # export carries emb_0..emb_{d-1} like the feature frame
         loaded = load_model(spark, a.model) if a.model else None
         scored = widen(scored, loaded[1].embedding_dim) if loaded else scored.drop(EMBEDDING)

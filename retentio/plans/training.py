@@ -133,7 +133,8 @@ def main(argv=None):
     spark = get_spark()
     orders = read_table(spark, a.orders, fmt=a.format)
     delivery = read_table(spark, a.delivery, fmt=a.format, optional=True) if a.delivery else None
-    feedback = read_table(spark, a.feedback, fmt=a.format, optional=True) if a.feedback else None
+    feedback = (read_table(spark, a.feedback, fmt=a.format, optional=True, row_id="feedback_id")
+                if a.feedback else None)
     opts = ModelOptions(n_estimators=a.n_estimators, max_depth=a.max_depth, oversample=a.oversample,
                         use_class_weight=a.use_class_weight, cv=a.cv)
     _, _, metrics = run(spark, orders, delivery, feedback, a.model, opts, as_of=a.as_of)

@@ -68,7 +68,7 @@ def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None, optional: bool = False,
                infer_types: bool = True, key: str | None = "customer_id",
-               multiline: bool = True) -> DataFrame | None:
+               multiline: bool = True, row_id: str | None = None) -> DataFrame | None:
     """Read a CSV or Parquet table.
 
     CSV: header row, quoted fields may hold newlines and doubled quotes; NA
@@ -77,7 +77,9 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     is cast to string.  ``optional=True`` returns None for a missing path
     instead of raising (the dashboard's behaviour).  ``multiline=False``
     makes large single CSV files splittable when no field holds a newline;
-    passing ``schema`` skips the type-inference pass.
+    passing ``schema`` skips the type-inference pass.  ``row_id`` adds a
+    bigint column increasing in file order (assigned at the scan, before any
+    shuffle) for tables whose row order matters and that carry no order key.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     try:
@@ -90,6 +92,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
         if optional and "PATH_NOT_FOUND" in str(e):
             return None
         raise
+    if row_id and row_id not in df.columns:
+        df = df.withColumn(row_id, F.monotonically_increasing_id())
     df = nan_to_null(df)
     if key:
         df = normalize_key(df, key)

@@ -92,3 +92,12 @@ def test_csv_booleans_and_na_tokens(spark, tmpdir_path):
     from retentio.operators.features import delivery_metrics
     r = {x.customer_id: x for x in delivery_metrics(d).collect()}
     assert r["1"].on_time_rate == 0.5 and r["1"].avg_delay_hours == 0.0 and r["2"].on_time_rate is None
+
+
+def test_row_id_follows_file_order(spark, tmpdir_path):
+    p = f"{tmpdir_path}/fb.csv"
+    with open(p, "w") as fh:
+        fh.write("customer_id,feedback_text\n" + "".join(f"1,t{i}\n" for i in range(30)))
+    fb = read_table(spark, p, fmt="csv", row_id="feedback_id")
+    from retentio.operators.features import feedback_text
+    assert feedback_text(fb).first().feedback_text == " ".join(f"t{i}" for i in range(30))

@@ -21,14 +21,18 @@ def test_train_then_score_from_csv(spark, tmpdir_path):
     o, d, f = (f"{tmpdir_path}/{n}" for n in ("orders", "delivery", "feedback"))
     _csv(driver.orders(spark, SF), o)
     _csv(driver.delivery(spark, SF).drop("order_id", "line_number"), d)
-    _csv(driver.feedback(spark, SF), f)
+    _csv(driver.feedback(spark, SF).drop("feedback_id"), f)
     model = f"{tmpdir_path}/model"
     args = ["--orders", o, "--delivery", d, "--feedback", f, "--as-of", "2001-08-02 00:00:00", "--format", "csv"]
     training.main(args + ["--model", model, "--n_estimators", "10", "--max_depth", "4"])
     out = f"{tmpdir_path}/predictions"
-    scoring.main(args + ["--model", model, "--out", out])
+    tables = f"{tmpdir_path}/tables"
+    scoring.main(args + ["--model", model, "--out", out, "--tables-out", tables])
     p = read_table(spark, out, fmt="csv")
     assert p.count() == 150
     cols = set(p.columns)
     assert {"risk_score", "risk_label", "avg_rating", "negative_feedback_count", "emb_0", "emb_63"} <= cols
     assert p.where("risk_score < 0 or risk_score > 1").count() == 0
+    for name in ("filter_domain", "risk_distribution", "scatter_sample", "monetary_box", "correlation",
+                 "top_at_risk", "top_interventions", "orders_trend"):
+        assert spark.read.parquet(f"{tables}/{name}").count() > 0, name
