@@ -78,21 +78,20 @@ def whole_days_between(later, earlier) -> Column:
     return F.floor(diff / F.lit(MICROS_PER_DAY)).cast("bigint")
 
 
-# Fixed value: decimal places kept exactly by exact_mean (money has 2-4).
-MEAN_SCALE_DIGITS = 4
+# Fixed value: decimal places kept exactly by exact_mean.
+MEAN_SCALE_DIGITS = 6
 
 
 def exact_mean(c, scale: int = 6) -> Column:
     """Mean of a money-like column, summed exactly, rounded to ``scale``.
 
-    Values are summed as integers of 1e-4 units (a 64-bit sum, codegen'd and
-    exact), so the result does not depend on row order or partition layout
-    and agrees with a DECIMAL sum in other engines.  Per-group sums must stay
-    below 9.2e14 units of the column.
+    Values are summed as ``decimal(38,6)``: the sum is exact, so the result
+    does not depend on row order or partition layout and agrees with a
+    DECIMAL sum in other engines, and it cannot overflow even when one key
+    holds billions of rows (a 64-bit sum of fixed-point units could).
     """
     col = as_column(c)
-    unit = 10 ** MEAN_SCALE_DIGITS
-    total = F.sum(F.round(col.cast("double") * unit).cast("bigint")).cast("double") / F.lit(float(unit))
+    total = F.sum(col.cast(f"decimal(38,{MEAN_SCALE_DIGITS})")).cast("double")
     return F.round(total / F.count(col), scale)
 
 

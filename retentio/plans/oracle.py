@@ -8,7 +8,7 @@ AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
 
 
 def mean(x: str) -> str:
-    return f"round(CAST(sum(CAST({x} AS DECIMAL(38,4))) AS DOUBLE) / count({x}), 6)"
+    return f"round(CAST(sum(CAST({x} AS DECIMAL(38,6))) AS DOUBLE) / count({x}), 6)"
 
 
 def rank_by_hash(key: str, part: str, seed: int = 42) -> str:
