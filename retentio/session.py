@@ -45,11 +45,16 @@ def get_spark(master: str | None = None, app_name: str = "retentio",
 
 def checkpoint_base(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` / the context's
-    checkpoint dir; only when neither is set (local tests) a temp folder."""
+    checkpoint dir.  Only a local-mode session (tests) without either gets a
+    temp folder; on a cluster an unset folder is an error, never a
+    machine-local path."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(checkpoints and scratch tables go there)")
         base = conf or tempfile.mkdtemp(prefix="retentio-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
