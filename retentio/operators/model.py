@@ -177,13 +177,18 @@ def stable_layout(df: DataFrame, partitions: int | None = None, key: str = KEY)
 
 
 def fit(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
-        weight_col: str | None = None, dim: int | None = None) -> PipelineModel:
+        weight_col: str | None = None, dim: int | None = None, laid_out: bool = False) -> PipelineModel:
+    """Fit the pipeline on a reproducible layout.  ``laid_out=True`` means
+    ``df`` already is ``stable_layout(...)`` (or a row filter of it), so no
+    shuffle is needed here."""
     data = fill_features(df, cols, scalars=opts.missing != "median")
     data = data.withColumn(label, F.col(label).cast("double"))
     pipe, prepared = build_pipeline(data, cols, opts, label, weight_col, dim)
     # The fit makes several passes (scaler statistics, split candidates,
     # bagging); keep the prepared rows instead of recomputing the features.
-    data = stable_layout(prepared, opts.fit_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    if not laid_out:
+        prepared = stable_layout(prepared, opts.fit_partitions)
+    data = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipe.fit(data)
     finally:

@@ -14,7 +14,7 @@ from retentio.operators.features import KEY, tabular_features
 from retentio.operators.label import LABEL, create_target, require_two_classes, training_diagnostics
 from retentio.operators.metrics import classification_report, pr_auc, roc_auc
 from retentio.operators.model import (
-    ModelMeta, ModelOptions, feature_columns, fill_features, fit, predict, save_model,
+    ModelMeta, ModelOptions, feature_columns, fill_features, fit, predict, save_model, stable_layout,
 )
 from retentio.operators.sampling import class_weights, oversample, stratified_folds, stratified_split
 from retentio.operators.text import DEFAULT_DIM, DEFAULT_ENCODER, feedback_embeddings, join_embeddings
@@ -64,7 +64,11 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         df = stratified_folds(df, LABEL, KEY, opts.folds, opts.seed)
     else:
         df = stratified_split(df, LABEL, KEY, opts.test_fraction, opts.seed)
-    df = df.checkpoint(eager=True)
+    # Lay the rows out once (hash by key, sorted) before the checkpoint: every
+    # fit then reads a ready layout and needs no shuffle of its own, unless
+    # oversampling or weights add rows/columns through a join.
+    df = stable_layout(df, opts.fit_partitions).checkpoint(eager=True)
+    laid_out = not (opts.oversample or opts.use_class_weight)
     require_two_classes(df, LABEL)
     metrics: dict[str, DataFrame] = {"diagnostics": training_diagnostics(df, cols)}
 
@@ -77,7 +81,7 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         parts = []
         for k in range(opts.folds):
             tr, w = prepare(df.where(F.col("fold") != k).drop("fold"))
-            m = fit(tr, cols, opts, LABEL, w, dim)
+            m = fit(tr, cols, opts, LABEL, w, dim, laid_out)
             parts.append(_scores(m, df.where(F.col("fold") == k), cols, dim)
                          .select(KEY, LABEL, "score", "prediction"))
         oof = parts[0]
@@ -87,11 +91,11 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         metrics["cv_scores"] = oof
         metrics["cv_pr_auc"] = pr_auc(oof, LABEL, "score")
         full, w = prepare(df.drop("fold"))
-        model = fit(full, cols, opts, LABEL, w, dim)
+        model = fit(full, cols, opts, LABEL, w, dim, laid_out)
         return model, metrics
 
     tr, w = prepare(df.where(F.col("split") == "train").drop("split"))
-    model = fit(tr, cols, opts, LABEL, w, dim)
+    model = fit(tr, cols, opts, LABEL, w, dim, laid_out)
     test = (_scores(model, df.where(F.col("split") == "test").drop("split"), cols, dim)
             .select(KEY, LABEL, "score", "prediction").checkpoint(eager=True))
     metrics["test_scores"] = test
