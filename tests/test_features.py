@@ -114,3 +114,15 @@ def test_joins_keep_one_row_per_customer(spark):
     f = feat.tabular_features(o, d, as_of=AS_OF)
     assert f.count() == 2
     assert rows(f)["B"]["on_time_rate"] is None
+
+
+def test_tabular_features_on_unkeyed_orders(spark):
+    o = spark.createDataFrame([(i, float(i) if i % 7 else None) for i in range(20)],
+                              "order_id long, order_value double")
+    d = spark.createDataFrame([("1", True), ("2", False)], "customer_id string, on_time boolean")
+    f = rows(feat.tabular_features(o, d, as_of=AS_OF, wide=True))
+    assert len(f) == 20 and f["1"]["recency"] == 30 and f["1"]["frequency"] == 1
+    assert f["1"]["on_time_rate"] == 1.0 and f["3"]["on_time_rate"] is None
+    # order 0 has no value: monetary falls back to the median over customers
+    import numpy as np
+    assert f["1"]["monetary"] == float(np.median([float(i) for i in range(20) if i % 7]))
