@@ -49,13 +49,13 @@ def main():
         run(feat.rating_metrics(fb))
 
     def train():
-        model, meta, metrics = catalog._train(spark, sf_dir, ModelOptions(n_estimators=200, max_depth=10))
+        model, meta, metrics = catalog.train_model(spark, sf_dir, ModelOptions(n_estimators=200, max_depth=10))
         run(metrics["roc_auc"])
         state["model"] = (model, meta)
 
     def score():
         model, meta = state["model"]
-        scored = catalog._score_all(spark, sf_dir, model, meta)
+        scored = catalog.score_all(spark, sf_dir, model, meta)
         state["scored"] = publish_scored(scored, f"{state['tmp']}/scored-{time.time_ns()}")
 
     def top20():

@@ -389,7 +389,8 @@ def q_classification_report(spark, d):
 
 # ---------------------------------------------------------------- model (rows-only checks)
 
-def _train(spark, d, opts: ModelOptions | None = None):
+def train_model(spark, d, opts: ModelOptions | None = None):
+    """Training job over the driver tables with the precomputed 64-dim vectors."""
     from retentio.plans.training import run
     opts = opts or ModelOptions()
     vectors = txt.precomputed_embeddings(driver.embeddings(spark, d))
@@ -397,7 +398,8 @@ def _train(spark, d, opts: ModelOptions | None = None):
                None, opts, as_of=AS_OF, dim=64, vectors=vectors)
 
 
-def _score_all(spark, d, model, meta) -> DataFrame:
+def score_all(spark, d, model, meta) -> DataFrame:
+    """Every customer of the driver tables scored by ``model``."""
     vectors = txt.precomputed_embeddings(driver.embeddings(spark, d))
     feats = txt.join_embeddings(features_wide(spark, d), vectors, meta.embedding_dim)
     return score_customers(feats, model, meta.feature_columns, meta.embedding_dim, driver.feedback(spark, d))
@@ -405,24 +407,24 @@ def _score_all(spark, d, model, meta) -> DataFrame:
 
 @query("train_and_score")
 def q_train_and_score(spark, d):
-    model, meta, _ = _train(spark, d)
-    return _score_all(spark, d, model, meta).select(KEY, SCORE, "risk_label")
+    model, meta, _ = train_model(spark, d)
+    return score_all(spark, d, model, meta).select(KEY, SCORE, "risk_label")
 
 
 @query("cross_validated_scores")
 def q_cross_validated_scores(spark, d):
-    model, meta, metrics = _train(spark, d, ModelOptions(cv=True))
+    model, meta, metrics = train_model(spark, d, ModelOptions(cv=True))
     return metrics["cv_scores"]
 
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, d):
-    model, meta, _ = _train(spark, d)
+    model, meta, _ = train_model(spark, d)
     path = scratch_dir(spark, "model")
     save_model(model, meta, path)
     loaded, meta2 = load_model(spark, path)
-    a = _score_all(spark, d, model, meta).select(KEY, F.col(SCORE).alias("score_before"))
-    b = _score_all(spark, d, loaded, meta2).select(KEY, F.col(SCORE).alias("score_after"))
+    a = score_all(spark, d, model, meta).select(KEY, F.col(SCORE).alias("score_before"))
+    b = score_all(spark, d, loaded, meta2).select(KEY, F.col(SCORE).alias("score_after"))
     return a.join(b, KEY, "inner").select(KEY, (F.col("score_before") == F.col("score_after")).alias("same"))
 
 
