@@ -46,6 +46,7 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str],
     """
     by = list(by)
     totals = df.groupBy(*by, bucket).agg(*[F.sum(c).alias(f"_bt_{c}") for c in sums])
+    # over the bucket-total table only (#groups x #buckets rows)
     w_off = Window.partitionBy(*by).orderBy(bucket) if by else Window.orderBy(bucket)
     w_all = Window.partitionBy(*by)
     offsets = totals.select(*by, bucket, *[

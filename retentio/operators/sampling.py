@@ -25,7 +25,7 @@ def class_counts(df: DataFrame, label: str = LABEL) -> DataFrame:
 def class_weights(df: DataFrame, label: str = LABEL, weight_col: str = "weight") -> DataFrame:
     """Add ``weight`` = n / (k * n_class) ('balanced' weights)."""
     c = class_counts(df, label)
-    w = Window.partitionBy()
+    w = Window.partitionBy()  # over the class-count table: one row per class
     table = c.select(label, (F.sum("class_n").over(w) / (F.count(F.lit(1)).over(w) * F.col("class_n")))
                      .alias(weight_col))
     return df.join(F.broadcast(table), label, "inner")
@@ -61,7 +61,7 @@ def oversample(df: DataFrame, label: str = LABEL, key: str = KEY, seed: int = SE
     """
     ranked = bucketed_rank(df, label, key, seed, rank_col="_rk")
     counts = class_counts(df, label)
-    w = Window.partitionBy()
+    w = Window.partitionBy()  # over the class-count table: one row per class
     counts = counts.select(
         label, "class_n",
         F.max("class_n").over(w).alias("_nmax"),
