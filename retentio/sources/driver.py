@@ -53,19 +53,22 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer_id, feedback_id, feedback_text, rating (double, may be NULL).
 
     Two documents per customer (doc_id div 2); the rating is derived from the
-    optional quality/toxicity labels.
+    optional quality/toxicity labels through a correlated scalar subquery:
+    a query that does not use ``rating`` (the text encoder) does not touch
+    the labels at all, and one that does gets a join against labels
+    aggregated per doc_id (so duplicate labels could never multiply rows).
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = d.join(lab, "doc_id", "left")
+    d = table(spark, sf_dir, "documents").alias("d")
+    lab = table(spark, sf_dir, "labels")
     rating = (F.when(F.col("toxic") == 1, F.lit(1))
               .when(F.col("quality") == 0, F.lit(2))
               .when(F.col("quality") == 1, F.lit(3) + F.col("doc_id") % 3)).cast("double")
-    return j.select(
-        (F.col("doc_id") / 2).cast("bigint").cast("string").alias("customer_id"),
-        F.col("doc_id").alias("feedback_id"),
-        F.col("text").alias("feedback_text"),
-        rating.alias("rating"),
+    rating_of_doc = lab.where(F.col("doc_id") == F.col("d.doc_id").outer()).select(F.max(rating)).scalar()
+    return d.select(
+        F.expr("d.doc_id div 2").cast("string").alias("customer_id"),
+        F.col("d.doc_id").alias("feedback_id"),
+        F.col("d.text").alias("feedback_text"),
+        rating_of_doc.alias("rating"),
     )
 
 

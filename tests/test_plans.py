@@ -54,3 +54,9 @@ def test_filters_reach_the_scan(spark):
 def test_per_customer_aggregates_are_partial(spark):
     p = plan(feat.orders_aggregate(driver.orders(spark, SF)))
     assert p.count("HashAggregate") >= 2  # map-side partial + final
+
+
+def test_text_encoder_does_not_touch_labels(spark):
+    from retentio.operators import text as txt
+    p = plan(txt.feedback_embeddings(driver.feedback(spark, SF)))
+    assert "labels.parquet" not in p and "documents.parquet" in p
