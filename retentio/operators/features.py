@@ -154,25 +154,27 @@ def tabular_features(orders: DataFrame, delivery: DataFrame | None = None, as_of
     Missing recency -> 999, frequency -> 0, monetary -> median over customers
     (exact unless ``median_relative_error`` is given).
 
-    With ``materialize`` (default) the per-customer order aggregate is
-    checkpointed once to the shared checkpoint folder: the median (a fitted
-    statistic) and the features then read that table instead of re-scanning
-    and re-shuffling the orders, and the median is skipped when no customer
-    lacks a value.  ``materialize=False`` keeps everything one lazy plan.
+    With ``materialize`` (default) the per-customer table (orders aggregate
+    joined with delivery metrics) is checkpointed once to the shared
+    checkpoint folder: the median (a fitted statistic) and the features then
+    read that table instead of re-scanning and re-shuffling the inputs, and
+    the median is skipped when no customer lacks a value.
+    ``materialize=False`` keeps everything one lazy plan.
     """
     agg = orders_aggregate(orders, as_of=as_of, strict_dates=strict_dates)
-    need_median = True
-    if materialize:
-        from retentio.session import checkpoint_base
-        checkpoint_base(agg.sparkSession)
-        agg = agg.checkpoint(eager=True)
-        need_median = agg.where(F.col("avg_order_value").isNull()).limit(1).count() > 0
     if delivery is not None and KEY in delivery.columns:
         df = agg.join(delivery_metrics(delivery), KEY, "left")
     else:
         df = agg.withColumns({"on_time_rate": F.lit(None).cast("double"),
                               "avg_delay_hours": F.lit(None).cast("double")})
-    med = median_of(agg, "avg_order_value", median_relative_error) if need_median else F.lit(None).cast("double")
+    need_median = True
+    if materialize:
+        from retentio.session import checkpoint_base
+        checkpoint_base(df.sparkSession)
+        df = df.checkpoint(eager=True)
+        need_median = df.where(F.col("avg_order_value").isNull()).limit(1).count() > 0
+    # one row per customer either way (the delivery side is unique per key)
+    med = median_of(df, "avg_order_value", median_relative_error) if need_median else F.lit(None).cast("double")
     df = df.withColumns({
         "recency": F.coalesce(F.col("days_since_last_order"), F.lit(RECENCY_MISSING).cast("bigint")),
         "frequency": F.coalesce(F.col("num_orders_90d"), F.lit(FREQUENCY_MISSING).cast("bigint")),
