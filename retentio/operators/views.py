@@ -132,7 +132,15 @@ def correlation(filtered: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS,
     diagonal), NULL pairs skipped, all pairs in one aggregate (D-8)."""
     cols = resolve_columns(filtered, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = filtered.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+
+    def pearson(a: str, b: str):
+        # pairwise-complete rows; a constant column gives NULL instead of a
+        # division-by-zero error (ANSI), as pandas gives NaN
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    row = filtered.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     structs = []
     for i, (a, b) in enumerate(pairs):
         structs.append(F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"),

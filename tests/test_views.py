@@ -82,3 +82,12 @@ def test_scatter_sample_is_bounded_and_reproducible(spark):
     a = [r.customer_id for r in vw.scatter_sample(df).collect()]
     b = [r.customer_id for r in vw.scatter_sample(df).collect()]
     assert len(a) == 2000 and a == b
+
+
+def test_correlation_constant_column_is_null(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, 0.0, None if i == 3 else float(-i)) for i in range(6)],
+                               "recency double, frequency double, risk_score double, monetary double")
+    c = {(r.feature_x, r.feature_y): r.corr for r in vw.correlation(df).collect()}
+    assert c[("recency", "frequency")] == 1.0 and c[("frequency", "recency")] == 1.0
+    assert c[("recency", "risk_score")] is None and c[("risk_score", "risk_score")] is None
+    assert c[("recency", "monetary")] == -1.0
