@@ -36,3 +36,17 @@ def test_train_then_score_from_csv(spark, tmpdir_path):
     for name in ("filter_domain", "risk_distribution", "scatter_sample", "monetary_box", "correlation",
                  "top_at_risk", "top_interventions", "orders_trend"):
         assert spark.read.parquet(f"{tables}/{name}").count() > 0, name
+
+
+def test_score_without_model_gives_unknown_and_all_tables(spark, tmpdir_path):
+    from retentio.plans import scoring
+    o, f = f"{tmpdir_path}/orders", f"{tmpdir_path}/feedback"
+    driver.orders(spark, SF).write.parquet(o)
+    driver.feedback(spark, SF).write.parquet(f)
+    out, tables = f"{tmpdir_path}/pred", f"{tmpdir_path}/tables"
+    scoring.main(["--orders", o, "--feedback", f, "--out", out, "--tables-out", tables,
+                  "--as-of", "2001-08-02 00:00:00"])
+    p = spark.read.option("header", True).csv(out)
+    assert p.count() == 150 and {r.risk_label for r in p.select("risk_label").collect()} == {"Unknown"}
+    corr = spark.read.parquet(f"{tables}/correlation")
+    assert corr.where("feature_x = 'risk_score' and feature_y = 'recency'").first().corr is None
