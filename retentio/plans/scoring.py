@@ -15,16 +15,21 @@ from retentio.operators.text import feedback_embeddings, join_embeddings
 
 def scored_customers(spark: SparkSession, orders: DataFrame, delivery: DataFrame | None,
                      feedback: DataFrame | None, model_path: str | None = None, model=None,
-                     meta=None, as_of=None, vectors: DataFrame | None = None) -> DataFrame:
-    """Wide features + embeddings (when the model used text) + scores + ratings."""
+                     meta=None, as_of=None, vectors: DataFrame | None = None,
+                     encoder=None) -> DataFrame:
+    """Wide features + embeddings (when the model used text) + scores + ratings.
+
+    The text vectors come from ``vectors`` if given, else from ``encoder``
+    (a predict-fn factory, for models trained with one), else from the
+    encoder named in the model metadata."""
     if model is None and model_path:
         loaded = load_model(spark, model_path)
         if loaded is not None:
             model, meta = loaded
     feats = tabular_features(orders, delivery, as_of=as_of, wide=True)
     if meta is not None and meta.embedding_dim:
-        emb = vectors if vectors is not None else feedback_embeddings(feedback, meta.embedder_name,
-                                                                      meta.embedding_dim)
+        emb = vectors if vectors is not None else feedback_embeddings(
+            feedback, encoder if encoder is not None else meta.embedder_name, meta.embedding_dim)
         feats = join_embeddings(feats, emb, meta.embedding_dim)
     return score_customers(feats, model, meta.feature_columns if meta else None,
                            meta.embedding_dim if meta else None, feedback)

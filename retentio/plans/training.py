@@ -109,7 +109,8 @@ def run(spark: SparkSession, orders: DataFrame, delivery: DataFrame | None, feed
         dim: int | None = DEFAULT_DIM, vectors: DataFrame | None = None):
     df, cols, d = training_frame(orders, delivery, feedback, as_of, encoder, dim, vectors)
     model, metrics = train(df, cols, opts, d)
-    meta = ModelMeta(feature_columns=cols, embedder_name=(encoder if vectors is None and d else None),
+    name = encoder if isinstance(encoder, str) else getattr(encoder, "__name__", repr(encoder))
+    meta = ModelMeta(feature_columns=cols, embedder_name=(name if vectors is None and d else None),
                      embedding_dim=d, options=asdict(opts))
     if model_path:
         save_model(model, meta, model_path)

@@ -69,3 +69,19 @@ def test_median_imputer_stage_persists_in_model(spark, tmpdir_path):
     m2, _ = load_model(spark, f"{tmpdir_path}/m")
     s2 = predict(m2, df, cols, dim=2).select("customer_id", F.col("risk_score").alias("s2"))
     assert s1.join(s2, "customer_id").where("risk_score <> s2").count() == 0
+
+
+def test_training_and_scoring_with_a_custom_encoder(spark):
+    from retentio.plans.scoring import scored_customers
+    from retentio.plans.training import run
+    o = spark.createDataFrame([(str(i), i, 10.0 + i, "2024-01-01") for i in range(40)],
+                              "customer_id string, order_id long, order_value double, order_date string")
+    fb = spark.createDataFrame([(str(i), i, "bad again" if i % 2 else "great", float(1 + 3 * (i % 2 == 0)))
+                                for i in range(40)],
+                               "customer_id string, feedback_id long, feedback_text string, rating double")
+    model, meta, _ = run(spark, o, None, fb, None, ModelOptions(n_estimators=5, max_depth=3),
+                         as_of="2024-02-01", encoder=_make_encoder, dim=3)
+    assert meta.embedder_name == "_make_encoder" and meta.embedding_dim == 3
+    scored = scored_customers(spark, o, None, fb, model=model, meta=meta, as_of="2024-02-01",
+                              encoder=_make_encoder)
+    assert scored.count() == 40 and scored.where("risk_label = 'Unknown'").count() == 0
