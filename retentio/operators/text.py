@@ -47,7 +47,7 @@ def hashed_term_vectors(feedback: DataFrame, dim: int = DEFAULT_DIM) -> DataFram
     if fb is None:
         return None
     fb = fb.where(F.col(KEY).isNotNull()).select(KEY, F.coalesce("feedback_text", F.lit("")).alias("_t"))
-    tok = RegexTokenizer(inputCol="_t", outputCol="_tok", pattern="\\W+", gaps=True, toLowercase=True)
+    tok = RegexTokenizer(inputCol="_t", outputCol="_tok", pattern="(?U)\\W+", gaps=True, toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
     rows = tf.transform(tok.transform(fb)).select(KEY, "_tf")
     summed = rows.groupBy(KEY).agg(Summarizer.sum(F.col("_tf")).alias("_v"))

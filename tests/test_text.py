@@ -85,3 +85,14 @@ def test_training_and_scoring_with_a_custom_encoder(spark):
     scored = scored_customers(spark, o, None, fb, model=model, meta=meta, as_of="2024-02-01",
                               encoder=_make_encoder)
     assert scored.count() == 40 and scored.where("risk_label = 'Unknown'").count() == 0
+
+
+def test_tokens_keep_non_ascii_letters(spark):
+    from pyspark.ml.feature import RegexTokenizer
+    df = spark.createDataFrame([("Café naïve Привет 東京",)], "t string")
+    tok = RegexTokenizer(inputCol="t", outputCol="w", pattern="(?U)\\W+", gaps=True, toLowercase=True)
+    assert tok.transform(df).first().w == ["café", "naïve", "привет", "東京"]
+    fb = spark.createDataFrame([("A", 1, "Café"), ("B", 2, "Caf")],
+                               "customer_id string, feedback_id long, feedback_text string")
+    v = {r.customer_id: list(r.emb_vector) for r in txt.feedback_embeddings(fb, "hashing-1024").collect()}
+    assert v["A"] != v["B"]
