@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from retentio.llm import decontaminate, line_dedup, url_filter
+from retentio.llm import decontaminate, line_dedup, packing, url_filter
 
 QUERIES = {f.__name__: f for f in (
     line_dedup.op5_line_dedup,
     decontaminate.op7_decontaminate,
     url_filter.op9_url_filter,
+    packing.op10_packing,
 )}
 
 ORACLE = {
