@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from retentio.llm import decontaminate, line_dedup, packing, url_filter
+from retentio.llm import decontaminate, jaccard_join, line_dedup, packing, suffix_dedup, url_filter
 
 QUERIES = {f.__name__: f for f in (
+    suffix_dedup.op2_suffix_dedup,
     line_dedup.op5_line_dedup,
     decontaminate.op7_decontaminate,
+    jaccard_join.op8_jaccard_join,
     url_filter.op9_url_filter,
     packing.op10_packing,
 )}
