@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import ascii_lower, load, sha256_hex, with_key
+from retentio.llm.common import Scratch, ascii_lower, load, sha256_hex, with_key
 
 WORDS = 10
 #: Windows of the benchmark up to which their hashes are sent with the plan (about 20 bytes each).
@@ -104,8 +104,9 @@ def hit_words(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, runs, n_hit, items (null where nothing is hit)."""
     keyed = with_key(docs)
+    found = Scratch(docs.sparkSession, "benchmark").table(hits(keyed, items, n))  # read twice, and few
     counted = keyed.select("doc_id", *KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(hit_words(hits(keyed, items, n)), KEY, "left")
+    return counted.join(hit_words(found), KEY, "left")
 
 
 def drop_hit(docs: DataFrame, items: DataFrame, share: float = 0.0, n: int = WORDS) -> DataFrame:
