@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from retentio.llm import decontaminate, jaccard_join, line_dedup, packing, suffix_dedup, url_filter
+from retentio.llm import decontaminate, fingerprints, jaccard_join, line_dedup, packing, secrets, suffix_dedup, url_filter
 
 QUERIES = {f.__name__: f for f in (
+    secrets.op1_secret_scan,
     suffix_dedup.op2_suffix_dedup,
+    fingerprints.op3_fingerprints,
     line_dedup.op5_line_dedup,
     decontaminate.op7_decontaminate,
     jaccard_join.op8_jaccard_join,
