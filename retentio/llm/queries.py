@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from retentio.llm import decontaminate, fingerprints, jaccard_join, line_dedup, packing, secrets, suffix_dedup, url_filter
+from retentio.llm import (decontaminate, fingerprints, importance, jaccard_join, line_dedup, packing, secrets, suffix_dedup,
+                          toxicity, url_filter)
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
     suffix_dedup.op2_suffix_dedup,
     fingerprints.op3_fingerprints,
+    importance.op4_importance,
     line_dedup.op5_line_dedup,
+    toxicity.op6_toxicity,
     decontaminate.op7_decontaminate,
     jaccard_join.op8_jaccard_join,
     url_filter.op9_url_filter,
