@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of steps whose results are written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:

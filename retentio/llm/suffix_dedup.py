@@ -46,8 +46,8 @@ KMER = 20
 #: Strings of a run at most; longer runs (of periodic texts) are cut.
 RUN = 32
 HEAVY = 4096
-COLLECTION = 32_000
-CHUNK = 8 << 20
+COLLECTION = 4_000
+CHUNK = 4 << 20
 #: Bytes of text for each part of the minimizer test.
 PART_BYTES = 16 << 20
 KEY = ["d", "t"]
@@ -156,9 +156,10 @@ def in_two(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
-def record(h, d, t, start, n) -> dict:
-    return {"h": pa.array(h, pa.int64()), "d": pa.array(d, pa.int64()), "t": pa.array(t, pa.int32()),
-            "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int32())}
+def record(h, d, t, start, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "h": pa.array(h, pa.int64()), "d": pa.array(d, pa.int64()), "t": pa.array(t, pa.int32()),
+        "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int32())})
 
 
 def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
@@ -168,39 +169,42 @@ def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
             for rows in text_chunks(batch, "text", CHUNK):
                 raw, off = buffers(large(rows.column("text")))
                 h, row, start, n = runs(raw, off)
-                d, t = rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row].astype(np.int64)
-                here = in_two(h, d)
+                cols = h, rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row].astype(np.int64), start, n
                 # repeats within the chunk are known; one row of each tells the other chunks
-                one = np.zeros(len(h), bool)
-                if here.any():
-                    at = np.flatnonzero(here)
-                    one[at[np.unique(h[at], return_index=True)[1]]] = True
-                cols = record(h[here], d[here], t[here], start[here], n[here])
-                nothing = pa.nulls(int(here.sum()), pa.int32())
-                yield pa.RecordBatch.from_pydict(cols | {"part": nothing, "blob": pa.nulls(len(nothing), pa.binary())})
-                ask = np.flatnonzero(~here | one)
+                here = in_two(h, cols[1])
+                ask = ~here
+                at = np.flatnonzero(here)
+                ask[at[np.unique(h[at], return_index=True)[1]]] = True
+                ask = np.flatnonzero(ask)
                 part = h[ask] % parts
                 ask = ask[np.argsort(part, kind="stable")]
                 cuts = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
-                out = [(p, packed(*(x[ask[a:b]] for x in (h, d, t, start, n))))
+                out = [(p, False, packed(*(x[ask[a:b]] for x in cols)))
                        for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-                none = np.zeros(0, np.int64)
-                cols = {k: pa.nulls(len(out), v.type) for k, v in record(none, none, none, none, none).items()}
-                yield pa.RecordBatch.from_pydict(cols | {"part": pa.array([p for p, _ in out], pa.int32()),
-                                                         "blob": pa.array([b for _, b in out], pa.binary())})
+                if len(at):
+                    out.append((int(xxhash.xxh3_64_intdigest(packed(*(x[at[:64]] for x in cols))) % parts), True,
+                                packed(*(x[at] for x in cols))))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([x[0] for x in out], pa.int32()),
+                                                  "known": pa.array([x[1] for x in out], pa.bool_()),
+                                                  "blob": pa.array([x[2] for x in out], pa.binary())})
 
     def meet(batches):
-        got = [unpacked(x) for batch in batches for x in batch.column("blob").to_pylist()]
+        got = []
+        for batch in batches:
+            for known, blob in zip(batch.column("known").to_pylist(), batch.column("blob")):
+                if known:
+                    yield record(*unpacked(blob.as_py()))
+                else:
+                    got.append(blob.as_py())
         if got:
-            cols = [np.concatenate(x) for x in zip(*got)]
-            del got
-            both = in_two(cols[0], cols[1])
-            at = np.flatnonzero(both)
+            cols = [np.concatenate(x) for x in zip(*map(unpacked, got))]
+            got.clear()
+            at = np.flatnonzero(in_two(cols[0], cols[1]))
             for i in range(0, len(at), 200_000):
-                yield pa.RecordBatch.from_pydict(record(*(x[at[i:i + 200_000]] for x in cols)))
+                yield record(*(x[at[i:i + 200_000]] for x in cols))
 
-    seen = docs.mapInArrow(look, FOUND + ", part int, blob binary")
-    return seen, meet
+    asked = docs.mapInArrow(look, "part int, known boolean, blob binary").repartition(parts, "part")
+    return asked.select("known", "blob").mapInArrow(meet, FOUND)
 
 
 def strings_of(rows: pa.RecordBatch):
@@ -269,20 +273,19 @@ class RangeMin:
     """Minima of ranges of a byte array, by a table over powers of two."""
 
     def __init__(self, x: np.ndarray):
-        self.levels = [x]
-        while len(self.levels[-1]) > (1 << (len(self.levels) - 1)):
-            y, half = self.levels[-1], 1 << (len(self.levels) - 1)
-            self.levels.append(np.minimum(y[:-half], y[half:]))
+        self.n = len(x)
+        levels = [x]
+        while (half := 1 << (len(levels) - 1)) * 2 <= self.n:
+            y = levels[-1].copy()
+            np.minimum(levels[-1][:-half], levels[-1][half:], out=y[:-half])
+            levels.append(y)
+        self.table = np.concatenate(levels)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Minimum of x[a..b], both ends included, a <= b."""
-        k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(a), np.uint8)
-        for level in np.unique(k):
-            at = k == level
-            y = self.levels[level]
-            out[at] = np.minimum(y[a[at]], y[b[at] - (1 << int(level)) + 1])
-        return out
+        k = np.frexp((b - a + 1).astype(np.float32))[1].astype(np.int64) - 1
+        base = k * self.n
+        return np.minimum(self.table[base + a], self.table[base + b - (1 << k) + 1])
 
 
 def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,41 +302,46 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     deep = int(size.max(initial=0))
 
     def before(who: np.ndarray, length: int) -> np.ndarray:
-        """Symbol (1 to 256) in front of the suffixes of ``length`` symbols; 0 for whole strings."""
-        out = np.zeros(len(who), np.uint16)
+        """Symbol in front of the suffixes of ``length`` symbols; 0 for whole strings.  UTF-8 has no
+        byte above 0xF4, so bytes move up by one."""
+        out = np.zeros(len(who), np.uint8)
         more = size[who] > length
-        out[more] = flat[ends[who[more]] - length - 1].astype(np.uint16) + 1
+        out[more] = flat[ends[who[more]] - length - 1] + np.uint8(1)
         return out
 
     # round 0: the empty suffix of every string, in the strings' order
-    who = np.arange(count)
-    bwt, lcp, ref = before(who, 0), np.zeros(count, np.uint8), who * 256
+    who = np.arange(count, dtype=np.int32)
+    bwt, lcp, ref = before(who, 0), np.zeros(count, np.uint8), who * np.int32(128)
     new = np.ones(count, bool)
     for j in range(1, deep + 1):
-        order = np.argsort(bwt, kind="stable")
-        order = order[np.searchsorted(bwt[order], 1):] if (bwt == 0).any() else order
+        # whole strings have no symbol in front and come first
+        order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt):]
         # behind the empty suffixes: a suffix for each symbol of the transform, in its order
         fresh = new[order]
         at = np.flatnonzero(fresh)
-        who = ref[order[at]] >> 8
-        out = [np.empty(count + len(order), x.dtype) for x in (bwt, lcp, ref)]
-        for y, x, put in zip(out, (bwt, lcp, ref), (before(who, j), 0, who * 256 + j)):
+        old = count + np.flatnonzero(~fresh)
+        who = ref[order[at]] >> 7
+        n = count + len(order)
+        out = [np.empty(n, x.dtype) for x in (bwt, lcp, ref)]
+        for y, x, put in zip(out, (bwt, lcp, ref), (before(who, j), 0, who * np.int32(128) + np.int32(j))):
             y[:count] = x[:count]
-            tail = y[count:]
-            tail[~fresh] = x[count:]
-            tail[at] = put
+            y[old] = x[count:]
+            y[count + at] = put
         # common prefixes of the new suffixes with the ones before, and of the ones behind with them
-        look = np.unique(np.concatenate((at, at + 1)))
-        look = look[look < len(order)]
-        inner = look[look > 0]
-        same = inner[bwt[order[inner]] == bwt[order[inner - 1]]]
+        touched = np.zeros(len(order) + 1, bool)
+        touched[at] = True
+        touched[at + 1] = True
+        look = np.flatnonzero(touched[:-1])
         out[1][count + look] = 0
-        if len(same):
-            out[1][count + same] = 1 + RangeMin(lcp)(order[same - 1] + 1, order[same])
-        new = np.zeros(count + len(order), bool)
+        look = look[look > 0]
+        x, y = order[look - 1], order[look]
+        same = bwt[x] == bwt[y]
+        if same.any():
+            out[1][count + look[same]] = 1 + RangeMin(lcp)(x[same] + 1, y[same])
+        new = np.zeros(n, bool)
         new[count + at] = True
         bwt, lcp, ref = out
-    return ref >> 8, ref & 255, lcp
+    return ref >> 7, ref & 127, lcp
 
 
 def first_documents(strings: list[bytes], lo: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -369,8 +377,15 @@ def solve(batches):
         np.maximum.at(hi, code, rows.column("hi").to_numpy())
         h, name = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
         h[code], name[code] = rows.column("h").to_numpy(), rows.column("name").to_numpy()
-        first = first_documents(strings, lo)
         n = np.fromiter((len(s) for s in strings), np.int64, len(strings)) - LENGTH + 1
+        # a string that is alone with its minimizer shares nothing with another one
+        first = np.repeat(lo, n)
+        _, group, times = np.unique(h, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(times[group] > 1)
+        mine = np.zeros(len(strings), bool)
+        mine[many] = True
+        if len(many):
+            first[np.repeat(mine, n)] = first_documents([strings[i] for i in many.tolist()], lo[many])
         of = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         opens = np.r_[True, (of[1:] != of[:-1]) | (first[1:] != first[:-1])]
@@ -420,14 +435,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     placed = with_place(docs)
     total = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // PART_BYTES))
-    seen, meet = repeated_runs(placed, parts)
-    seen = scratch.table(seen)
-    asked = seen.where("part IS NOT NULL").select("part", "blob").repartition(parts, "part").select("blob")
     # a chunk's row for a repeat that it knows itself may come back from the test
-    found = scratch.table(seen.where("part IS NULL").select("h", *KEY, "start", "n")
-                          .union(asked.mapInArrow(meet, FOUND)))
-    scratch.drop(seen)
-    heavy = found.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HEAVY).select("h", F.lit(True).alias("heavy"))
+    found = scratch.table(repeated_runs(placed, parts))
+    scratch.release()
+    heavy = scratch.table(found.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HEAVY)
+                          .select("h", F.lit(True).alias("heavy")))
     collections = max(1, -(-found.count() // COLLECTION))
     marked = found.join(heavy, "h", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     by_doc = marked.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "h", "heavy")).alias("runs"))
