@@ -111,7 +111,13 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFram
 
 def drop_hit(docs: DataFrame, items: DataFrame, share: float = 0.0, n: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, less those with more than ``share`` of their words hit."""
-    found = contamination(docs, items, n).where(F.col("n_hit") > share * F.col("n_words")).select(*KEY).distinct()
+    keyed = with_key(docs)
+    found = hit_words(Scratch(docs.sparkSession, "benchmark").table(hits(keyed, items, n))).select(*KEY, "n_hit")
+    if share > 0:
+        counted = keyed.select(*KEY, F.size(words(F.col("text"))).alias("n_words"))
+        found = found.join(counted, KEY).where(F.col("n_hit") > share * F.col("n_words"))
+    # few rows: written, so that their size decides how they are joined
+    found = Scratch(docs.sparkSession, "benchmark").table(found.select(*KEY).distinct())
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                        F.coalesce(docs["doc_id"].cast("long"), F.lit(-2**63)).alias("d"), F.xxhash64(text).alias("t"))

@@ -31,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, id_and_text, load
+from retentio.llm.common import Scratch, load, with_key
 from retentio.llm.tokens import large, text_chunks
 
 WORDS = 5
@@ -95,7 +95,7 @@ def table(columns: dict) -> pa.RecordBatch:
 
 
 def members_and_counts(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, c) for each document, and each task's (bucket, count) of shingles."""
+    """A row (doc_id, t, n, c) for each document, and each task's (bucket, count) of shingles."""
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -105,14 +105,14 @@ def members_and_counts(docs: DataFrame) -> DataFrame:
                     counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64),
                                           minlength=BUCKETS)
                 none = pa.nulls(len(sets), pa.int64())
-                yield table({"doc_id": rows.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                yield table({"doc_id": rows.column("doc_id"), "t": rows.column("t"), "n": pa.array([len(s) for s in sets], pa.int64()),
                              "c": pa.array([class_of(s) for s in sets], pa.int64()), "bucket": none, "count": none})
         used = np.flatnonzero(counts)
         none = pa.nulls(len(used), pa.int64())
-        yield table({"doc_id": none, "n": none, "c": none, "bucket": pa.array(used, pa.int64()),
+        yield table({"doc_id": none, "t": none, "n": none, "c": none, "bucket": pa.array(used, pa.int64()),
                      "count": pa.array(counts[used], pa.int64())})
 
-    return docs.mapInArrow(run, "doc_id long, n long, c long, bucket long, count long")
+    return docs.mapInArrow(run, "doc_id long, t long, n long, c long, bucket long, count long")
 
 
 def prefix_size(n: int) -> int:
@@ -274,9 +274,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, c) of each document, and (c, comp) of each class that is linked with another."""
+    """(doc_id, t, n, c) of each document, and (c, comp) of each class that is linked with another."""
     first = scratch.table(members_and_counts(docs))
-    members = first.where("bucket IS NULL").select("doc_id", "n", "c")
+    members = first.where("bucket IS NULL").select("doc_id", "t", "n", "c")
     got = first.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
@@ -311,16 +311,36 @@ def similar_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
             return members, labels
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, n, comp) of each row of (doc_id, d, t, text); comp is null for empty sets."""
+    members, labels = similar_classes(docs, Scratch(docs.sparkSession, "jaccard"))
+    return members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    members, labels = similar_classes(id_and_text(docs), scratch)
-    named = members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    named = grouped(with_key(docs))
     smallest = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component: that of the smallest doc_id
+    (null before any other; of equal ones the smallest text hash; of equal rows one).  Rows with an
+    empty set all stay."""
+    named = grouped(with_key(docs)).withColumn("d", F.coalesce("doc_id", F.lit(-2**63)))
+    stay = (named.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("d", "t")).alias("k"))
+            .select("k.*", F.lit(True).alias("one"))
+            .unionByName(named.where("comp IS NULL").select("d", "t", F.lit(False).alias("one")).distinct()))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                       F.coalesce(docs["doc_id"].cast("long"), F.lit(-2**63)).alias("d"), F.xxhash64(text).alias("t"))
+    same = Window.partitionBy("d", "t").orderBy(F.lit(0))
+    kept = rows.join(stay, ["d", "t"]).withColumn("nth", F.row_number().over(same))
+    return kept.where(~F.col("one") | (F.col("nth") == 1)).select("row.*")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(load(spark, sf_dir, "documents"))
