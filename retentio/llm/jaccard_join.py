@@ -10,11 +10,15 @@ pass a suffix filter on shingle counts by hash range, and each remaining pair
 is verified once on the whole sets.
 
 A group of near copies shares its prefix shingles, and all its pairs would
-grow with the square of its size.  What is asked for is components, so rounds
-of pivots come first: each shingle's class with the fewest rarer shingles is
-compared with the others, and links join components.  Only pairs of classes
-that still lie in different components are enumerated, and none of those is
-left out; rounds go on until that number is no more than a few per prefix row.
+grow with the square of its size.  What is asked for is components, so
+``PIVOT_ROUNDS`` rounds of pivots come first: each shingle's class with the
+fewest rarer shingles is compared with the others, and links join components.
+Then only pairs of classes that still lie in different components are
+enumerated, and none of those is left out.
+
+Prefix rows are tested for a second class in packed form: what a chunk of
+texts already shows to be shared is dealt out evenly, and one row of it goes
+on to the global test, so a shingle that many classes share gathers nowhere.
 
 Defined cases: null or empty text, or text of white space alone, has an empty
 set and links with nothing; fewer than five words are one shingle; repeated
@@ -31,22 +35,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retentio.llm.common import Scratch, load, with_key
+from retentio.llm.suffix_dedup import in_two
 from retentio.llm.tokens import large, text_chunks
 
 WORDS = 5
 #: Similarity as a fraction: NUM / DEN.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 17
-#: Bits of the filter that picks the classes whose sets are gathered (8 MB; more classes only
-#: gather more sets).
+BUCKETS = 1 << 20
+#: Counts travel in pieces of this many buckets.
+PIECE = 1 << 14
+#: Bits of the filter that picks the texts whose sets are gathered (8 MB; more texts only gather
+#: more sets).
 FILTER_BITS = 1 << 26
 RANGES = 64
-#: Enumerate the pairs of different components once they are at most this many per prefix row.
-PAIRS_PER_ROW = 2
+PIVOT_ROUNDS = 2
+CHUNK = 2 << 20
+#: Bytes of text for each part of the test for a second class.
+PART_BYTES = 16 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,100 +105,156 @@ def table(columns: dict) -> pa.RecordBatch:
 
 
 def members_and_counts(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, t, n, c) for each document, and each task's (bucket, count) of shingles."""
+    """A row (doc_id, t, n, c, ranges) for each document, ranges being how many shingles lie in each of
+    ``RANGES`` hash ranges; and each task's shingle counts (piece, blob)."""
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for rows in text_chunks(batch, "text"):
+            for rows in text_chunks(batch, "text", CHUNK):
                 sets = shingle_sets(rows.column("text"))
-                if sets:
-                    counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64),
-                                          minlength=BUCKETS)
-                none = pa.nulls(len(sets), pa.int64())
-                yield table({"doc_id": rows.column("doc_id"), "t": rows.column("t"), "n": pa.array([len(s) for s in sets], pa.int64()),
-                             "c": pa.array([class_of(s) for s in sets], pa.int64()), "bucket": none, "count": none})
-        used = np.flatnonzero(counts)
+                if not sets:
+                    continue
+                flat = np.concatenate(sets)
+                counts += np.bincount((flat % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                n = np.asarray([len(s) for s in sets])
+                of = np.repeat(np.arange(len(n)), n) * RANGES + (flat >> np.uint64(58)).astype(np.int64)
+                ranges = np.bincount(of, minlength=len(n) * RANGES).astype("<i4").reshape(len(n), RANGES)
+                yield table({"doc_id": rows.column("doc_id"), "t": rows.column("t"), "n": pa.array(n, pa.int64()),
+                             "c": pa.array([class_of(s) for s in sets], pa.int64()),
+                             "ranges": pa.array([r.tobytes() for r in ranges], pa.binary()),
+                             "piece": pa.nulls(len(n), pa.int32()), "blob": pa.nulls(len(n), pa.binary())})
+        used = [i for i in range(BUCKETS // PIECE) if counts[i * PIECE:(i + 1) * PIECE].any()]
         none = pa.nulls(len(used), pa.int64())
-        yield table({"doc_id": none, "t": none, "n": none, "c": none, "bucket": pa.array(used, pa.int64()),
-                     "count": pa.array(counts[used], pa.int64())})
+        yield table({"doc_id": none, "t": none, "n": none, "c": none, "ranges": pa.nulls(len(used), pa.binary()),
+                     "piece": pa.array(used, pa.int32()), "blob": pa.array(
+                         [pack(counts[i * PIECE:(i + 1) * PIECE]) for i in used], pa.binary())})
+
+    return docs.mapInArrow(run, "doc_id long, t long, n long, c long, ranges binary, piece int, blob binary")
+
+
+def corpus_counts(pieces: DataFrame) -> np.ndarray:
+    """The tasks' counts added up, ``BUCKETS`` numbers."""
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for piece, blob in zip(batch.column("piece").to_pylist(), batch.column("blob")):
+                part = unpack(blob.as_py())[0]
+                sums[piece] = sums[piece] + part if piece in sums else part
+        yield table({"piece": pa.array(list(sums), pa.int32()), "blob": pa.array([pack(x) for x in sums.values()], pa.binary())})
+
+    got = pieces.repartition("piece").mapInArrow(add, "piece int, blob binary").toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    for piece, blob in zip(got.column("piece").to_pylist(), got.column("blob")):
+        out[piece * PIECE:(piece + 1) * PIECE] = unpack(blob.as_py())[0]
+    return out
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Integer columns of one length as one compressed value, as differences."""
+    body = b"".join(np.diff(x.astype(np.int64), prepend=0).astype("<i8").tobytes() for x in columns)
+    return zstandard.ZstdCompressor(level=1).compress(len(columns).to_bytes(8, "little") + body)
 
-    return docs.mapInArrow(run, "doc_id long, t long, n long, c long, bucket long, count long")
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    body = np.frombuffer(raw, "<i8", offset=8).reshape(int.from_bytes(raw[:8], "little"), -1)
+    return list(np.cumsum(body, axis=1))
 
 
 def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, c, n, pos): the rarest shingles of each set, as many as a link can need."""
+def prefixes(shingles: list[np.ndarray], freq: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(token, c, n, pos) of the rarest shingles of each set, as many as a link can need; equal sets
+    once."""
+    out, seen = ([], [], [], []), set()
+    for s in shingles:
+        c = class_of(s)
+        if c is None or c in seen:
+            continue
+        seen.add(c)
+        k = prefix_size(len(s))
+        # a stable sort of the sorted hashes: rare buckets first, then by hash
+        rare = np.argsort(freq[(s % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")[:k]
+        for x, y in zip(out, (s[rare].view(np.int64), np.full(k, c), np.full(k, len(s)), np.arange(k))):
+            x.append(y)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
+
+ROW = "token long, c long, n long, pos long"
+
+
+def shared_rows(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+    """(token, c, n, pos): the prefix rows whose shingle is in the prefix of another class too."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches):
-        freq = shared.value
+    def look(batches):
         for batch in batches:
-            for rows in text_chunks(batch, "text"):
-                token, c, n, pos = [], [], [], []
-                for s in shingle_sets(rows.column("text")):
-                    if len(s):
-                        k = prefix_size(len(s))
-                        # a stable sort of the sorted hashes: rare buckets first, then by hash
-                        token.append(s[np.argsort(freq[s % np.uint64(BUCKETS)], kind="stable")[:k]])
-                        c.append(np.full(k, class_of(s), np.int64))
-                        n.append(np.full(k, len(s), np.int32))
-                        pos.append(np.arange(k, dtype=np.int32))
-                if token:
-                    yield table({"token": np.concatenate(token).view(np.int64), "c": np.concatenate(c),
-                                 "n": np.concatenate(n), "pos": np.concatenate(pos)})
-
-    return docs.mapInArrow(run, "token long, c long, n int, pos int")
+            for rows in text_chunks(batch, "text", CHUNK):
+                cols = prefixes(shingle_sets(rows.column("text")), shared.value)
+                token = cols[0]
+                here = in_two(token, cols[1])
+                at, ask = np.flatnonzero(here), ~here
+                ask[at[np.unique(token[at], return_index=True)[1]]] = True
+                ask = np.flatnonzero(ask)
+                part = (token[ask].view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+                out = [(p, False, pack(*(x[ask[order[a:b]]] for x in cols)))
+                       for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+                if len(at):
+                    out.append((int(token[at[0]]) % parts, True, pack(*(x[at] for x in cols))))
+                yield table({"part": pa.array([x[0] for x in out], pa.int32()), "known": pa.array([x[1] for x in out], pa.bool_()),
+                             "blob": pa.array([x[2] for x in out], pa.binary())})
+
+    def meet(batches):
+        names, got = ("token", "c", "n", "pos"), []
+        for batch in batches:
+            for known, blob in zip(batch.column("known").to_pylist(), batch.column("blob")):
+                if known:
+                    yield table(dict(zip(names, unpack(blob.as_py()))))
+                else:
+                    got.append(blob.as_py())
+        if got:
+            cols = [np.concatenate(x) for x in zip(*map(unpack, got))]
+            at = np.flatnonzero(in_two(cols[0], cols[1]))
+            for i in range(0, len(at), 200_000):
+                yield table({k: x[at[i:i + 200_000]] for k, x in zip(names, cols)})
+
+    asked = docs.mapInArrow(look, "part int, known boolean, blob binary").repartition(parts, "part")
+    return asked.select("known", "blob").mapInArrow(meet, ROW).dropDuplicates(["token", "c"])
 
 
 def gathered_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(c, shingles, ranges) of each class that the bit filter may hold: the whole set as bytes, and
-    how many shingles lie in each of ``RANGES`` hash ranges."""
+    """(c, shingles): the sets, as bytes, of the texts whose hash ``t`` the bit filter may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        held, seen = shared.value, set()
+        seen = set()
         for batch in batches:
-            for rows in text_chunks(batch, "text"):
-                out = {"c": [], "shingles": [], "ranges": []}
-                for s in shingle_sets(rows.column("text")):
-                    c = class_of(s)
-                    if c is None or c in seen or not may_hold(held, c):
-                        continue
-                    seen.add(c)
-                    out["c"].append(c)
-                    out["shingles"].append(s.tobytes())
-                    out["ranges"].append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
-                                         .astype(np.int32).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["c"], pa.int64()), pa.array(out["shingles"], pa.binary()),
-                     pa.array(out["ranges"], pa.list_(pa.int32()))], names=["c", "shingles", "ranges"])
-
-    one = docs.mapInArrow(run, "c long, shingles binary, ranges array<int>")
-    return one.dropDuplicates(["c"])
-
-
-def may_hold(bits: np.ndarray, c: int) -> bool:
-    at = c % FILTER_BITS
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
-def bit_filter(classes: DataFrame) -> np.ndarray:
-    """``FILTER_BITS`` bits with those of all classes set; each task sends one such field at most."""
-    def run(batches):
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            at = batch.column("c").to_numpy() % FILTER_BITS
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        used = np.flatnonzero(bits)
-        yield table({"at": pa.array(used, pa.int64()), "byte": pa.array(bits[used], pa.int32())})
+            mine = batch.filter(pa.array(may_hold(shared.value, batch.column("t").to_numpy())))
+            for rows in text_chunks(mine, "text", CHUNK):
+                out = {c: s for s in shingle_sets(rows.column("text")) if (c := class_of(s)) not in seen and c is not None}
+                seen |= set(out)
+                yield table({"c": pa.array(list(out), pa.int64()),
+                             "shingles": pa.array([s.tobytes() for s in out.values()], pa.binary())})
+
+    return docs.select("t", "text").mapInArrow(run, "c long, shingles binary").dropDuplicates(["c"])
+
 
-    rows = (classes.select("c").mapInArrow(run, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
-            .toArrow())
+def may_hold(bits: np.ndarray, t: np.ndarray) -> np.ndarray:
+    at = t % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_filter(rows: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits with those of all ``t`` set; no more than the field itself is collected."""
+    at = F.pmod("t", F.lit(FILTER_BITS))
+    got = (rows.select(F.floor(at / 8).cast("int").alias("at"), F.expr("shiftleft(1, int(pmod(t, 8)))").alias("byte"))
+           .groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow())
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    bits[rows.column("at").to_numpy()] = rows.column("byte").to_numpy()
+    bits[got.column("at").to_numpy()] = got.column("byte").to_numpy()
     return bits
 
 
@@ -206,8 +272,7 @@ def pair(c1: str, c2: str) -> list[Column]:
 def pivot_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): in each token's rows, the class with the lowest position against every class of
     another component."""
-    lists = rows.groupBy("token").agg(F.min(F.struct("pos", "c", "n", "comp")).alias("p"),
-                                      F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    lists = rows.groupBy("token").agg(F.min(F.struct("pos", "c", "n", "comp")).alias("p"))
     met = rows.join(lists.select("token", "p"), "token").where(
         (F.col("comp") != F.col("p.comp"))
         & filtered(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
@@ -222,23 +287,23 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
 
 
-def cross_count(rows: DataFrame) -> int:
-    """How many pairs of rows of one token lie in different components, before any filter."""
-    per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    one = per.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    return one.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
+def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sets may overlap enough by their counts in each hash range."""
+    of = lambda x: classes.select(F.col("c").alias(x), F.col("ranges").alias(f"r{x}"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, RANGES) for c in ("ra", "rb"))
+            # sets that differ by more in their hash ranges than a link allows
+            keep = (NUM + DEN) * np.abs(x - y).sum(axis=1) <= (DEN - NUM) * (x.sum(axis=1) + y.sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of NUM / DEN or more."""
-    slim = sets.select("c", "ranges", (F.length("shingles") / 8).cast("int").alias("n"))
-    p = (pairs.join(slim.select(F.col("c").alias("a"), F.col("ranges").alias("ra"), F.col("n").alias("na")), "a")
-         .join(slim.select(F.col("c").alias("b"), F.col("ranges").alias("rb"), F.col("n").alias("nb")), "b"))
-    # suffix filter: sets that differ by more in their hash ranges than a link allows
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda u, v: F.abs(u - v)), F.lit(0), lambda s, x: s + x)
-    p = p.where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb"))).select("a", "b")
-    # the class in more pairs travels once: sort the pairs so that its rows lie together
-    both = (p.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = (pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b"))
 
     def run(batches):
@@ -254,8 +319,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(c, comp) for the classes in ``links`` (a, b): the smallest class reachable.  Each round takes
-    the smallest label of the neighbours, then the label of the label, and is written."""
+    """(c, comp) for the nodes of ``links`` (a, b): the smallest node reachable.  Each round takes the
+    smallest label of the neighbours, then the label of that label, and is written."""
     edges = scratch.table(links.select("a", "b").union(links.select("b", "a")))
     labels = scratch.table(edges.groupBy(F.col("a").alias("c")).agg(F.least(F.col("c"), F.min("b")).alias("comp")))
     while True:
@@ -263,52 +328,63 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
                 .agg(F.min("comp").alias("near")))
         step = labels.join(near, "c").select("c", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         far = labels.select(F.col("c").alias("comp"), F.col("comp").alias("far"))
-        step = step.join(far, "comp", "left").select("c", "old", F.coalesce("far", "comp").alias("comp"))
-        new = scratch.table(step)
-        changed = new.where("old != comp").limit(1).count()
-        scratch.drop(labels)
-        labels = new.select("c", "comp")
-        labels._scratch_path = new._scratch_path
-        if not changed:
+        step = scratch.table(step.join(far, "comp", "left").select("c", "old", F.coalesce("far", "comp").alias("comp")))
+        done = not step.where("old != comp").limit(1).count()
+        labels = step.select("c", "comp")
+        if done:
             return labels
 
 
+def relabelled(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (c, comp) after joining the components that ``links`` connect."""
+    if labels is None:
+        return components(links, scratch)
+    of = lambda x: labels.select(F.col("c").alias(x), F.col("comp").alias(f"c{x}"))
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct())
+    merged = components(between, scratch).select(F.col("c").alias("comp"), F.col("comp").alias("top"))
+    kept = labels.join(merged, "comp", "left").select("c", F.coalesce("top", "comp").alias("comp"))
+    # a merged node that no label names yet is a class by itself
+    fresh = merged.join(labels, merged["comp"] == labels["c"], "left_anti").select(
+        F.col("comp").alias("c"), F.col("top").alias("comp"))
+    return scratch.table(kept.unionByName(fresh))
+
+
 def similar_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, t, n, c) of each document, and (c, comp) of each class that is linked with another."""
+    """(doc_id, t, n, c) of each document of (doc_id, t, text), and (c, comp) of each class that is
+    linked with another."""
+    docs = docs.select("doc_id", "t", "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     first = scratch.table(members_and_counts(docs))
-    members = first.where("bucket IS NULL").select("doc_id", "t", "n", "c")
-    got = first.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toArrow()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
-    # one shuffle serves both the test for more than one class and the rows that pass it
-    rows = prefixes(docs, counts).repartition("token")
-    shared = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-    rows = scratch.table(rows.join(shared.select("token"), "token").dropDuplicates(["token", "c"]))
-    sets = scratch.table(gathered_sets(docs, bit_filter(rows)))
-    links, tried, labels = None, None, None
-    while True:
-        if labels is None:
-            now = rows.withColumn("comp", F.col("c"))
-        else:
-            now = rows.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    members = first.where("piece IS NULL").select("doc_id", "t", "n", "c")
+    counts = corpus_counts(first.where("piece IS NOT NULL").select("piece", "blob"))
+    rows = scratch.table(shared_rows(docs, counts, max(8, -(-total // PART_BYTES))))
+    scratch.release()
+    # of each class that may link: the ranges, and the hash of one of its texts
+    asked = rows.select("c").distinct()
+    classes = scratch.table(first.where("c IS NOT NULL").join(asked, "c").groupBy("c").agg(
+        F.min(F.struct("t", "ranges")).alias("x")).select("c", "x.t", "x.ranges"))
+    sets, labels, tried = None, None, None
+    for turn in range(PIVOT_ROUNDS + 1):
+        now = rows.withColumn("comp", F.col("c")) if labels is None else rows.join(labels, "c", "left").withColumn(
+            "comp", F.coalesce("comp", "c"))
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
         now = scratch.table(now.join(mixed.select("token"), "token").select("token", "c", "n", "pos", "comp"))
-        left, many = cross_count(now), now.count()
-        last = left <= max(PAIRS_PER_ROW * many, 100_000)
-        pairs = cross_pairs(now) if last else pivot_pairs(now)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs)
-        if not last:
-            # a pivot has now met all of its token's rows, so the next round takes another
-            met = now.groupBy("token").agg(F.min(F.struct("pos", "c")).alias("p"))
-            rows = scratch.table(now.join(met, "token").where(F.col("c") != F.col("p.c")).select("token", "c", "n", "pos"))
-        found = scratch.table(verified(pairs, sets))
-        links = found if links is None else links.union(found)
+        pairs = cross_pairs(now) if turn == PIVOT_ROUNDS else pivot_pairs(now)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.table(suffix_filtered(pairs, classes))
         tried = pairs if tried is None else tried.union(pairs)
-        labels = components(links, scratch)
-        if last:
-            return members, labels
+        need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+        need = need if sets is None else need.join(sets.select("c"), "c", "left_anti")
+        more = scratch.table(gathered_sets(docs, bit_filter(classes.join(need, "c").select("t"))))
+        sets = more if sets is None else sets.union(more.join(sets.select("c"), "c", "left_anti"))
+        links = scratch.table(verified(pairs, sets))
+        labels = relabelled(labels, links, scratch)
+        if turn < PIVOT_ROUNDS:
+            # the pivots have now met all rows of their tokens
+            met = now.groupBy("token").agg(F.min(F.struct("pos", "c")).alias("p"))
+            rows = now.join(met, "token").where(F.col("c") != F.col("p.c")).select("token", "c", "n", "pos")
+    return members, labels
 
 
 def grouped(docs: DataFrame) -> DataFrame:
