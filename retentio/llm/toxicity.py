@@ -4,13 +4,14 @@ Words may be written with look-alike characters, with separators between the
 letters or with letters repeated.  Each such stretch becomes a lattice - every
 character offers the letters it may stand for, or nothing, at a cost - and
 Viterbi search under a character language model picks the likeliest reading.
-The restored text is scored: words that labelled toxic documents have far more
-often than others add their log-odds.
+The restored text is scored by its most telling feature: a feature is a word or
+its first 4 or 5 letters (5 also by how many words share them), and its probability the lower confidence bound of
+the share of toxic documents among the labelled ones that have it.
 
 The language model interpolates counts of 1 to 4 characters (UTF-8 bytes) over
 the whole corpus, in hashed tables of fixed size.  Word statistics are fitted
 on at most ``FIT_ROWS`` labelled rows, never on the held-out fifth (crc32 of
-the doc_id as text, modulo 5, is 0), and at most ``WORDS`` words are kept.
+the doc_id as text, modulo 5, is 0), and at most ``WORDS`` features are kept.
 Scores read the text alone.
 
 Defined cases: null or empty text has no words and gets the score of a text
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from retentio.llm.tokens import buffers, large, text_chunks
 
 FIT_ROWS = 100_000
 WORDS = 4096
+#: Squared width of the confidence bound, and the least bound of a telling feature.
+Z2, LEAST = 7.0, 0.2
 LONGEST = 48
 #: Table sizes for 1, 2, 3 and 4 characters.
 SIZES = (1 << 8, 1 << 16, 1 << 18, 1 << 20)
@@ -159,16 +163,19 @@ class Decoder:
         def one(m):
             s = m.group()
             # codes and numbers are no words: at least half letters, and short
-            return self.read(s) if len(s) <= LONGEST and 2 * sum(c.isdigit() for c in s) <= len(s) else s
+            return self.read(s) if len(s) <= LONGEST and 3 * sum(c.isdigit() for c in s) <= 2 * len(s) else s
         return STRETCH.sub(one, text)
 
-    def words(self, text: str) -> set[str]:
-        """Words of the restored text."""
-        return set(WORD.findall(self.restore(text.lower())))
+    def features(self, text: str) -> set[str]:
+        """Words of the restored text and the first letters of longer ones, marked by their number."""
+        words = set(WORD.findall(self.restore(text.lower())))
+        five = Counter(w[:5] for w in words if len(w) > 5)
+        return (words | {f"4{w[:4]}" for w in words if len(w) > 4} | {f"5{w}" for w in five}
+                | {f"{min(n, 3)}x{w}" for w, n in five.items() if n > 1})
 
 
 def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most: int = WORDS) -> tuple[float, dict]:
-    """(log-odds of a text without toxic words, log-odds that each toxic word adds)."""
+    """(score of a text without telling features, score that each telling feature gives)."""
     usable = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
               .select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic"))
               .where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0).distinct())
@@ -188,8 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
             found = {}
             for i in mine:
                 side = int(toxic[at[i]])
-                # the empty word counts the documents
-                for w in decoder.words(batch.column("text")[int(i)].as_py() or "") | {""}:
+                # the empty feature counts the documents
+                for w in decoder.features(batch.column("text")[int(i)].as_py() or "") | {""}:
                     found.setdefault(w, [0, 0])[side] += 1
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()),
                                               "clean": pa.array([v[0] for v in found.values()], pa.int64()),
@@ -199,18 +206,15 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
            .mapInArrow(run, "word string, clean long, toxic long")
            .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     n_clean, n_toxic = (per.where("word = ''").select("clean", "toxic").first() or (0, 0))
-    if not n_clean or not n_toxic:
-        return math.log((n_toxic + 0.5) / (n_clean + 0.5)), {}
-    # p(word | toxic) against p(word | clean), and how sure the difference is
-    pt, pc_ = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
-    weight = F.log(pt / pc_)
-    sure = weight / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    rows = (per.where("word != ''").select("word", weight.alias("weight"), sure.alias("sure"))
-            .where((F.col("weight") > math.log(4)) & (F.col("sure") > 3)).orderBy(F.desc("sure"), "word").limit(most).collect())
-    # without any toxic word, a text is taken to be as unlikely toxic as one sure word is telling
-    prior = math.log(n_toxic / n_clean)
-    strongest = max((r["weight"] for r in rows), default=0.0)
-    return min(prior, -strongest / 2), {r["word"]: r["weight"] for r in rows}
+    # Wilson's lower bound of toxic / (toxic + clean)
+    n = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    low = (share + Z2 / (2 * n) - F.sqrt(Z2 * (share * (1 - share) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
+    # at most `most` rows
+    rows = (per.where("word != ''").select("word", low.alias("low")).where(F.col("low") > LEAST)
+            .orderBy(F.desc("low"), "word").limit(most).collect())
+    # texts without telling features are rarely toxic: half the share of toxic ones, below any feature
+    return min(LEAST, 0.5 * n_toxic / max(1, n_clean + n_toxic)), {r["word"]: r["low"] for r in rows}
 
 
 def scores(docs: DataFrame, lm, base: float, weights: dict) -> DataFrame:
@@ -218,13 +222,11 @@ def scores(docs: DataFrame, lm, base: float, weights: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((lm, base, weights))
 
     def run(batches):
-        tables, b, of = shared.value
+        tables, least, of = shared.value
         decoder, known = Decoder(tables), set(of)
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                z = b + sum(of[w] for w in sorted(decoder.words(text.as_py() or "") & known))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            out = [max([least, *(of[w] for w in decoder.features(text.as_py() or "") & known)])
+                   for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
