@@ -28,20 +28,22 @@ from retentio.llm.common import Scratch, load, running_sums, sha256_hex, with_ke
 
 REACH = 256
 KEY = ["d", "t"]
-#: kind -> (pattern, group that is measured, its least length); matches that fail are dropped.
+#: kind -> (pattern, group that is measured, its least length, what a text must hold at all); matches
+#: that fail are dropped.  A run of capitals or hex digits that is long enough is the same match
+#: whether the length is asked inside the pattern or after it; an assignment is not.
 STRONG = {
-    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": (r"AKIA[A-Z0-9]+", 0, 20),
-    "hex": (r"[0-9a-f]+", 0, 24),
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "[:=]"),
+    "access": (r"AKIA[A-Z0-9]{16,}", 0, 20, "AKIA"),
+    "hex": (r"[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
 }
 WEAK = {
     "ident": (r"""(?<![A-Za-z0-9_])(?:(?i:access_?key(?:_?id)?|client_?id|key_?id|user(?:_?name)?|login|account)"""
-              r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{1,128})""", 0, 1),
+              r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{1,128})""", 0, 1, "[:=@]"),
     "key": (r"""(?<![A-Za-z0-9_])(?:(?i:pwd|pass|passphrase|auth|bearer|credentials?|private_?key|signature)"""
             r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,512}|(?=[A-Za-z0-9+/]{0,38}[a-z])(?=[A-Za-z0-9+/]{0,38}[A-Z])"""
-            r"""(?=[A-Za-z0-9+/]{0,38}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/]))""", 0, 1),
+            r"""(?=[A-Za-z0-9+/]{0,38}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/]))""", 0, 1, "[:=]|[A-Za-z0-9+/]{40}"),
     "endpoint": (r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+.-]{1,16}://[^\s"'<>]{3,512}|(?i:host|endpoint|server)"""
-                 r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,253}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5})""", 0, 1),
+                 r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,253}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5})""", 0, 1, "[:=]"),
 }
 KINDS = [*STRONG, *WEAK]
 #: The part that a kind plays.
@@ -59,13 +61,13 @@ def places(text: Column, pattern: str) -> Column:
     return F.zip_with(ends, own, lambda e, n: F.struct((e - n).alias("from"), e.alias("to")))
 
 
-def finds(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind; a text without a match is only searched once."""
+def finds(text: Column, kind: str, pattern: str, group: int, least: int, needs: str) -> Column:
+    """Spans of one kind; a text that lacks what every match holds is not searched further."""
     measured = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda s: F.length(s))
     spans = F.filter(F.arrays_zip(places(text, pattern).alias("p"), measured.alias("n")), lambda x: x["n"] >= least)
     out = F.transform(spans, lambda x: F.struct(
         x["p"]["from"].alias("from"), F.lit(KINDS.index(kind)).alias("kind"), x["p"]["to"].alias("to")))
-    return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(needs) & text.rlike(pattern), out).otherwise(F.array().cast(SPAN))
 
 
 def all_finds(docs: DataFrame) -> DataFrame:
