@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed reference point used by the tests over the driver tables: the day after
-# the last order date at every scale.  Production callers pass their own
-# ``as_of`` (default: current_timestamp()).
+# Fixed reference point of the queries and tests over the driver tables: the day
+# after the last order date at every scale.  The operators' own default is now.
 AS_OF_DEFAULT = "2001-08-02 00:00:00"
 
 # Lenient date parsing tries these patterns in order, per row (decision D3).
@@ -78,21 +77,34 @@ def whole_days_between(later, earlier) -> Column:
     return F.floor(diff / F.lit(MICROS_PER_DAY)).cast("bigint")
 
 
-# Fixed value: decimal places kept exactly by exact_mean.
+# Decimal places that exact_mean sums exactly, and the size up to which it does.
 MEAN_SCALE_DIGITS = 6
+MEAN_EXACT_BELOW = 1e15
 
 
-def exact_mean(c, scale: int = 6) -> Column:
-    """Mean of a money-like column, summed exactly, rounded to ``scale``.
+def exact_mean(c) -> Column:
+    """Mean of a column, not rounded; NULL and NaN are skipped, NULL without values.
 
-    Values are summed as ``decimal(38,6)``: the sum is exact, so the result
-    does not depend on row order or partition layout and agrees with a
-    DECIMAL sum in other engines, and it cannot overflow even when one key
-    holds billions of rows (a 64-bit sum of fixed-point units could).
+    Each value is split into a ``decimal(38,6)`` part, whose sum is exact and
+    cannot overflow with trillions of rows, and the double that is left over
+    (the whole value from 1e15 on), which is summed apart.  Values of at most
+    six decimals - money, ratings, flags - leave nothing over, so their mean
+    does not depend on row order or partition layout.
     """
-    col = as_column(c)
-    total = F.sum(col.cast(f"decimal(38,{MEAN_SCALE_DIGITS})")).cast("double")
-    return F.round(total / F.count(col), scale)
+    col = as_column(c).cast("double")
+    v = F.when(~F.isnan(col), col)
+    part = F.when(F.abs(v) < MEAN_EXACT_BELOW, v.try_cast(f"decimal(38,{MEAN_SCALE_DIGITS})"))
+    left = v - F.coalesce(part.cast("double"), F.lit(0.0))
+    total = F.coalesce(F.sum(part).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(left), F.lit(0.0))
+    return F.try_divide(total, F.count(v))
+
+
+def unparsable_dates(df: DataFrame, name: str) -> DataFrame:
+    """One row: n_values (not null) and n_unparsable, the values of a date column that lenient
+    parsing turns into NULL."""
+    t = timestamp_col(df, name)
+    return df.agg(F.count(F.col(name)).alias("n_values"),
+                  F.count_if(F.col(name).isNotNull() & t.isNull()).cast("bigint").alias("n_unparsable"))
 
 
 def clip01(c) -> Column:

@@ -11,20 +11,18 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.columns import (
-    AS_OF_DEFAULT, exact_mean, timestamp_col, whole_days_between,
-)
+from retentio.functions.columns import exact_mean, timestamp_col, whole_days_between
 from retentio.functions.resolve import with_text_column
+from retentio.operators.ranking import quantile_bucket, running_totals
 
 KEY = "customer_id"
 
 # Defaults taken when a value is missing.
 RECENCY_MISSING = 999
 FREQUENCY_MISSING = 0
-UNKEYED_ROWS = 500
 UNKEYED_DAYS_SINCE = 30
 UNKEYED_VALUE = 100.0
 
@@ -37,12 +35,13 @@ def as_of_column(as_of) -> Column:
     return F.lit(str(as_of)).cast("timestamp")
 
 
-def orders_aggregate(orders: DataFrame, as_of=AS_OF_DEFAULT, strict_dates: bool = False,
-                     order_key: str | None = None) -> DataFrame:
+def orders_aggregate(orders: DataFrame, as_of=None, strict_dates: bool = False, order_key: str | None = None,
+                     frequency_window_days: int | None = None) -> DataFrame:
     """customer_id, num_orders_90d, avg_order_value, days_since_last_order.
 
     ``num_orders_90d`` keeps its historical name but counts all history
-    (decision D1).  Without ``order_id`` the parsed dates are counted; without
+    (decision D1) unless ``frequency_window_days`` limits it to orders of so many
+    days before ``as_of`` (default: now).  Without ``order_id`` the parsed dates are counted; without
     ``order_value`` the order count stands in for money (with a warning).
     Orders without ``customer_id`` take the unkeyed path (P8).
     """
@@ -55,7 +54,11 @@ def orders_aggregate(orders: DataFrame, as_of=AS_OF_DEFAULT, strict_dates: bool
         raise ValueError("orders need 'order_id' or 'order_value'")
     o = orders.where(F.col(KEY).isNotNull())
     o = o.withColumn("order_date", timestamp_col(o, "order_date", strict=strict_dates))
-    n_orders = F.count("order_id") if "order_id" in cols else F.count("order_date")
+    counted = F.col("order_id") if "order_id" in cols else F.col("order_date")
+    if frequency_window_days is not None:
+        since = as_of_column(as_of) - F.make_dt_interval(F.lit(frequency_window_days))
+        counted = F.when(F.col("order_date") > since, counted)
+    n_orders = F.count(counted)
     if "order_value" in cols:
         value = exact_mean("order_value")
     else:
@@ -70,18 +73,28 @@ def orders_aggregate(orders: DataFrame, as_of=AS_OF_DEFAULT, strict_dates: bool
 
 
 def unkeyed_orders(orders: DataFrame, order_key: str | None = None,
-                   n: int = UNKEYED_ROWS) -> DataFrame:
-    """Orders without a customer key: the first ``n`` rows by ``order_key``
-    become customers '1'..'n' with one order each, 30 days since the last
-    order and their own order value (100 when there is none).  The other
-    columns are kept.  Bounded: at most ``n`` rows ever reach the window."""
+                   n: int | None = None) -> DataFrame:
+    """Orders without a customer key: each row, in ``order_key`` order, becomes
+    a customer '1', '2', ... with one order, 30 days since the last order and
+    its own order value (100 when there is none); ``n`` keeps the first n rows
+    only.  The other columns are kept.  Numbers are bucket offsets plus ranks
+    inside buckets, so no task numbers the whole table."""
     key = order_key or ("order_id" if "order_id" in orders.columns else orders.columns[0])
-    head = orders.orderBy(key).limit(n)
+    head = orders if n is None else orders.orderBy(key).limit(n)
+    kind = orders.schema[key].dataType.typeName()
+    head = head.withColumn("_one", F.lit(1).cast("bigint"))
+    if kind in ("string", "boolean", "binary"):
+        head = head.withColumn("_b", F.substring(F.col(key).cast("string"), 1, 3))
+    else:
+        head = head.withColumn("_x", F.unix_date(key) if kind == "date" else F.col(key).cast("timestamp").cast("double")
+                               if kind.startswith("timestamp") else F.col(key).cast("double"))
+        head = quantile_bucket(head, "_x").withColumn("_b", F.when(F.col("_x").isNotNull(), F.col("_b"))).drop("_x")
+    others = [c for c in orders.columns if c != key and orders.schema[c].dataType.typeName() not in ("map", "variant")]
+    numbered = running_totals(head, [key, *others], ["_one"], bucket="_b").drop("_one", "_b")
     value = (F.col("order_value").cast("double") if "order_value" in orders.columns
              else F.lit(UNKEYED_VALUE))
-    return head.select(
-        "*",
-        F.row_number().over(Window.orderBy(key)).cast("string").alias(KEY),
+    return numbered.select(
+        *orders.columns, F.col("_one_cum").cast("string").alias(KEY),
         F.lit(1).cast("bigint").alias("num_orders_90d"),
         value.alias("avg_order_value"),
         F.lit(UNKEYED_DAYS_SINCE).cast("bigint").alias("days_since_last_order"),
@@ -144,9 +157,10 @@ def median_of(df: DataFrame, col: str, relative_error: float | None = None) -> C
     return med.select("median").scalar()
 
 
-def tabular_features(orders: DataFrame, delivery: DataFrame | None = None, as_of=AS_OF_DEFAULT,
+def tabular_features(orders: DataFrame, delivery: DataFrame | None = None, as_of=None,
                      wide: bool = False, strict_dates: bool = False,
-                     median_relative_error: float | None = None, materialize: bool = True) -> DataFrame:
+                     median_relative_error: float | None = None, materialize: bool = False,
+                     frequency_window_days: int | None = None) -> DataFrame:
     """Training features (D-1): customer_id, recency, frequency, monetary,
     on_time_rate, avg_delay_hours.  ``wide=True`` keeps num_orders_90d,
     avg_order_value and days_since_last_order as well (the scoring frame).
@@ -154,14 +168,14 @@ def tabular_features(orders: DataFrame, delivery: DataFrame | None = None, as_of
     Missing recency -> 999, frequency -> 0, monetary -> median over customers
     (exact unless ``median_relative_error`` is given).
 
-    With ``materialize`` (default) the per-customer table (orders aggregate
-    joined with delivery metrics) is checkpointed once to the shared
-    checkpoint folder: the median (a fitted statistic) and the features then
-    read that table instead of re-scanning and re-shuffling the inputs, and
-    the median is skipped when no customer lacks a value.
-    ``materialize=False`` keeps everything one lazy plan.
+    The default is one lazy plan.  With ``materialize``, as the jobs do, the
+    per-customer table (orders aggregate joined with delivery metrics) is
+    written once as Parquet to the shared folder: the median (a fitted
+    statistic) and the features then read that table, pruned and filtered,
+    instead of re-scanning and re-shuffling the inputs, and the median is
+    skipped when no customer lacks a value.
     """
-    agg = orders_aggregate(orders, as_of=as_of, strict_dates=strict_dates)
+    agg = orders_aggregate(orders, as_of=as_of, strict_dates=strict_dates, frequency_window_days=frequency_window_days)
     if delivery is not None and KEY in delivery.columns:
         df = agg.join(delivery_metrics(delivery), KEY, "left")
     else:
@@ -169,9 +183,10 @@ def tabular_features(orders: DataFrame, delivery: DataFrame | None = None, as_of
                               "avg_delay_hours": F.lit(None).cast("double")})
     need_median = True
     if materialize:
-        from retentio.session import checkpoint_base
-        checkpoint_base(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        from retentio.session import scratch_dir
+        path = scratch_dir(df.sparkSession, "customers")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
         need_median = df.where(F.col("avg_order_value").isNull()).limit(1).count() > 0
     # one row per customer either way (the delivery side is unique per key)
     med = median_of(df, "avg_order_value", median_relative_error) if need_median else F.lit(None).cast("double")

@@ -35,8 +35,8 @@ def create_target(features: DataFrame, feedback: DataFrame | None) -> DataFrame:
 
 
 def class_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """label, count — NULL labels kept (value_counts(dropna=False))."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    """label, count, most frequent first — NULL labels kept (value_counts(dropna=False))."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy(F.desc("count"), label)
 
 
 def require_two_classes(df: DataFrame, label: str = LABEL) -> int:

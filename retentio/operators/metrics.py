@@ -4,7 +4,8 @@ area (M10), ROC AUC (M11) and the classification report (M12).
 Scores are first collapsed to one row per distinct score with positive and
 negative counts (partial aggregation), then the exact cumulative counts come
 from ``running_totals`` over score buckets — no global sort in one task and
-no ``collect``.  Results are one-row (or few-row) DataFrames.
+no ``collect``.  Results are one-row (or few-row) DataFrames.  A NULL score is an
+error, not a row to leave out.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from retentio.operators.ranking import quantile_bucket, running_totals
 
 
 def _score_counts(df: DataFrame, label: str, score: str, descending: bool) -> DataFrame:
-    g = (df.where(F.col(score).isNotNull())
-         .groupBy(F.col(score).cast("double").alias("_s"))
+    s = F.coalesce(F.col(score).cast("double"), F.raise_error(F.lit(f"{score!r} holds NULL")).cast("double"))
+    g = (df.groupBy(s.alias("_s"))
          .agg(F.count_if(F.col(label) == 1).cast("bigint").alias("_pos"),
               F.count_if(F.col(label) != 1).cast("bigint").alias("_neg")))
     # order key: ascending score, or descending via negation

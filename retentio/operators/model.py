@@ -6,6 +6,7 @@ weights (M6), positive-class probability (M13) and persistence (S2, S3).
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
@@ -32,7 +33,7 @@ MAX_SPARK_DEPTH = 30
 @dataclass
 class ModelOptions:
     n_estimators: int = 200
-    max_depth: int | None = 10
+    max_depth: int | None = None    # None: as deep as Spark allows (30)
     max_bins: int = 32
     seed: int = 42
     missing: str = "zero"           # 'zero' (fill with 0 before the pipeline) or 'median'
@@ -42,7 +43,10 @@ class ModelOptions:
     cv: bool = False
     folds: int = 5
     test_fraction: float = 0.2
-    fit_partitions: int | None = None
+    exclude_features: tuple[str, ...] = ()  # e.g. ('recency', 'frequency'), which the label rule reads
+    # partitions of the training rows: the forest depends on them, so the number is part of the
+    # model (it is kept in the metadata) and never taken from the cluster
+    fit_partitions: int = 32
     # execution knobs (do not change what is learned, only how): node
     # statistics memory per pass and node-id caching for deep trees
     max_memory_mb: int = 1024
@@ -58,9 +62,9 @@ class ModelMeta:
     options: dict = field(default_factory=dict)
 
 
-def feature_columns(df: DataFrame) -> list[str]:
-    """Columns whose names start with a feature prefix, in frame order (P2)."""
-    return [c for c in df.columns if c.startswith(FEATURE_PREFIXES)]
+def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    """Columns whose names start with a feature prefix, in frame order (P2), less ``exclude``."""
+    return [c for c in df.columns if c.startswith(FEATURE_PREFIXES) and c not in exclude]
 
 
 def fill_features(df: DataFrame, cols: list[str], dim: int | None = None, scalars: bool = True) -> DataFrame:
@@ -108,15 +112,15 @@ def _assembler_inputs(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[s
 def median_imputer(df: DataFrame, cols: list[str]) -> tuple[SQLTransformer, dict[str, str]]:
     """Fitted exact-median imputer (M3): a SQLTransformer adding
     ``_imp_<c> = coalesce(c, <median>)`` with the medians as literals, so it
-    persists inside the PipelineModel and keeps every other column.  Returns
-    the stage and the column -> imputed column mapping."""
-    meds = {}
-    for c in cols:
-        row = exact_percentiles(df, c, [0.5], names=["m"]).first()
-        meds[c] = row["m"] if row is not None else None
-    fills = ", ".join(
-        f"coalesce(`{c}`, {repr(float(m)) if m is not None else 'CAST(NULL AS DOUBLE)'}) AS `_imp_{c}`"
-        for c, m in meds.items())
+    persists inside the PipelineModel and keeps every other column.  All
+    medians come from one grouped pass; a column without values is filled with
+    0.  Returns the stage and the column -> imputed column mapping."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val"))
+                                        for c in cols])))
+    # one row for each column that has values
+    found = exact_percentiles(long, "_val", [0.5], by=["_col"], names=["m"]).collect()
+    meds = dict.fromkeys(cols, 0.0) | {r["_col"]: r["m"] for r in found}
+    fills = ", ".join(f"coalesce(`{c}`, {float(m)!r}D) AS `_imp_{c}`" for c, m in meds.items())
     return SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"), {c: f"_imp_{c}" for c in cols}
 
 
@@ -156,7 +160,9 @@ def build_pipeline(df: DataFrame, cols: list[str], opts: ModelOptions, label: st
     if opts.scale:
         stages.append(StandardScaler(inputCol=feat, outputCol="_scaled", withMean=True, withStd=True))
         feat = "_scaled"
-    depth = MAX_SPARK_DEPTH if opts.max_depth is None else min(opts.max_depth, MAX_SPARK_DEPTH)
+    depth = MAX_SPARK_DEPTH if opts.max_depth is None else opts.max_depth
+    if depth > MAX_SPARK_DEPTH:
+        raise ValueError(f"max_depth is at most {MAX_SPARK_DEPTH}, not {depth}")
     rf = RandomForestClassifier(featuresCol=feat, labelCol=label, numTrees=opts.n_estimators,
                                 maxDepth=depth, maxBins=opts.max_bins, seed=opts.seed,
                                 probabilityCol="_probability", rawPredictionCol="_raw",
@@ -168,12 +174,11 @@ def build_pipeline(df: DataFrame, cols: list[str], opts: ModelOptions, label: st
     return Pipeline(stages=stages), prepared
 
 
-def stable_layout(df: DataFrame, partitions: int | None = None, key: str = KEY) -> DataFrame:
+def stable_layout(df: DataFrame, partitions: int, key: str = KEY) -> DataFrame:
     """Hash-partition by key and sort within partitions: the forest's
     bootstrap and bins depend on row placement, so a fixed layout makes a
     fit reproducible."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key).sortWithinPartitions(key)
+    return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
 def fit(df: DataFrame, cols: list[str], opts: ModelOptions, label: str = LABEL,
@@ -219,13 +224,14 @@ def save_model(model: PipelineModel, meta: ModelMeta, path: str) -> None:
         f"{path.rstrip('/')}/meta")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, ModelMeta] | None:
-    """Inverse of ``save_model``; None when there is no artifact (S2)."""
-    try:
-        model = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
-        text = spark.read.text(f"{path.rstrip('/')}/meta").first()[0]
-    except Exception as e:  # absent artifact -> no model (the 'Unknown' path)
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "Input path" in str(e):
-            return None
-        raise
+def load_model(spark: SparkSession, path: str, required: bool = False) -> tuple[PipelineModel, ModelMeta] | None:
+    """Inverse of ``save_model``; None when the folder does not exist and is not ``required`` (S2).
+    An artifact that is there but cannot be read is an error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        if required:
+            raise FileNotFoundError(f"no model at {path!r}")
+        return None
+    model = PipelineModel.load(f"{path.rstrip('/')}/pipeline")
+    text = spark.read.text(f"{path.rstrip('/')}/meta").first()[0]
     return model, ModelMeta(**json.loads(text))

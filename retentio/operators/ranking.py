@@ -27,9 +27,17 @@ def hash_order(key, seed) -> Column:
 
 
 def hash_int(*parts) -> Column:
-    """Non-negative integer from the first 8 hex digits of md5(parts joined by ':')."""
+    """Non-negative integer from the first 15 hex digits (60 bits) of md5(parts joined by ':')."""
     s = F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the right side's keys are dropped."""
+    named = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(named)
+    on = [left[k].eqNullSafe(right[r]) for k, r in named.items()]
+    return left.join(right, on, how).drop(*named.values())
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str],
@@ -54,7 +62,7 @@ def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str],
         *([F.sum(f"_bt_{c}").over(w_all).alias(f"{c}_total") for c in sums] if with_totals else []))
     w_in = (Window.partitionBy(*by, bucket).orderBy(*order_by)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = df.join(offsets, [*by, bucket], "inner")
+    out = null_safe_join(df, offsets, [*by, bucket])
     out = out.withColumns({f"{c}{suffix}": F.col(f"_off_{c}") + F.sum(c).over(w_in) for c in sums})
     return out.drop(*[f"_off_{c}" for c in sums])
 

@@ -32,7 +32,7 @@ DEFAULT_DIM = 64
 DEFAULT_ENCODER = f"hashing-{DEFAULT_DIM}"
 
 
-def _hashing_dim(name: str) -> int | None:
+def hashing_dim(name: str) -> int | None:
     if name.startswith("hashing-"):
         return int(name.split("-", 1)[1])
     return None
@@ -76,7 +76,7 @@ def feedback_embeddings(feedback: DataFrame | None, encoder: str | Callable | No
     if encoder is None or feedback is None:
         return None
     if isinstance(encoder, str):
-        d = _hashing_dim(encoder)
+        d = hashing_dim(encoder)
         if d is None:
             raise ValueError(f"unknown encoder {encoder!r}; pass a predict-fn factory instead")
         return hashed_term_vectors(feedback, d)

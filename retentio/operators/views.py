@@ -19,8 +19,6 @@ from retentio.operators.risk import BAND, SCORE, with_suggestion
 # Fixed values (dashboard defaults and limits).
 SCATTER_POINTS = 2000
 TOP_N_DEFAULT = 20
-TOP_N_RANGE = (5, 500)
-FEEDBACK_ROWS = 50
 TREND_DATE_COLUMNS = ("order_date", "date", "created_at", "order_timestamp")
 MONTHLY_AFTER_DAYS = 540
 TOP_COLUMNS = ("customer_id", "risk_score", "risk_label", "recency", "frequency", "monetary")
@@ -59,8 +57,8 @@ def filter_domain(scored: DataFrame) -> DataFrame:
 
 
 def risk_distribution(filtered: DataFrame) -> DataFrame:
-    """risk_label, count (D-4)."""
-    return filtered.groupBy(BAND).agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    """risk_label, count, most frequent first (D-4)."""
+    return filtered.groupBy(BAND).agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy(F.desc("count"), BAND)
 
 
 def scatter_sample(filtered: DataFrame, n: int = SCATTER_POINTS, seed: int = 42) -> DataFrame:
@@ -94,11 +92,15 @@ def choose_trend_column(orders: DataFrame) -> tuple[str | None, str | None]:
     return None, None
 
 
-def orders_trend(orders: DataFrame) -> DataFrame | None:
+def orders_trend(orders: DataFrame, granularity: str = "auto") -> DataFrame | None:
     """order_period (timestamp), num_orders — counts ``order_id`` when present,
     else the date; rows with an unparsable date are dropped.  Absent periods
-    are not filled in.  None when no date column parses."""
+    are not filled in.  None when no date column parses.  ``granularity`` is
+    'day', 'month' or 'auto' (monthly when the dates span more than 540 days)."""
+    if granularity not in ("auto", "day", "month"):
+        raise ValueError("granularity must be 'auto', 'day' or 'month'")
     col, unit = choose_trend_column(orders)
+    unit = unit if granularity == "auto" else granularity
     if col is None:
         return None
     t = orders.withColumn("_d", timestamp_col(orders, col)).where(F.col("_d").isNotNull())
@@ -121,8 +123,7 @@ def monetary_box(filtered: DataFrame, value: str = "monetary", relative_error: f
 
 def monetary_outliers(filtered: DataFrame, box: DataFrame, value: str = "monetary") -> DataFrame:
     """Customers outside their label's fences (the individual box-plot points)."""
-    b = F.broadcast(box.select(BAND, "lower_fence", "upper_fence"))  # one row per label
-    return (filtered.join(b, BAND, "inner")
+    return (filtered.join(box.select(BAND, "lower_fence", "upper_fence"), BAND, "inner")
             .where((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence")))
             .select(KEY, BAND, value))
 
@@ -153,15 +154,11 @@ def correlation(filtered: DataFrame, cols: Sequence[str] = CORRELATION_COLUMNS,
 
 def top_at_risk(scored: DataFrame, n: int = TOP_N_DEFAULT) -> DataFrame:
     """Top ``n`` customers by score over all customers, ties by id (L1)."""
-    if not TOP_N_RANGE[0] <= n <= TOP_N_RANGE[1]:
-        raise ValueError(f"n must be in {TOP_N_RANGE}")
     return scored.orderBy(F.col(SCORE).desc(), F.col(KEY)).limit(n).select(*resolve_columns(scored, TOP_COLUMNS))
 
 
 def top_interventions(scored: DataFrame, n: int = TOP_N_DEFAULT) -> DataFrame:
     """Top ``n`` with the suggested intervention (L2)."""
-    if not TOP_N_RANGE[0] <= n <= TOP_N_RANGE[1]:
-        raise ValueError(f"n must be in {TOP_N_RANGE}")
     top = scored.orderBy(F.col(SCORE).desc(), F.col(KEY)).limit(n)
     return with_suggestion(top).select(KEY, BAND, SCORE, "suggestion")
 
@@ -183,12 +180,13 @@ def customer_detail(scored: DataFrame, customer_id, digits: int = 6) -> DataFram
     return row.select(F.inline(F.array(*fields)))
 
 
-def customer_feedback(feedback: DataFrame, customer_id, n: int = FEEDBACK_ROWS,
+def customer_feedback(feedback: DataFrame, customer_id, n: int | None = None,
                       order_by: str = "feedback_id") -> DataFrame:
-    """The customer's first ``n`` feedback rows: feedback_text, rating,
+    """The customer's feedback rows, the first ``n`` if given: feedback_text, rating,
     created_at where present (all columns when none is) (P16)."""
     fb = feedback.where(F.col(KEY).cast("string") == F.lit(str(customer_id)))
     cols = resolve_columns(fb, FEEDBACK_COLUMNS)
     keys = [order_by] if order_by in fb.columns else [cols[0] if cols else fb.columns[0]]
-    top = fb.orderBy(*keys).limit(n)
+    top = fb.orderBy(*keys)
+    top = top if n is None else top.limit(n)
     return top.select(*(([order_by] if order_by in fb.columns else []) + cols)) if cols else top

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.functions.columns import AS_OF_DEFAULT
+from retentio.functions.columns import AS_OF_DEFAULT, exact_mean, unparsable_dates
 from retentio.operators import features as feat
 from retentio.operators import label as lab
 from retentio.operators import metrics as met
@@ -52,11 +52,12 @@ def query(name: str, oracle: str | None = None):
 # ---------------------------------------------------------------- shared inputs
 
 def features_wide(spark, d) -> DataFrame:
-    return feat.tabular_features(driver.orders(spark, d), driver.delivery(spark, d), as_of=AS_OF, wide=True)
+    return feat.tabular_features(driver.orders(spark, d), driver.delivery(spark, d), as_of=AS_OF, wide=True,
+                                 materialize=True)
 
 
 def features(spark, d) -> DataFrame:
-    return feat.tabular_features(driver.orders(spark, d), driver.delivery(spark, d), as_of=AS_OF)
+    return feat.tabular_features(driver.orders(spark, d), driver.delivery(spark, d), as_of=AS_OF, materialize=True)
 
 
 def target(spark, d) -> DataFrame:
@@ -146,7 +147,7 @@ def q_orders_rfm_no_value(spark, d):
         return feat.orders_aggregate(driver.orders(spark, d).drop("order_value"), as_of=AS_OF)
 
 
-@query("unkeyed_orders", sql.with_(sql.ORDERS) + """, h AS (SELECT order_id, order_value, order_date FROM o ORDER BY order_id LIMIT 500)
+@query("unkeyed_orders", sql.with_(sql.ORDERS) + """, h AS (SELECT order_id, order_value, order_date FROM o)
 SELECT order_id, order_value, order_date,
        CAST(row_number() OVER (ORDER BY order_id) AS VARCHAR) AS customer_id,
        CAST(1 AS BIGINT) AS num_orders_90d, CAST(order_value AS DOUBLE) AS avg_order_value,
@@ -487,19 +488,11 @@ def q_orders_trend_monthly(spark, d):
     return vw.orders_trend(driver.orders(spark, d))
 
 
-# The daily branch applies when the orders span at most 540 days: the input is
-# the orders of the last year before the as-of date (a date window, all rows in it).
-LAST_YEAR = ("2000-08-02 00:00:00", "2001-08-02 00:00:00")
-
-
 @query("orders_trend_daily", sql.with_(sql.ORDERS) + f"""
 SELECT CAST(date_trunc('day', order_date) AS TIMESTAMP) AS order_period, CAST(count(order_id) AS BIGINT) AS num_orders
-FROM o WHERE order_date >= TIMESTAMP '{LAST_YEAR[0]}' AND order_date < TIMESTAMP '{LAST_YEAR[1]}' GROUP BY 1""")
+FROM o WHERE order_date IS NOT NULL GROUP BY 1""")
 def q_orders_trend_daily(spark, d):
-    o = driver.orders(spark, d)
-    o = o.where((F.col("order_date") >= F.lit(LAST_YEAR[0]).cast("timestamp"))
-                & (F.col("order_date") < F.lit(LAST_YEAR[1]).cast("timestamp")))
-    return vw.orders_trend(o)
+    return vw.orders_trend(driver.orders(spark, d), granularity="day")
 
 
 @query("monetary_box", sql.FULL_FILTERED + """, q AS (
@@ -566,11 +559,143 @@ def q_customer_detail(spark, d):
 @query("customer_feedback", sql.with_(sql.FEATURE_CTES, sql.SCORED) + """, pick AS (
   SELECT customer_id FROM sc WHERE customer_id IN (SELECT customer_id FROM f)
   ORDER BY risk_score DESC, customer_id LIMIT 1)
-SELECT feedback_id, feedback_text, rating FROM f WHERE customer_id = (SELECT customer_id FROM pick)
-ORDER BY feedback_id LIMIT 50""")
+SELECT feedback_id, feedback_text, rating FROM f WHERE customer_id = (SELECT customer_id FROM pick)""")
 def q_customer_feedback(spark, d):
     fb = driver.feedback(spark, d)
     scored = pseudo_scored(spark, d)
     with_fb = scored.join(fb.select(KEY).distinct(), KEY, "left_semi")
     chosen = with_fb.orderBy(F.col(SCORE).desc(), F.col(KEY)).select(KEY).first()[0]
     return vw.customer_feedback(fb, chosen)
+
+
+# ---------------------------------------------------------------- inputs with awkward values
+# The driver tables hold no missing order values, odd dates or NaN; these views derive them from
+# the whole tables, so that every branch is taken.
+
+DIRTY_ORDERS_SQL = """dirty AS (
+  SELECT CASE WHEN order_id % 97 <> 0 THEN customer_id END AS customer_id,
+         CASE WHEN order_id % 101 <> 0 THEN order_id END AS order_id,
+         CASE WHEN CAST(customer_id AS BIGINT) % 11 = 0 OR order_id % 13 = 0 THEN NULL
+              WHEN order_id % 17 = 0 THEN 'NaN'::DOUBLE ELSE CAST(order_value AS DOUBLE) / 1e7 END AS order_value,
+         CASE WHEN CAST(customer_id AS BIGINT) % 7 = 0 THEN 'no date' WHEN order_id % 5 = 0 THEN NULL
+              WHEN order_id % 3 = 0 THEN strftime(order_date, '%d-%m-%Y') ELSE strftime(order_date, '%Y/%m/%d') END AS order_date,
+         CAST(order_date AS DATE) AS real_date
+  FROM o),
+clean AS (
+  SELECT customer_id, order_id, CASE WHEN NOT isnan(order_value) THEN order_value END AS order_value, order_date AS text_date,
+         CASE WHEN order_date <> 'no date' THEN CAST(real_date AS TIMESTAMP) END AS order_date FROM dirty)"""
+
+
+def dirty_orders(spark, d) -> DataFrame:
+    o = driver.orders(spark, d)
+    key, num = F.col(KEY).cast("bigint"), F.col("order_id")
+    value = (F.when((key % 11 == 0) | (num % 13 == 0), None).when(num % 17 == 0, F.lit(float("nan")))
+             .otherwise(F.col("order_value").cast("double") / 1e7))
+    date = (F.when(key % 7 == 0, F.lit("no date")).when(num % 5 == 0, None)
+            .when(num % 3 == 0, F.date_format("order_date", "dd-MM-yyyy")).otherwise(F.date_format("order_date", "yyyy/MM/dd")))
+    return o.select(F.when(num % 97 != 0, F.col(KEY)).alias(KEY), F.when(num % 101 != 0, num).alias("order_id"),
+                    value.alias("order_value"), date.alias("order_date"))
+
+
+DIRTY_AGG = f"""dagg AS (
+  SELECT customer_id, CAST(count(order_id) AS BIGINT) AS num_orders_90d, avg(order_value) AS avg_order_value,
+         {sql.DAYS_SINCE} AS days_since_last_order
+  FROM clean WHERE customer_id IS NOT NULL GROUP BY customer_id)"""
+
+
+@query("orders_rfm_dirty", sql.with_(sql.ORDERS, DIRTY_ORDERS_SQL, DIRTY_AGG) + """
+SELECT customer_id, coalesce(days_since_last_order, 999) AS recency, coalesce(num_orders_90d, 0) AS frequency,
+       round(coalesce(avg_order_value, (SELECT median(avg_order_value) FROM dagg)) * 1e7, 6) AS monetary,
+       days_since_last_order IS NULL AS no_date, avg_order_value IS NULL AS no_value FROM dagg""")
+def q_orders_rfm_dirty(spark, d):
+    """Null and NaN values below 1e-6 of a unit, text dates in two formats, unreadable dates."""
+    f = feat.tabular_features(dirty_orders(spark, d), as_of=AS_OF, wide=True)
+    return f.select(KEY, "recency", "frequency", F.round(F.col("monetary") * 1e7, 6).alias("monetary"),
+                    F.col("days_since_last_order").isNull().alias("no_date"), F.col("avg_order_value").isNull().alias("no_value"))
+
+
+@query("unparsable_dates", sql.with_(sql.ORDERS, DIRTY_ORDERS_SQL) + """
+SELECT count(text_date) AS n_values, CAST(count(*) FILTER (WHERE text_date = 'no date') AS BIGINT) AS n_unparsable FROM clean""")
+def q_unparsable_dates(spark, d):
+    return unparsable_dates(dirty_orders(spark, d), "order_date")
+
+
+@query("orders_trend_dirty", sql.with_(sql.ORDERS, DIRTY_ORDERS_SQL) + """
+SELECT CAST(date_trunc('month', order_date) AS TIMESTAMP) AS order_period, CAST(count(order_id) AS BIGINT) AS num_orders
+FROM clean WHERE text_date IS NOT NULL AND order_date IS NOT NULL GROUP BY 1""")
+def q_orders_trend_dirty(spark, d):
+    return vw.orders_trend(dirty_orders(spark, d))
+
+
+@query("frequency_window", sql.with_(sql.ORDERS) + f"""
+SELECT customer_id, CAST(count(order_id) FILTER (WHERE order_date > {sql.AS_OF} - INTERVAL 365 DAY) AS BIGINT) AS orders_last_year
+FROM o WHERE customer_id IS NOT NULL GROUP BY customer_id""")
+def q_frequency_window(spark, d):
+    agg = feat.orders_aggregate(driver.orders(spark, d), as_of=AS_OF, frequency_window_days=365)
+    return agg.select(KEY, F.col("num_orders_90d").alias("orders_last_year"))
+
+
+@query("mean_precision", sql.with_(sql.ORDERS) + """
+SELECT customer_id, round(avg(CAST(order_value AS DOUBLE) * 1e-12) * 1e12, 6) AS tiny,
+       round(avg(CAST(order_value AS DOUBLE) * 1e25) / 1e25, 6) AS huge,
+       CAST(sum(CASE WHEN order_id % 2 = 0 THEN 2.0 ELSE 2.000001 END) / count(*) <= 2 AS BOOLEAN) AS at_most_two
+FROM o WHERE customer_id IS NOT NULL GROUP BY customer_id""")
+def q_mean_precision(spark, d):
+    """Means of values far below and above the exact range, and a mean just above a threshold."""
+    v, near = F.col("order_value").cast("double"), F.when(F.col("order_id") % 2 == 0, 2.0).otherwise(2.000001)
+    return driver.orders(spark, d).groupBy(KEY).agg(
+        F.round(exact_mean(v * 1e-12) * 1e12, 6).alias("tiny"), F.round(exact_mean(v * 1e25) / 1e25, 6).alias("huge"),
+        (exact_mean(near) <= 2).alias("at_most_two"))
+
+
+KEYS_SQL = """k AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN '00' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 3 = 1 THEN CAST(c_custkey // 3 AS VARCHAR)
+  ELSE '12345678901234567' || right('0000' || CAST(c_custkey AS VARCHAR), 4) END AS customer_id, c_custkey AS order_id FROM customer)"""
+
+
+@query("csv_scan_keys", f"WITH {KEYS_SQL} SELECT customer_id, order_id FROM k")
+def q_csv_scan_keys(spark, d):
+    """Keys with leading zeros and of 21 digits come back from CSV as they were written."""
+    c = F.col("c_custkey")
+    key = (F.when(c % 3 == 0, F.concat(F.lit("00"), c.cast("string"))).when(c % 3 == 1, F.floor(c / 3).cast("string"))
+           .otherwise(F.concat(F.lit("12345678901234567"), F.substring(F.concat(F.lit("0000"), c.cast("string")), -4, 4))))
+    path = scratch_dir(spark, "keys-csv")
+    driver.table(spark, d, "customer").select(key.alias(KEY), c.alias("order_id")).write.option("header", "true").csv(path)
+    return read_table(spark, path, fmt="csv").select(KEY, "order_id")
+
+
+NULL_LABEL_SQL = """n AS (SELECT customer_id, monetary, CASE WHEN CAST(customer_id AS BIGINT) % 5 <> 0 THEN is_at_risk END AS is_at_risk FROM tgt)"""
+
+
+def null_labels(spark, d) -> DataFrame:
+    t = target(spark, d)
+    return t.withColumn(lab.LABEL, F.when(F.col(KEY).cast("bigint") % 5 != 0, F.col(lab.LABEL)))
+
+
+@query("stratified_split_null_label", sql.with_(sql.FEATURE_CTES, sql.TARGET, NULL_LABEL_SQL) + f"""
+SELECT customer_id, is_at_risk, CASE WHEN {sql.rank_by_hash('customer_id', 'is_at_risk')} <
+       floor(count(*) OVER (PARTITION BY is_at_risk) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM n""")
+def q_stratified_split_null_label(spark, d):
+    return smp.stratified_split(null_labels(spark, d)).select(KEY, lab.LABEL, "split")
+
+
+@query("percentiles_null_group", sql.with_(sql.FEATURE_CTES, sql.TARGET, NULL_LABEL_SQL) + """
+SELECT is_at_risk, round(quantile_cont(monetary, 0.1), 4) AS p10, round(quantile_cont(monetary, 0.9), 4) AS p90 FROM n GROUP BY is_at_risk""")
+def q_percentiles_null_group(spark, d):
+    p = exact_percentiles(null_labels(spark, d), "monetary", [0.1, 0.9], by=[lab.LABEL], names=["p10", "p90"])
+    return p.select(lab.LABEL, F.round("p10", 4).alias("p10"), F.round("p90", 4).alias("p90"))
+
+
+@query("monetary_outliers", sql.FULL_FILTERED + """, q AS (
+  SELECT risk_label, quantile_cont(monetary, 0.25) AS q1, quantile_cont(monetary, 0.75) AS q3 FROM flt GROUP BY risk_label)
+SELECT customer_id, risk_label, monetary FROM flt JOIN q USING (risk_label)
+WHERE monetary < q1 - 1.5 * (q3 - q1) OR monetary > q3 + 1.5 * (q3 - q1)""")
+def q_monetary_outliers(spark, d):
+    f = filtered(spark, d)
+    return vw.monetary_outliers(f, vw.monetary_box(f))
+
+
+@query("filter_bounds", sql.FULL_SCORED + """
+SELECT customer_id, risk_label, recency, monetary FROM sc WHERE risk_label IN ('High', 'Low') AND recency BETWEEN 10 AND 400 AND monetary <= 180000""")
+def q_filter_bounds(spark, d):
+    f = vw.filter_customers(pseudo_scored(spark, d), ["High", "Low"], (10, 400), (None, 180000))
+    return f.select(KEY, "risk_label", "recency", "monetary")

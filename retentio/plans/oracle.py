@@ -8,7 +8,7 @@ AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
 
 
 def mean(x: str) -> str:
-    return f"round(CAST(sum(CAST({x} AS DECIMAL(38,6))) AS DOUBLE) / count({x}), 6)"
+    return f"CAST(sum(CAST({x} AS DECIMAL(38,6))) AS DOUBLE) / count({x})"
 
 
 def rank_by_hash(key: str, part: str, seed: int = 42) -> str:
@@ -16,7 +16,7 @@ def rank_by_hash(key: str, part: str, seed: int = 42) -> str:
 
 
 def hash_int(expr: str) -> str:
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+    return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
 
 
 ORDERS = """o AS (

@@ -23,10 +23,8 @@ def scored_customers(spark: SparkSession, orders: DataFrame, delivery: DataFrame
     (a predict-fn factory, for models trained with one), else from the
     encoder named in the model metadata."""
     if model is None and model_path:
-        loaded = load_model(spark, model_path)
-        if loaded is not None:
-            model, meta = loaded
-    feats = tabular_features(orders, delivery, as_of=as_of, wide=True)
+        model, meta = load_model(spark, model_path, required=True)
+    feats = tabular_features(orders, delivery, as_of=as_of, wide=True, materialize=True)
     if meta is not None and meta.embedding_dim:
         emb = vectors if vectors is not None else feedback_embeddings(
             feedback, encoder if encoder is not None else meta.embedder_name, meta.embedding_dim)
@@ -90,18 +88,20 @@ def main(argv=None):
     p.add_argument("--as-of", default=None)
     p.add_argument("--format", choices=["csv", "parquet"], default=None,
                    help="input format (default: csv for *.csv paths, else parquet)")
+    p.add_argument("--no-multiline", action="store_true", help="CSV fields hold no newline: files can be split")
     a = p.parse_args(argv)
+    multi = not a.no_multiline
     spark = get_spark()
-    orders = read_table(spark, a.orders, fmt=a.format)
-    delivery = read_table(spark, a.delivery, fmt=a.format, optional=True) if a.delivery else None
-    feedback = (read_table(spark, a.feedback, fmt=a.format, optional=True, row_id="feedback_id")
+    orders = read_table(spark, a.orders, fmt=a.format, multiline=multi)
+    delivery = read_table(spark, a.delivery, fmt=a.format, optional=True, multiline=multi) if a.delivery else None
+    feedback = (read_table(spark, a.feedback, fmt=a.format, optional=True, row_id="feedback_id", multiline=multi)
                 if a.feedback else None)
     scored = publish_scored(scored_customers(spark, orders, delivery, feedback, a.model, as_of=a.as_of))
     if a.tables_out:
         for name, table in analysis_tables(scored, orders, top_n=a.top_n).items():
             table.write.mode("overwrite").parquet(f"{a.tables_out.rstrip('/')}/{name}")
     if EMBEDDING in scored.columns:  # export carries emb_0..emb_{d-1} like the feature frame
-        loaded = load_model(spark, a.model) if a.model else None
+        loaded = load_model(spark, a.model, required=True) if a.model else None
         scored = widen(scored, loaded[1].embedding_dim) if loaded else scored.drop(EMBEDDING)
     write_predictions(scored, a.out)
 

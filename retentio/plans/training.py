@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark.ml import PipelineModel
@@ -17,21 +18,24 @@ from retentio.operators.model import (
     ModelMeta, ModelOptions, feature_columns, fill_features, fit, predict, save_model, stable_layout,
 )
 from retentio.operators.sampling import class_weights, oversample, stratified_folds, stratified_split
-from retentio.operators.text import DEFAULT_DIM, DEFAULT_ENCODER, feedback_embeddings, join_embeddings
+from retentio.operators.text import DEFAULT_DIM, DEFAULT_ENCODER, feedback_embeddings, hashing_dim, join_embeddings
 
 
 def training_frame(orders: DataFrame, delivery: DataFrame | None, feedback: DataFrame | None,
                    as_of=None, encoder=DEFAULT_ENCODER, dim: int | None = DEFAULT_DIM,
-                   vectors: DataFrame | None = None) -> tuple[DataFrame, list[str], int | None]:
+                   vectors: DataFrame | None = None, exclude: Sequence[str] = (),
+                   frequency_window_days: int | None = None) -> tuple[DataFrame, list[str], int | None]:
     """Labelled training set (D-2), its feature columns and the embedding dim.
 
     ``vectors`` (customer_id, emb_vector) overrides the encoder."""
-    feats = tabular_features(orders, delivery, as_of=as_of)
+    feats = tabular_features(orders, delivery, as_of=as_of, materialize=True, frequency_window_days=frequency_window_days)
+    if vectors is None and isinstance(encoder, str):
+        dim = hashing_dim(encoder) or dim  # the encoder's name says how long its vectors are
     emb = vectors if vectors is not None else feedback_embeddings(feedback, encoder, dim)
     if emb is not None:
         feats = join_embeddings(feats, emb, dim)
     df = create_target(feats, feedback)
-    cols = feature_columns(df)
+    cols = feature_columns(df, exclude)
     return df, cols, (dim if emb is not None else None)
 
 
@@ -107,7 +111,7 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
 def run(spark: SparkSession, orders: DataFrame, delivery: DataFrame | None, feedback: DataFrame | None,
         model_path: str | None, opts: ModelOptions, as_of=None, encoder=DEFAULT_ENCODER,
         dim: int | None = DEFAULT_DIM, vectors: DataFrame | None = None):
-    df, cols, d = training_frame(orders, delivery, feedback, as_of, encoder, dim, vectors)
+    df, cols, d = training_frame(orders, delivery, feedback, as_of, encoder, dim, vectors, opts.exclude_features)
     model, metrics = train(df, cols, opts, d)
     name = encoder if isinstance(encoder, str) else getattr(encoder, "__name__", repr(encoder))
     meta = ModelMeta(feature_columns=cols, embedder_name=(name if vectors is None and d else None),
@@ -130,18 +134,24 @@ def main(argv=None):
     p.add_argument("--format", choices=["csv", "parquet"], default=None,
                    help="input format (default: csv for *.csv paths, else parquet)")
     p.add_argument("--n_estimators", type=int, default=200)
-    p.add_argument("--max_depth", type=int, default=10)
+    p.add_argument("--max_depth", type=lambda s: None if s.lower() == "none" else int(s), default=None,
+                   help="'none' (default): as deep as Spark allows, 30")
+    p.add_argument("--fit-partitions", type=int, default=ModelOptions.fit_partitions)
+    p.add_argument("--exclude", nargs="*", default=[], help="feature columns to leave out")
+    p.add_argument("--no-multiline", action="store_true", help="CSV fields hold no newline: files can be split")
     p.add_argument("--oversample", action="store_true")
     p.add_argument("--use_class_weight", action="store_true")
     p.add_argument("--cv", action="store_true")
     a = p.parse_args(argv)
     spark = get_spark()
-    orders = read_table(spark, a.orders, fmt=a.format)
-    delivery = read_table(spark, a.delivery, fmt=a.format, optional=True) if a.delivery else None
-    feedback = (read_table(spark, a.feedback, fmt=a.format, optional=True, row_id="feedback_id")
+    multi = not a.no_multiline
+    orders = read_table(spark, a.orders, fmt=a.format, multiline=multi)
+    delivery = read_table(spark, a.delivery, fmt=a.format, optional=True, multiline=multi) if a.delivery else None
+    feedback = (read_table(spark, a.feedback, fmt=a.format, optional=True, row_id="feedback_id", multiline=multi)
                 if a.feedback else None)
     opts = ModelOptions(n_estimators=a.n_estimators, max_depth=a.max_depth, oversample=a.oversample,
-                        use_class_weight=a.use_class_weight, cv=a.cv)
+                        use_class_weight=a.use_class_weight, cv=a.cv, fit_partitions=a.fit_partitions,
+                        exclude_features=tuple(a.exclude))
     _, _, metrics = run(spark, orders, delivery, feedback, a.model, opts, as_of=a.as_of)
     for name, m in metrics.items():
         print(f"--- {name}")

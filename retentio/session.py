@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -69,7 +68,5 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     system temp folder is created and registered as the checkpoint dir.
     """
     base = checkpoint_base(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
     sub = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
-    return os.path.join(base.rstrip("/"), sub) if "://" not in base else base.rstrip("/") + "/" + sub
+    return base.rstrip("/") + "/" + sub

@@ -30,15 +30,18 @@ def _csv_reader(spark: SparkSession, schema: T.StructType | str | None, multilin
     return r.option("inferSchema", "false")
 
 
-def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
+def _normalise_na_and_types(df: DataFrame, infer: bool, key: str | None = None) -> DataFrame:
     """NA tokens -> NULL; then, if asked, type each text column as boolean
     (True/False), bigint or double when all its non-null values parse so;
-    other columns (dates included) stay text and are parsed where used."""
+    other columns (dates included) stay text and are parsed where used.  The
+    ``key`` is never typed: '007' and '7' are different customers, and long
+    digit strings do not fit a number."""
     exprs = {}
     str_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     for c in str_cols:
         exprs[c] = F.when(~F.col(c).isin(*NA_TOKENS), F.col(c))
     df = df.withColumns(exprs) if exprs else df
+    str_cols = [c for c in str_cols if c != key]
     if not infer or not str_cols:
         return df
     # One distributed pass decides every column's type (bounded 3*ncols result).
@@ -65,6 +68,12 @@ def _normalise_na_and_types(df: DataFrame, infer: bool) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def _file_place():
+    """Sorts by file, block and row: a block is read by one task, in order."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
                schema: T.StructType | str | None = None, optional: bool = False,
                infer_types: bool = True, key: str | None = "customer_id",
@@ -77,15 +86,17 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     is cast to string.  ``optional=True`` returns None for a missing path
     instead of raising (the dashboard's behaviour).  ``multiline=False``
     makes large single CSV files splittable when no field holds a newline;
-    passing ``schema`` skips the type-inference pass.  ``row_id`` adds a
-    bigint column increasing in file order (assigned at the scan, before any
-    shuffle) for tables whose row order matters and that carry no order key.
+    passing ``schema`` skips the type-inference pass.  ``row_id`` adds a column
+    that sorts rows by file path, then by place in the file, for tables whose
+    row order matters and that carry no order key.
     """
     fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     try:
         if fmt == "csv":
             df = _csv_reader(spark, schema, multiline).csv(path)
-            df = _normalise_na_and_types(df, infer=infer_types and schema is None)
+            if row_id and row_id not in df.columns:
+                df = df.withColumn(row_id, _file_place())
+            df = _normalise_na_and_types(df, infer=infer_types and schema is None, key=key)
         else:
             df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
     except AnalysisException as e:
@@ -93,7 +104,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
             return None
         raise
     if row_id and row_id not in df.columns:
-        df = df.withColumn(row_id, F.monotonically_increasing_id())
+        df = df.withColumn(row_id, _file_place())
     df = nan_to_null(df)
     if key:
         df = normalize_key(df, key)
