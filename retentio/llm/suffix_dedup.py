@@ -4,8 +4,9 @@ A byte is removed when a string of ``LENGTH`` bytes that covers it also starts
 in a document with a smaller doc_id.  Equal strings have equal minimizers (the
 least hash of their ``KMER``-byte strings), so the strings of a document are
 cut into runs of one minimizer.  Only runs whose minimizer occurs in another
-document too can hold a repeat.  Their distinct strings form collections by
-minimizer, and each collection is built column-wise: round after round the
+document too can hold a repeat.  The distinct strings of such runs form
+collections by minimizer (a string that is alone with its minimizer needs
+none), and each collection is built column-wise: round after round the
 next symbol of every string, from its end, is inserted; the Burrows-Wheeler
 transform gives the place of the new suffixes, and the common prefixes of the
 neighbours follow from the range minima of the round before.  Suffixes that
@@ -17,9 +18,10 @@ strings), so its arrays stay in the task's memory; the files between the steps
 are Spark's shuffle files and tables in the shared folder.
 
 Hot minimizers: within a chunk of texts a repeat is known at once and only one
-row goes on to the global test; strings are made distinct before they are
-shuffled; a minimizer with more than ``HEAVY`` runs is dealt out by its whole
-strings instead, so no collection grows with a common passage.
+row of each distinct string goes on to the global test; texts are read for one
+run of each distinct string alone; a minimizer with more than ``HEAVY`` distinct
+strings is dealt out by its ``LENGTH``-byte strings instead, so no collection
+grows with a common passage.
 
 Defined cases: null or empty text and texts under ``LENGTH`` bytes lose
 nothing; a null doc_id is smaller than any other; rows with equal doc_id do
@@ -49,7 +51,7 @@ HEAVY = 4096
 COLLECTION = 4_000
 CHUNK = 4 << 20
 #: Bytes of text for each part of the minimizer test.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 KEY = ["d", "t"]
 
 
@@ -91,12 +93,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = KMER):
-    """(minimizer of 48 bits, row, start in the row, number of strings) of each run of strings of one
-    minimizer in the texts ``raw[off[i]:off[i + 1]]``."""
+    """(minimizer of 48 bits, name, row, start in the row, number of strings) of each run of strings
+    of one minimizer in the texts ``raw[off[i]:off[i + 1]]``; the name is a hash of the run's bytes."""
     empty = np.zeros(0, np.int64)
     if len(raw) < length:
-        return empty, empty, empty, empty
-    least = sliding_min(kmer_hashes(raw, k), length - k + 1)
+        return empty, empty, empty, empty, empty
+    hashes = kmer_hashes(raw, k)
+    least = sliding_min(hashes, length - k + 1)
     # strings that do not cross the end of their text
     size = np.diff(off)
     ok = size >= length
@@ -117,31 +120,36 @@ def runs(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = KMER):
         which = np.repeat(np.arange(len(n)), cut)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(cut) - cut, cut)
         at, row, n = at[which] + nth * RUN, row[which], np.minimum(RUN, n[which] - nth * RUN)
-        at_min = least[at]
-    else:
-        at_min = least[at]
-    return (at_min >> np.uint64(16)).astype(np.int64), row, at - off[row], n
+    # hashes of the run's k-byte strings, each weighted by its place, modulo 2**64
+    plain = np.r_[np.uint64(0), np.cumsum(hashes)]
+    placed = np.r_[np.uint64(0), np.cumsum(hashes * np.arange(1, len(hashes) + 1, dtype=np.uint64))]
+    end = at + n + length - k
+    flat = plain[end] - plain[at]
+    name = mixed((placed[end] - placed[at] - flat * at.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + flat + n.astype(np.uint64))
+    return (least[at] >> np.uint64(16)).astype(np.int64), name.view(np.int64), row, at - off[row], n
 
 
-FOUND = "h long, d long, t int, start long, n int"
+#: A run; kind 0: where it occurs.  The others are one row for each distinct string, with its smallest
+#: doc_id: 1 alone with its minimizer, 2 with other strings, 3 with more than HEAVY others.
+FOUND = "h long, name long, d long, t int, start long, n int, kind int"
 
 
-def packed(h, d, t, start, n) -> bytes:
-    """Columns of runs as one compressed value: 6 bytes for the minimizer, differences for the rest."""
+def packed(h, name, d, t, start, n) -> bytes:
+    """Columns of runs as one compressed value: 6 bytes for the minimizer, differences for places."""
     diff = lambda x: np.diff(x, prepend=0).astype("<i8").tobytes()
-    parts = [(h & 0xFFFFFFFF).astype("<u4").tobytes(), (h >> 32).astype("<u2").tobytes(), diff(d), diff(t), diff(start),
-             n.astype("u1").tobytes()]
+    parts = [(h & 0xFFFFFFFF).astype("<u4").tobytes(), (h >> 32).astype("<u2").tobytes(), name.astype("<i8").tobytes(),
+             diff(d), diff(t), diff(start), n.astype("u1").tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(len(h).to_bytes(8, "little") + b"".join(parts))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     m, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind, width in (("<u4", 4), ("<u2", 2), ("<i8", 8), ("<i8", 8), ("<i8", 8), ("u1", 1)):
+    for kind, width in (("<u4", 4), ("<u2", 2), ("<i8", 8), ("<i8", 8), ("<i8", 8), ("<i8", 8), ("u1", 1)):
         out.append(np.frombuffer(raw, kind, m, at).astype(np.int64))
         at += width * m
-    lo, hi, d, t, start, n = out
-    return lo | hi << 32, np.cumsum(d), np.cumsum(t), np.cumsum(start), n
+    lo, hi, name, d, t, start, n = out
+    return lo | hi << 32, name, np.cumsum(d), np.cumsum(t), np.cumsum(start), n
 
 
 def in_two(h: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -156,34 +164,45 @@ def in_two(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return out
 
 
-def record(h, d, t, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "h": pa.array(h, pa.int64()), "d": pa.array(d, pa.int64()), "t": pa.array(t, pa.int32()),
-        "start": pa.array(start, pa.int64()), "n": pa.array(n, pa.int32())})
+def record(kind, *columns) -> pa.RecordBatch:
+    names = ("h", "name", "d", "t", "start", "n", "kind")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+    if np.isscalar(kind):
+        kind = np.full(len(columns[0]), kind)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((*columns, kind), types)], names=list(names))
+
+
+def first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, mask): rows sorted by ``keys``, and which of them open a new value of the first two."""
+    order = np.lexsort(keys[::-1])
+    a, b = keys[0][order], keys[1][order]
+    return order, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+
+
+KNOWN = 64  # added to a run's number of strings: its chunk shows the repeat
 
 
 def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
-    """(h, d, t, start, n): the runs whose minimizer occurs in another document too."""
+    """``FOUND``: the runs whose minimizer occurs in another document too, and their distinct strings."""
     def look(batches):
         for batch in batches:
             for rows in text_chunks(batch, "text", CHUNK):
                 raw, off = buffers(large(rows.column("text")))
-                h, row, start, n = runs(raw, off)
-                cols = h, rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row].astype(np.int64), start, n
-                # repeats within the chunk are known; one row of each tells the other chunks
-                here = in_two(h, cols[1])
-                ask = ~here
+                h, name, row, start, n = runs(raw, off)
+                cols = h, name, rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row].astype(np.int64), start, n
+                # repeats within the chunk are known; one row of each string tells the other chunks
+                here = in_two(h, cols[2])
                 at = np.flatnonzero(here)
-                ask[at[np.unique(h[at], return_index=True)[1]]] = True
-                ask = np.flatnonzero(ask)
+                order, opens = first_of_each(*(x[at] for x in cols[:3]))
+                ask = np.r_[np.flatnonzero(~here), at[order[opens]]]
+                told = (*cols[:5], n + KNOWN * here)
                 part = h[ask] % parts
                 ask = ask[np.argsort(part, kind="stable")]
                 cuts = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
-                out = [(p, False, packed(*(x[ask[a:b]] for x in cols)))
+                out = [(p, False, packed(*(x[ask[a:b]] for x in told)))
                        for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
                 if len(at):
-                    out.append((int(xxhash.xxh3_64_intdigest(packed(*(x[at[:64]] for x in cols))) % parts), True,
-                                packed(*(x[at] for x in cols))))
+                    out.append((int(name[at[0]]) % parts, True, packed(*(x[at] for x in cols))))
                 yield pa.RecordBatch.from_pydict({"part": pa.array([x[0] for x in out], pa.int32()),
                                                   "known": pa.array([x[1] for x in out], pa.bool_()),
                                                   "blob": pa.array([x[2] for x in out], pa.binary())})
@@ -193,82 +212,64 @@ def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for known, blob in zip(batch.column("known").to_pylist(), batch.column("blob")):
                 if known:
-                    yield record(*unpacked(blob.as_py()))
+                    yield record(0, *unpacked(blob.as_py()))
                 else:
                     got.append(blob.as_py())
-        if got:
-            cols = [np.concatenate(x) for x in zip(*map(unpacked, got))]
-            got.clear()
-            at = np.flatnonzero(in_two(cols[0], cols[1]))
-            for i in range(0, len(at), 200_000):
-                yield record(*(x[at[i:i + 200_000]] for x in cols))
+        if not got:
+            return
+        cols = [np.concatenate(x) for x in zip(*map(unpacked, got))]
+        got.clear()
+        h, told = cols[0], cols[5] >= KNOWN
+        cols[5] = cols[5] % KNOWN
+        held = in_two(h, cols[2]) | np.isin(h, h[told])
+        at = np.flatnonzero(held & ~told)
+        for i in range(0, len(at), 200_000):
+            yield record(0, *(x[at[i:i + 200_000]] for x in cols))
+        at = np.flatnonzero(held)
+        order, opens = first_of_each(*(x[at] for x in cols[:3]))
+        at = at[order[opens]]
+        # how many distinct strings a minimizer has
+        same = np.flatnonzero(np.r_[True, h[at][1:] != h[at][:-1]]) if len(at) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[same, len(at)])
+        kind = np.repeat(np.where(times == 1, 1, np.where(times <= HEAVY, 2, 3)), times)
+        for i in range(0, len(at), 200_000):
+            yield record(kind[i:i + 200_000], *(x[at[i:i + 200_000]] for x in cols))
 
     asked = docs.mapInArrow(look, "part int, known boolean, blob binary").repartition(parts, "part")
     return asked.select("known", "blob").mapInArrow(meet, FOUND)
 
 
-def strings_of(rows: pa.RecordBatch):
-    """(strings as large binary, h, d, t, start) of the runs in ``rows`` (d, t, text, runs); the runs of
-    a heavy minimizer become their single strings."""
-    raw, off = buffers(large(rows.column("text")))
-    listed = rows.column("runs")
-    lists = listed.offsets.to_numpy().astype(np.int64)
-    items = listed.values.slice(lists[0], lists[-1] - lists[0])
-    start, n, h, heavy = (items.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-    row = np.repeat(np.arange(rows.num_rows), np.diff(lists))
-    times = np.where(heavy, n, 1).astype(np.int64)
-    which = np.repeat(np.arange(len(n)), times)
-    start = start[which] + np.where(heavy[which], np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times), 0)
-    size = np.where(heavy[which], 1, n[which]).astype(np.int64) + LENGTH - 1
-    row = row[which]
-    ends = np.r_[0, np.cumsum(size)]
-    taken = raw[np.repeat(off[row] + start - ends[:-1], size) + np.arange(ends[-1])]
-    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [
-        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(taken))])
-    return strings, h[which], rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row], start, heavy[which]
-
-
-def named(strings) -> np.ndarray:
-    """64-bit names of distinct strings; with the minimizer they tell strings apart."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(s) for s in strings), np.uint64, len(strings)).view(np.int64)
-
-
-def per_chunk(batches):
-    for batch in batches:
-        for rows in text_chunks(batch, "text", CHUNK // 2):
-            strings, h, d, t, start, heavy = strings_of(rows)
-            coded = strings.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            yield distinct, named(distinct), coded.indices.to_numpy(zero_copy_only=False), h, d, t, start, heavy
+STRINGS = "collection int, h long, name long, base int, s binary, lo long"
 
 
-def distinct_strings(collections: int):
-    """Task function: the chunk's distinct strings with their smallest and largest doc_id."""
+def strings_of(collections: int):
+    """Task function on (d, text, runs): the runs' bytes, dealt to collections by minimizer; the runs of
+    a heavy minimizer become their single strings, dealt one by one."""
     def run(batches):
-        for strings, name, code, h, d, _, _, heavy in per_chunk(batches):
-            if not strings:
-                continue
-            lo, hi = np.full(len(strings), 2**63 - 1), np.full(len(strings), -2**63)
-            np.minimum.at(lo, code, d)
-            np.maximum.at(hi, code, d)
-            of, deal = np.zeros(len(strings), np.int64), np.zeros(len(strings), bool)
-            of[code], deal[code] = h, heavy
-            # a heavy minimizer's strings are dealt out one by one
-            where = np.where(deal, name, of * 0x5851F42D) >> 7
-            yield pa.RecordBatch.from_pydict({
-                "collection": pa.array(where % collections, pa.int32()), "h": pa.array(of), "name": pa.array(name),
-                "s": pa.array(strings, pa.binary()), "lo": pa.array(lo), "hi": pa.array(hi)})
+        for batch in batches:
+            for rows in text_chunks(batch, "text", CHUNK // 2):
+                raw, off = buffers(large(rows.column("text")))
+                listed = rows.column("runs")
+                lists = listed.offsets.to_numpy().astype(np.int64)
+                items = listed.values.slice(lists[0], lists[-1] - lists[0])
+                start, n, h, name, heavy = (items.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                row = np.repeat(np.arange(rows.num_rows), np.diff(lists))
+                times = np.where(heavy, n, 1).astype(np.int64)
+                which = np.repeat(np.arange(len(n)), times)
+                base = np.where(heavy[which], np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times), 0)
+                begin = off[row[which]] + start[which] + base
+                size = np.where(heavy[which], 1, n[which]).astype(np.int64) + LENGTH - 1
+                strings = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + size).tolist())]
+                deal = (h[which] * 0x5851F42D >> 7) % collections
+                for i in np.flatnonzero(heavy[which]).tolist():
+                    deal[i] = xxhash.xxh3_64_intdigest(strings[i]) % collections
+                yield pa.RecordBatch.from_pydict({
+                    "collection": pa.array(deal, pa.int32()), "h": pa.array(h[which], pa.int64()),
+                    "name": pa.array(name[which], pa.int64()), "base": pa.array(base, pa.int32()),
+                    "s": pa.array(strings, pa.binary()), "lo": rows.column("d").take(pa.array(row[which]))})
     return run
 
 
-def occurrences(batches):
-    """Task function: where each string occurs."""
-    for _, name, code, h, d, t, start, _ in per_chunk(batches):
-        yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "name": pa.array(name[code], pa.int64()),
-                                          "d": pa.array(d, pa.int64()), "t": pa.array(t, pa.int32()),
-                                          "start": pa.array(start, pa.int64())})
-
-
 class RangeMin:
     """Minima of ranges of a byte array, by a table over powers of two."""
 
@@ -361,41 +362,34 @@ def first_documents(strings: list[bytes], lo: np.ndarray, length: int = LENGTH)
 
 
 def solve(batches):
-    """Task function on one part of the collections: (h, name, runs) of the strings that a later
-    document repeats; a run is (first offset, offset after the last, smallest doc_id)."""
+    """Task function on one part of the collections: runs (h, name, from, to, first) of each string, from
+    one offset to the one after the last, with the smallest doc_id in which the strings there start."""
     tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not tables:
         return
     whole = pa.concat_tables(tables).combine_chunks()
+    tables.clear()
     collection = whole.column("collection").to_numpy()
     for c in np.unique(collection):
         rows = whole.take(pa.array(np.flatnonzero(collection == c)))
         coded = rows.column("s").combine_chunks().dictionary_encode()
         code, strings = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        lo, hi = np.full(len(strings), 2**63 - 1), np.full(len(strings), -2**63)
+        lo = np.full(len(strings), 2**63 - 1)
         np.minimum.at(lo, code, rows.column("lo").to_numpy())
-        np.maximum.at(hi, code, rows.column("hi").to_numpy())
-        h, name = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
-        h[code], name[code] = rows.column("h").to_numpy(), rows.column("name").to_numpy()
+        first = first_documents(strings, lo)
         n = np.fromiter((len(s) for s in strings), np.int64, len(strings)) - LENGTH + 1
-        # a string that is alone with its minimizer shares nothing with another one
-        first = np.repeat(lo, n)
-        _, group, times = np.unique(h, return_inverse=True, return_counts=True)
-        many = np.flatnonzero(times[group] > 1)
-        mine = np.zeros(len(strings), bool)
-        mine[many] = True
-        if len(many):
-            first[np.repeat(mine, n)] = first_documents([strings[i] for i in many.tolist()], lo[many])
-        of = np.repeat(np.arange(len(n)), n)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        opens = np.r_[True, (of[1:] != of[:-1]) | (first[1:] != first[:-1])]
-        a = np.flatnonzero(opens)
+        place = np.cumsum(n) - n
+        # offsets of each row's string, and where the smallest doc_id changes
+        times = n[code]
+        of = np.repeat(np.arange(len(code)), times)
+        offset = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        first = first[place[code][of] + offset]
+        a = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (first[1:] != first[:-1])])
         b = np.r_[a[1:], len(of)] - 1
-        keep = first[a] < hi[of[a]]
-        a, b = a[keep], b[keep]
+        base = rows.column("base").to_numpy().astype(np.int64)[of[a]]
         yield pa.RecordBatch.from_pydict({
-            "h": pa.array(h[of[a]], pa.int64()), "name": pa.array(name[of[a]], pa.int64()),
-            "from": pa.array(offset[a], pa.int32()), "to": pa.array(offset[b] + 1, pa.int32()),
+            "h": pa.array(rows.column("h").to_numpy()[of[a]], pa.int64()), "name": pa.array(rows.column("name").to_numpy()[of[a]], pa.int64()),
+            "from": pa.array(base + offset[a], pa.int32()), "to": pa.array(base + offset[b] + 1, pa.int32()),
             "first": pa.array(first[a], pa.int64())})
 
 
@@ -435,23 +429,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     placed = with_place(docs)
     total = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // PART_BYTES))
-    # a chunk's row for a repeat that it knows itself may come back from the test
     found = scratch.table(repeated_runs(placed, parts))
     scratch.release()
-    heavy = scratch.table(found.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HEAVY)
-                          .select("h", F.lit(True).alias("heavy")))
-    collections = max(1, -(-found.count() // COLLECTION))
-    marked = found.join(heavy, "h", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    by_doc = marked.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "h", "heavy")).alias("runs"))
-    # the texts are dealt out once: the strings, their places and the cut all read this exchange
+    groups = found.where("kind > 1")
+    collections = max(1, -(-groups.count() // COLLECTION))
+    by_doc = groups.groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "h", "name", (F.col("kind") == 3).alias("heavy"))).alias("runs"))
+    # the texts are dealt out once: the strings and the cut both read this exchange
     dealt = placed.repartition(*[F.col(k) for k in KEY])
-    chosen = dealt.join(by_doc, KEY).select(*KEY, "text", "runs")
-    strings = chosen.mapInArrow(distinct_strings(collections),
-                                "collection int, h long, name long, s binary, lo long, hi long")
+    strings = dealt.join(by_doc, KEY).select("d", "text", "runs").mapInArrow(strings_of(collections), STRINGS)
     solved = strings.repartition(collections, "collection").mapInArrow(
         solve, "h long, name long, from int, to int, first long")
-    places = chosen.mapInArrow(occurrences, "h long, name long, d long, t int, start long")
-    covered = (places.join(solved, ["h", "name"]).where("first < d")
+    alone = found.where("kind = 1").select("h", "name", F.lit(0).alias("from"), F.col("n").alias("to"), F.col("d").alias("first"))
+    places = found.where("kind = 0").select("h", "name", *KEY, "start")
+    covered = (places.join(solved.unionByName(alone), ["h", "name"]).where("first < d")
                .select(*KEY, (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + LENGTH - 1).alias("b")))
     ranges = covered.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     return dealt.join(ranges, KEY, "left").select("d", "text", "ranges").mapInArrow(
