@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
 Texts are bags of hashed n-grams: words, word pairs and pairs of word shapes
-(letters as a or A, digits as 0, runs collapsed).  A generative model of the
+(letters as a or A, digits as 0, runs cut to two).  A generative model of the
 target (texts labelled good) and one of the raw corpus give each text the
 log-ratio of its probabilities, its log importance weight; the k largest of
 weight plus Gumbel noise are a sample without replacement by importance.
@@ -22,8 +22,6 @@ rows equal in doc_id and text get the same noise; extra columns pass through
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,36 +30,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.llm.common import Scratch, load
-from retentio.llm.tokens import large, text_chunks
+from retentio.llm.tokens import buffers, from_buffers, large, text_chunks
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 50_000
 GOOD_SHARE = 0.998
 SEED = 17
-SHAPES = {**{c: "a" for c in range(97, 123)}, **{c: "A" for c in range(65, 91)}, **{c: "0" for c in range(48, 58)}}
-
-
-def shape(word: str) -> str:
-    out = word.translate(SHAPES)
-    if not out.isascii():
-        out = "".join(c if c.isascii() else "A" if c.isupper() else "a" if c.isalpha() else c for c in out)
-    return re.sub(r"(.)\1+", r"\1\1", out)
 
-
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all n-grams, offsets of the texts in them)."""
-    split = pc.ascii_split_whitespace(large(texts))
+def shapes(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """The texts with a-z and non-ASCII bytes as a, A-Z as A, digits as 0, and at most two equal ones in
+    a row: each word's place holds its shape."""
+    raw, off = buffers(texts)
+    kind = np.arange(256, dtype=np.uint8)
+    kind[97:123], kind[65:91], kind[48:58], kind[128:] = ord("a"), ord("A"), ord("0"), ord("a")
+    raw = kind[raw]
+    keep = np.ones(len(raw), bool)
+    keep[2:] = (raw[2:] != raw[1:-1]) | (raw[1:-1] != raw[:-2])
+    # the first bytes of a text do not continue the text before
+    starts = off[:-1][np.diff(off) > 0]
+    keep[starts] = True
+    keep[starts[starts + 1 < len(raw)] + 1] = True
+    return from_buffers(raw[keep], np.r_[0, np.cumsum(keep)][off])
+
+
+def words_of(texts: pa.LargeStringArray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, offsets of the texts in them)."""
+    split = pc.ascii_split_whitespace(texts)
     off = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
     words = coded.dictionary.to_pylist()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    shapes = np.fromiter((xxhash.xxh3_64_intdigest(shape(w), 1) for w in words), np.uint64, len(words))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    # splitting leaves empty strings at the ends of a text
     real = np.fromiter((w != "" for w in words), bool, len(words))[codes]
-    off = np.r_[0, np.cumsum(real)][off - off[0]]
-    w, s = hashes[codes[real]], shapes[codes[real]]
+    return hashes[codes[real]], np.r_[0, np.cumsum(real)][off - off[0]]
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all n-grams, offsets of the texts in them)."""
+    texts = large(texts)
+    w, off = words_of(texts, 0)
+    s = words_of(shapes(texts), 1)[0]
+    if not len(w):
+        return np.zeros(0, np.int64), off
 
     def pairs(x):
         y = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]

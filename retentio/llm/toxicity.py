@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from retentio.llm.common import load
 from retentio.llm.tokens import buffers, large, text_chunks
 
-FIT_ROWS = 100_000
+FIT_ROWS = 30_000
 WORDS = 4096
 #: Squared width of the confidence bound, and the least bound of a telling feature.
 Z2, LEAST = 7.0, 0.2
@@ -57,6 +57,8 @@ STRETCH = re.compile(
     # a letter three times or more
     r"|(?<![^\W_])[a-z]*([a-z])\1\1[a-z]*(?![^\W_])")
 WORD = re.compile(r"[^\W\d_]+")
+#: A token that is read as it is: letters with punctuation behind them, and no letter three times.
+PLAIN, THRICE = re.compile(r"[^\W\d_]+[.,;:?]*").fullmatch, re.compile(r"([a-z])\1\1").search
 
 
 def gram_slots(raw: np.ndarray):
@@ -105,7 +107,7 @@ class Decoder:
     """Viterbi decoding of stretches under the language model; readings are remembered."""
 
     def __init__(self, tables: list[np.ndarray]):
-        self.tables, self.total, self.seen, self.costs = tables, max(1, int(tables[0].sum())), {}, {}
+        self.tables, self.total, self.seen, self.costs, self.tokens = tables, max(1, int(tables[0].sum())), {}, {}, {}
 
     def count(self, code: int, n: int) -> int:
         return int(self.tables[n - 1][code if n <= 2 else (code * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> (64 - (SIZES[n - 1].bit_length() - 1))])
@@ -166,13 +168,47 @@ class Decoder:
             return self.read(s) if len(s) <= LONGEST and 3 * sum(c.isdigit() for c in s) <= 2 * len(s) else s
         return STRETCH.sub(one, text)
 
+    def words_of(self, token: str) -> tuple[str, ...]:
+        """Words of one restored token; remembered."""
+        if token not in self.tokens:
+            if len(self.tokens) > 150_000:
+                self.tokens.clear()
+            self.tokens[token] = tuple(WORD.findall(token if PLAIN(token) and not THRICE(token) else self.restore(token)))
+        return self.tokens[token]
+
     def features(self, text: str) -> set[str]:
-        """Words of the restored text and the first letters of longer ones, marked by their number."""
-        words = set(WORD.findall(self.restore(text.lower())))
+        """Words of the restored text, the first letters of longer ones, and those that several
+        words share."""
+        tokens = text.lower().split()
+        words = {w for t in set(tokens) for w in self.words_of(t)} | self.spaced(tokens)
         five = Counter(w[:5] for w in words if len(w) > 5)
         return (words | {f"4{w[:4]}" for w in words if len(w) > 4} | {f"5{w}" for w in five}
                 | {f"{min(n, 3)}x{w}" for w, n in five.items() if n > 1})
 
+    def spaced(self, tokens: list[str]) -> set[str]:
+        """Words written letter by letter: four or more single characters in a row, read with and
+        without the first (it may be a word)."""
+        out = set()
+        for run in runs_of([i for i, t in enumerate(tokens) if len(t) == 1]):
+            for part in (run, run[1:]):
+                if len(part) > 3:
+                    out.update(WORD.findall(self.restore(" ".join(tokens[i] for i in part))))
+        return out
+
+
+def own_features(word: str) -> tuple[str, ...]:
+    """The features that a word has by itself."""
+    return (word, *([f"4{word[:4]}"] if len(word) > 4 else []), *([f"5{word[:5]}"] if len(word) > 5 else []))
+
+
+def runs_of(places: list[int]):
+    """Runs of consecutive numbers."""
+    start = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            yield places[start:i]
+            start = i
+
 
 def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most: int = WORDS) -> tuple[float, dict]:
     """(score of a text without telling features, score that each telling feature gives)."""
@@ -217,17 +253,85 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
     return min(LEAST, 0.5 * n_toxic / max(1, n_clean + n_toxic)), {r["word"]: r["low"] for r in rows}
 
 
+def text_scores(texts: pa.Array, decoder: Decoder, least: float, of: dict) -> np.ndarray:
+    """The score of each text: its most telling feature.  Each distinct token of the texts is read once."""
+    split = pc.ascii_split_whitespace(pc.utf8_lower(large(texts)))
+    off = split.offsets.to_numpy().astype(np.int64)
+    coded = split.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+    off = off - off[0]
+    out = np.full(len(texts), least)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    if not len(codes):
+        return out
+    row = np.repeat(np.arange(len(texts)), np.diff(off))
+    # first letters that tell by how many words share them
+    shared = {f[2:] for f in of if f[1:2] == "x"}
+    # letters with punctuation behind them are read as they are, all at once
+    words = pc.utf8_rtrim(coded.dictionary, ".,;:?")
+    raw, at = buffers(words)
+    same = np.flatnonzero((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] >= 97) & (raw[2:] <= 122))
+    owner = np.searchsorted(at, same, "right") - 1
+    thrice = np.zeros(len(words), bool)
+    thrice[owner[same + 2 < at[owner + 1]]] = True
+    plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False) & ~thrice
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    best = np.zeros(len(words))
+    for mark, size in (("", 0), ("4", 4), ("5", 5)):
+        known = {f[len(mark):]: v for f, v in of.items() if f[1:2] != "x" and (f[:1] == mark if mark else f[:1] not in "45")}
+        if known:
+            part = pc.utf8_slice_codeunits(words, 0, size) if size else words
+            i = pc.index_in(part, value_set=pa.array(list(known), pa.large_string())).to_numpy(zero_copy_only=False)
+            hit = plain & ~np.isnan(i) & (length > size)
+            best[hit] = np.maximum(best[hit], np.array(list(known.values()))[i[hit].astype(np.int64)])
+    word_ids, held = {}, []
+    if shared:
+        first = pc.is_in(pc.utf8_slice_codeunits(words, 0, 5), value_set=pa.array(sorted(shared), pa.large_string())).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(plain & first & (length > 5)).tolist():
+            held.append((i, word_ids.setdefault(words[i].as_py(), len(word_ids))))
+    # the others are restored one by one
+    tokens = coded.dictionary
+    for i in np.flatnonzero(~plain).tolist():
+        for w in decoder.words_of(tokens[i].as_py()):
+            best[i] = max(best[i], *(of.get(f, 0.0) for f in own_features(w)))
+            if len(w) > 5 and w[:5] in shared:
+                held.append((i, word_ids.setdefault(w, len(word_ids))))
+    np.maximum.at(out, row, best[codes])
+    if held:
+        token, word = np.array(held).T
+        prefixes = sorted(shared)
+        of_word = np.array([prefixes.index(w[:5]) for w in word_ids])
+        at = np.flatnonzero(np.isin(codes, token))
+        order = np.argsort(token, kind="stable")
+        token, word = token[order], word[order]
+        a, b = np.searchsorted(token, codes[at], "left"), np.searchsorted(token, codes[at], "right")
+        rows = np.repeat(row[at], b - a)
+        words = word[np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())]
+        once = np.unique(rows * len(word_ids) + words)
+        pair, n = np.unique(once // len(word_ids) * len(prefixes) + of_word[once % len(word_ids)], return_counts=True)
+        for p, k in zip(pair.tolist(), n.tolist()):
+            if k > 1:
+                i = p // len(prefixes)
+                out[i] = max(out[i], of.get(f"{min(k, 3)}x{prefixes[p % len(prefixes)]}", 0.0))
+    # texts with four single characters in a row
+    single = (pc.utf8_length(tokens).to_numpy(zero_copy_only=False) == 1)[codes]
+    four = single[:-3] & single[1:-2] & single[2:-1] & single[3:] & (row[:-3] == row[3:]) if len(codes) > 3 else single[:0]
+    for i in np.unique(row[:len(four)][four]).tolist():
+        for w in decoder.spaced([tokens[c].as_py() for c in codes[off[i]:off[i + 1]].tolist()]):
+            out[i] = max(out[i], *(of.get(f, 0.0) for f in own_features(w)))
+    return out
+
+
 def scores(docs: DataFrame, lm, base: float, weights: dict) -> DataFrame:
     """(doc_id, score): probability that the restored text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast((lm, base, weights))
 
     def run(batches):
         tables, least, of = shared.value
-        decoder, known = Decoder(tables), set(of)
+        decoder = Decoder(tables)
         for batch in batches:
-            out = [max([least, *(of[w] for w in decoder.features(text.as_py() or "") & known)])
-                   for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            for rows in text_chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(text_scores(rows.column("text"), decoder, least, of))],
+                                                 names=["doc_id", "score"])
 
     return (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, score double"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -173,6 +174,11 @@ def test_kth_largest_and_ties(spark):
     assert chosen == sum(v >= sorted(values, reverse=True)[9] for v in values)
 
 
+def shape_of(word):
+    kinds = "".join("a" if b > 127 or 97 <= b <= 122 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b) for b in word.encode())
+    return re.sub(r"(.)\1+", r"\1\1", kinds)
+
+
 def feature_brute(text):
     import xxhash
     words = [w for w in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
@@ -183,7 +189,7 @@ def feature_brute(text):
         return ((y ^ y >> 31) * 0xFF51AFD7ED558CCD & mask) >> 48
 
     h = [xxhash.xxh3_64_intdigest(w) for w in words]
-    s = [xxhash.xxh3_64_intdigest(importance.shape(w), 1) for w in words]
+    s = [xxhash.xxh3_64_intdigest(shape_of(w), 1) for w in words]
     return [x >> 48 for x in h] + [pair(a, b) for a, b in zip(h, h[1:])] + [pair(a, b) for a, b in zip(s, s[1:])]
 
 
@@ -260,6 +266,18 @@ def test_language_model_counts_whole_texts(spark):
     assert sum(tables[1]) <= len(raw) and tables[1][(ord("a") << 8) | ord("l")] == raw.count(b"al")
 
 
+def test_scores_of_many_texts_are_those_of_each(spark):
+    import pyarrow as pa
+    rows, _ = toxic_rows()
+    decoder = toxicity.Decoder(toxicity.language_model(frame(spark, rows)))
+    of = {"idiot": 0.9, "4moro": 0.6, "5worth": 0.7, "2xgamma": 0.5, "3xgamma": 0.8, "zz": 0.3}
+    texts = ["an 1d10t.", "gammatrons gammatics", "gammatrons gammatics, gammatops gammatops", "such a i d i o t here", "moronic", "worthy",
+             None, "", "zz zz gammatrons gammatrons.", "nothing", "a b c"] + [t for _, t in rows[:40]]
+    got = toxicity.text_scores(pa.array(texts, pa.string()), decoder, 0.1, of)
+    for t, s in zip(texts, got.tolist()):
+        assert s == max([0.1, *(of[f] for f in decoder.features(t or "") & set(of))]), t
+
+
 def brute_reading(decoder, text):
     """The cheapest of all readings, tried one by one."""
     best = None
