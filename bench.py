@@ -69,9 +69,14 @@ def main():
     # warm-up: JVM, Python workers, parquet footers
     run(feat.orders_aggregate(driver.orders(spark, sf_dir), as_of=AS_OF_DEFAULT).where(F.lit(True)))
 
+    def query(name):
+        return lambda: run(catalog.QUERIES[name](spark, sf_dir))
+
     plan = [("tabular_features", tabular), ("feedback_text_ratings", feedback),
             ("train_rf200_depth10", train), ("score_all_customers", score),
-            ("top20_interventions", top20), ("orders_trend", trend)]
+            ("top20_interventions", top20), ("orders_trend", trend),
+            ("csv_scan", query("csv_scan")), ("monetary_box", query("monetary_box")),
+            ("stratified_split", query("stratified_split")), ("oversample", query("oversample"))]
     times = {}
     for name, fn in plan:
         samples = []
