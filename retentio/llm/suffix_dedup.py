@@ -49,7 +49,7 @@ KMER = 20
 RUN = 32
 HEAVY = 4096
 COLLECTION = 4_000
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Bytes of text for each part of the minimizer test.
 PART_BYTES = 8 << 20
 KEY = ["d", "t"]

@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words remembered by one Python worker; the table starts anew beyond it.
-TABLE_WORDS = 1_000_000
-CHUNK_BYTES = 4 << 20
+TABLE_WORDS = 300_000
+CHUNK_BYTES = 2 << 20
 
 
 def worker_state(key, make):
@@ -38,6 +38,7 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def large(texts: pa.Array) -> pa.LargeStringArray:
