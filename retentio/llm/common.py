@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +70,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps whose results are written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first collection lets go of frees more in the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -57,7 +57,7 @@ KEY = ["d", "t"]
 
 def with_place(docs: DataFrame) -> DataFrame:
     """(d, t, text): doc_id with a stand-in for null, and a hash that tells rows of one doc_id apart."""
-    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.hash("text").alias("t"), "text")
+    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.hash("text").bitwiseAND(0xFFFF).alias("t"), "text")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -429,7 +429,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     placed = with_place(docs)
     total = placed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // PART_BYTES))
-    found = scratch.table(repeated_runs(placed, parts))
+    found = scratch.table(repeated_runs(placed, parts), "zstd")
     scratch.release()
     groups = found.where("kind > 1")
     collections = max(1, -(-groups.count() // COLLECTION))
@@ -439,9 +439,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     strings = dealt.join(by_doc, KEY).select("d", "text", "runs").mapInArrow(strings_of(collections), STRINGS)
     solved = strings.repartition(collections, "collection").mapInArrow(
         solve, "h long, name long, from int, to int, first long")
-    alone = found.where("kind = 1").select("h", "name", F.lit(0).alias("from"), F.col("n").alias("to"), F.col("d").alias("first"))
-    places = found.where("kind = 0").select("h", "name", *KEY, "start")
-    covered = (places.join(solved.unionByName(alone), ["h", "name"]).where("first < d")
+    # a string's name and 16 bits of its minimizer stand for it: 80 bits
+    few = F.col("h").bitwiseAND(0xFFFF).cast("int").alias("h")
+    alone = found.where("kind = 1").select(few, "name", F.lit(0).alias("from"), F.col("n").alias("to"), F.col("d").alias("first"))
+    places = found.where("kind = 0").select(few, "name", *KEY, "start")
+    covered = (places.join(solved.withColumn("h", few).unionByName(alone), ["h", "name"]).where("first < d")
                .select(*KEY, (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + LENGTH - 1).alias("b")))
     ranges = covered.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     return dealt.join(ranges, KEY, "left").select("d", "text", "ranges").mapInArrow(
