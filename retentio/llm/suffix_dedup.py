@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, id_and_text, load
+from retentio.llm.common import Scratch, load, with_key
 from retentio.llm.tokens import buffers, large, text_chunks
 
 LENGTH = 50
@@ -53,11 +53,23 @@ CHUNK = 3 << 20
 #: Bytes of text for each part of the minimizer test.
 PART_BYTES = 8 << 20
 KEY = ["d", "t"]
+#: Slots that tell which doc_ids may be repeated.
+SLOTS = 1 << 14
 
 
 def with_place(docs: DataFrame) -> DataFrame:
-    """(d, t, text): doc_id with a stand-in for null, and a hash that tells rows of one doc_id apart."""
-    return id_and_text(docs).select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.hash("text").bitwiseAND(0xFFFF).alias("t"), "text")
+    """(d, t, text): doc_id with a stand-in for null, and a 64-bit hash of the text that tells rows of
+    one doc_id apart.  A doc_id of one row needs none: where no id that shares its slot is repeated,
+    t is 0 and takes no room in the files.  The slots depend on d alone, so rows of one doc_id agree."""
+    rows = with_key(docs).select("d", "t", "text")
+    slot = F.pmod(F.xxhash64("d"), F.lit(SLOTS))
+    again = rows.select("d").groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(slot.alias("slot")).distinct()
+    words = np.zeros(SLOTS // 64, np.uint64)
+    for r in again.collect():
+        words[r.slot // 64] |= np.uint64(1 << r.slot % 64)
+    bits = F.array(*[F.lit(x).cast("long") for x in words.view(np.int64).tolist()])
+    hit = F.getbit(F.element_at(bits, F.shiftright(slot, 6).cast("int") + 1), slot.bitwiseAND(63).cast("int"))
+    return rows.withColumn("t", F.when(hit == 1, F.col("t")).otherwise(F.lit(0).cast("long")))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -131,7 +143,7 @@ def runs(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, k: int = KMER):
 
 #: A run; kind 0: where it occurs.  The others are one row for each distinct string, with its smallest
 #: doc_id: 1 alone with its minimizer, 2 with other strings, 3 with more than HEAVY others.
-FOUND = "h long, name long, d long, t int, start long, n int, kind int"
+FOUND = "h long, name long, d long, t long, start long, n int, kind int"
 
 
 def packed(h, name, d, t, start, n) -> bytes:
@@ -166,7 +178,7 @@ def in_two(h: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def record(kind, *columns) -> pa.RecordBatch:
     names = ("h", "name", "d", "t", "start", "n", "kind")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     if np.isscalar(kind):
         kind = np.full(len(columns[0]), kind)
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((*columns, kind), types)], names=list(names))
@@ -189,7 +201,7 @@ def repeated_runs(docs: DataFrame, parts: int) -> DataFrame:
             for rows in text_chunks(batch, "text", CHUNK):
                 raw, off = buffers(large(rows.column("text")))
                 h, name, row, start, n = runs(raw, off)
-                cols = h, name, rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row].astype(np.int64), start, n
+                cols = h, name, rows.column("d").to_numpy()[row], rows.column("t").to_numpy()[row], start, n
                 # repeats within the chunk are known; one row of each string tells the other chunks
                 here = in_two(h, cols[2])
                 at = np.flatnonzero(here)

@@ -52,6 +52,23 @@ def test_suffix_dedup(spark, monkeypatch, heavy):
     assert suffix_dedup.drop_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_dedup_tells_rows_of_one_id_apart_by_64_bits(spark):
+    # two texts whose 16-bit hashes are equal, under one id, each with a passage of an earlier document
+    texts = [f"{i} " + prose(7000 + i, 14 + i % 9) + f" {i}" for i in range(1500)]
+    short = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+             .selectExpr("i", "hash(text) & 65535 AS t").orderBy("i").collect()]
+    seen, pairs = {}, []
+    for x, t in zip(texts, short):
+        pairs += [(seen[t], x)] if t in seen else []
+        seen[t] = x
+    a, b = pairs[0]
+    rows = [(1, a + "." + LONG[:200]), (2, b), (3, "y" * 70), (None, a), (None, b), (3, "z" * 70 + LONG[20:90]), (9, a), (9, b), (9, "q" * 60), (9, "q" * 60)]
+    assert rows_of(suffix_dedup.drop_repeats(frame(spark, rows)).drop("kept")) == substring_brute(rows)
+    placed = {(r.d, r.text): r.t for r in suffix_dedup.with_place(frame(spark, rows)).collect()}
+    assert placed[9, a] != placed[9, b] and placed[1, rows[0][1]] == 0
+    assert {r.t for r in suffix_dedup.with_place(frame(spark, [(i, x) for i, x in enumerate(texts)])).collect()} == {0}
+
+
 def shingles(text, n=5):
     w = [x for x in (text or "").translate({i: i + 32 for i in range(65, 91)}).replace("\t", " ").replace("\n", " ").split(" ") if x]
     return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
