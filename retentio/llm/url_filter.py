@@ -6,7 +6,9 @@ nothing, an ``add`` opens an interval and the next ``remove`` closes it.  A
 capture asks for its host, the host's parent domains and its path prefixes; an
 as-of join keeps the intervals that hold at its fetch time.  Intervals are cut
 at periods of ``PERIOD`` days and joined on (pattern, period), so a pattern
-with a long history meets only the part of it around the capture.
+with a long history meets only the part of it around the capture; an interval
+has a piece in each period that has captures, and one that no entry closes
+holds for all days from its first on.
 
 Defined cases: an entry without pattern, action or day is no entry; of several
 entries of one pattern on one day, ``remove`` wins; a capture with a null or
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 from retentio.llm.common import load
 
 PERIOD = 32
-#: Day after every capture: where an interval that no entry closes ends.
-LAST_DAY = 20_000
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[^:]+://[^/?#]*(/[^?#]*)"
 
@@ -49,7 +49,8 @@ def patterns(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """(pattern, since, until): days [since, until) on which the pattern is listed; disjoint."""
+    """(pattern, since, until): days [since, until) on which the pattern is listed; disjoint.
+    ``until`` is null where no entry closes the interval."""
     per_day = (entries.where("pattern IS NOT NULL AND day IS NOT NULL AND action IN ('add', 'remove')")
                .groupBy("pattern", "day").agg(F.max("action").alias("action")))
     by_day = Window.partitionBy("pattern").orderBy("day")
@@ -57,21 +58,23 @@ def intervals(entries: DataFrame) -> DataFrame:
         "before IS NULL AND action = 'add' OR before != action")
     # after the turns only, add and remove alternate
     return (turns.withColumn("until", F.lead("day").over(by_day)).where("action = 'add'")
-            .select("pattern", F.col("day").alias("since"), F.coalesce("until", F.lit(LAST_DAY)).alias("until")))
+            .select("pattern", F.col("day").alias("since"), "until"))
 
 
 def as_of(captures: DataFrame, listed: DataFrame, period: int = PERIOD) -> DataFrame:
     """The rows of ``captures`` (url, day and any others) with ``blocked``, ``pattern`` (of the entries
     in force the longest pattern, then the first) and ``listed_since``."""
-    pieces = listed.withColumn("period", F.explode(F.sequence(
-        F.floor(F.col("since") / period), F.floor((F.col("until") - 1) / period))))
     asked = captures.select(F.struct(*[captures[c] for c in captures.columns]).alias("row"),
                             captures["url"].alias("url"), captures["day"].alias("day"))
+    # one row: the periods that have captures
+    used = asked.agg(F.collect_set(F.floor(F.col("day") / period)).alias("used"))
+    pieces = listed.crossJoin(F.broadcast(used)).withColumn("period", F.explode(F.filter("used", lambda p: (
+        p >= F.floor(F.col("since") / period)) & (F.col("until").isNull() | (p <= F.floor((F.col("until") - 1) / period)))))).drop("used")
     # equal (url, day) ask once: a url that is captured very often is one row here
     distinct = asked.select("url", "day").where("url IS NOT NULL AND day IS NOT NULL").distinct()
     keys = distinct.select("url", "day", F.floor(F.col("day") / period).alias("period"),
                            F.explode(patterns(F.col("url"))).alias("pattern"))
-    held = keys.join(pieces, ["pattern", "period"]).where("since <= day AND day < until")
+    held = keys.join(pieces, ["pattern", "period"]).where("since <= day AND (until IS NULL OR day < until)")
     best = (held.groupBy("url", "day").agg(F.min(F.struct(
         (-F.length("pattern")).alias("n"), F.col("pattern"), F.col("since"))).alias("best")))
     return (asked.join(best, ["url", "day"], "left")

@@ -207,3 +207,17 @@ def test_url_filter(spark):
     assert got == sorted(((p, *brute(u, d)) for p, u, d in captures), key=repr)
     assert url_filter.as_of(cdf.limit(0), url_filter.intervals(edf)).count() == 0
     assert url_filter.as_of(cdf, url_filter.intervals(edf.limit(0))).where("blocked").count() == 0
+
+
+def test_open_entries_hold_for_all_days(spark):
+    late = 2**31 - 1
+    entries = [("ads.example.com", "add", 10), ("example.org", "add", 20_700), ("shop.example.net", "add", 20_100), ("shop.example.net", "remove", 20_200)]
+    captures = [(i, u, d) for i, (u, d) in enumerate((u, d) for u in ("http://ads.example.com/", "http://example.org/", "http://shop.example.net/a")
+                                                     for d in (9, 10, 19_999, 20_000, 20_150, 20_699, 20_700, 25_000, late))]
+    listed = url_filter.intervals(spark.createDataFrame(entries, "pattern string, action string, day int"))
+    got = {r.row.page_id: (r.blocked, r.listed_since) for r in url_filter.as_of(
+        spark.createDataFrame(captures, "page_id long, url string, day int"), listed).collect()}
+    holds = {"ads": lambda d: d >= 10 and 10, "org": lambda d: d >= 20_700 and 20_700, "shop": lambda d: 20_100 <= d < 20_200 and 20_100}
+    for i, u, d in captures:
+        since = next(f(d) for k, f in holds.items() if k in u) or None
+        assert got[i] == (since is not None, since), (u, d)
