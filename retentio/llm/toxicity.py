@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Words may be written with look-alike characters, with separators between the
-letters or with letters repeated.  Each such stretch becomes a lattice - every
+letters or pieces, or with letters repeated.  Each such stretch becomes a lattice - every
 character offers the letters it may stand for, or nothing, at a cost - and
 Viterbi search under a character language model picks the likeliest reading.
 The restored text is scored by its most telling feature: a feature is a word or
@@ -16,9 +16,13 @@ Scores read the text alone.
 
 Defined cases: null or empty text has no words and gets the score of a text
 without toxic words; a null doc_id is not held out and not fitted on; without
-labelled rows every score is that of the prior; stretches of more than
-``LONGEST`` characters are no words and stay as they are; rows with equal text
-get equal scores; extra columns are ignored.
+labelled rows every score is that of the prior; stretches are decoded whole,
+whatever their length (in those of more than ``LONGEST`` characters, a character
+more than three times in a row counts as three times); a word of letters with
+doubled ones, or of pieces with separators between, is read both as it is and
+decoded; two neighbouring pieces of up to ``PIECE`` letters are read as one word
+where the decoding drops the space; rows with equal text get equal scores; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ FIT_ROWS = 30_000
 WORDS = 4096
 #: Squared width of the confidence bound, and the least bound of a telling feature.
 Z2, LEAST = 7.0, 0.2
+#: Readings of longer stretches are not remembered.
 LONGEST = 48
+PIECE = 6
 #: Table sizes for 1, 2, 3 and 4 characters.
 SIZES = (1 << 8, 1 << 16, 1 << 18, 1 << 20)
 #: What a character may stand for besides itself.
@@ -56,6 +62,9 @@ STRETCH = re.compile(
     rf"|(?<![^\W_])[a-z0-9{MARKS}]*(?:[a-z][0-9{MARKS}]|[0-9{MARKS}][a-z])[a-z0-9{MARKS}]*(?![^\W_])"
     # a letter three times or more
     r"|(?<![^\W_])[a-z]*([a-z])\1\1[a-z]*(?![^\W_])")
+#: Pieces of letters with separators between them, or a word with a letter twice: read as they are, too.
+LOOSE = re.compile(r"(?<![^\W_])(?:[a-z]+(?:[._\-*~/][a-z]+)+|[a-z]*([a-z])\1[a-z]*)(?![^\W_])")
+MANY = re.compile(r"(.)\1{3,}", re.S)
 WORD = re.compile(r"[^\W\d_]+")
 #: A token that is read as it is: letters with punctuation behind them, and no letter three times.
 PLAIN, THRICE = re.compile(r"[^\W\d_]+[.,;:?]*").fullmatch, re.compile(r"([a-z])\1\1").search
@@ -138,6 +147,8 @@ class Decoder:
             yield "", REPEAT_COST if run > 2 else TWICE_COST
 
     def read(self, text: str) -> str:
+        if len(text) > LONGEST:
+            return self.search(MANY.sub(r"\1\1\1", text))
         if text not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -145,8 +156,9 @@ class Decoder:
         return self.seen[text]
 
     def search(self, text: str) -> str:
-        # state: the last three bytes; value: (cost, reading)
-        states = {b"   ": (0.0, "")}
+        # state: the last three bytes; value: (cost, reading), a reading being its last letters and the
+        # reading before them, so that a step costs the same at any length
+        states = {b"   ": (0.0, None)}
         for i in range(len(text)):
             after = {}
             for letter, price in self.offers(text, i):
@@ -155,25 +167,33 @@ class Decoder:
                     for b in letter.encode():
                         c += self.cost(ctx, b)
                         ctx = ctx[1:] + bytes([b])
-                    new = (c, reading + letter)
-                    if ctx not in after or new < after[ctx]:
-                        after[ctx] = new
+                    if ctx not in after or c < after[ctx][0]:
+                        after[ctx] = (c, (letter, reading))
             states = after
-        return min((c + self.cost(ctx, 32), reading) for ctx, (c, reading) in states.items())[1]
+        reading, out = min(((c + self.cost(ctx, 32), reading) for ctx, (c, reading) in states.items()), key=lambda x: x[0])[1], []
+        while reading:
+            out.append(reading[0])
+            reading = reading[1]
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> str:
         def one(m):
             s = m.group()
-            # codes and numbers are no words: at least half letters, and short
-            return self.read(s) if len(s) <= LONGEST and 3 * sum(c.isdigit() for c in s) <= 2 * len(s) else s
+            # codes and numbers are no words: at least a third of other characters
+            return self.read(s) if 3 * sum(c.isdigit() for c in s) <= 2 * len(s) else s
         return STRETCH.sub(one, text)
 
     def words_of(self, token: str) -> tuple[str, ...]:
         """Words of one restored token; remembered."""
         if token not in self.tokens:
+            words = WORD.findall(token if PLAIN(token) and not THRICE(token) else self.restore(token))
+            if LOOSE.search(token):
+                words += WORD.findall(LOOSE.sub(lambda m: self.read(m.group()), token))
+            if len(token) > LONGEST:
+                return tuple(words)
             if len(self.tokens) > 150_000:
                 self.tokens.clear()
-            self.tokens[token] = tuple(WORD.findall(token if PLAIN(token) and not THRICE(token) else self.restore(token)))
+            self.tokens[token] = tuple(words)
         return self.tokens[token]
 
     def features(self, text: str) -> set[str]:
@@ -253,6 +273,19 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
     return min(LEAST, 0.5 * n_toxic / max(1, n_clean + n_toxic)), {r["word"]: r["low"] for r in rows}
 
 
+def told_by(words: pa.Array, length: np.ndarray, of: dict) -> np.ndarray:
+    """The score that each word gives by itself, 0 for one that tells nothing."""
+    best = np.zeros(len(words))
+    for mark, size in (("", 0), ("4", 4), ("5", 5)):
+        known = {f[len(mark):]: v for f, v in of.items() if f[1:2] != "x" and (f[:1] == mark if mark else f[:1] not in "45")}
+        if known:
+            part = pc.utf8_slice_codeunits(words, 0, size) if size else words
+            i = pc.index_in(part, value_set=pa.array(list(known), pa.large_string())).to_numpy(zero_copy_only=False)
+            hit = ~np.isnan(i) & (length > size)
+            best[hit] = np.maximum(best[hit], np.array(list(known.values()))[i[hit].astype(np.int64)])
+    return best
+
+
 def text_scores(texts: pa.Array, decoder: Decoder, least: float, of: dict) -> np.ndarray:
     """The score of each text: its most telling feature.  Each distinct token of the texts is read once."""
     split = pc.ascii_split_whitespace(pc.utf8_lower(large(texts)))
@@ -275,27 +308,36 @@ def text_scores(texts: pa.Array, decoder: Decoder, least: float, of: dict) -> np
     thrice[owner[same + 2 < at[owner + 1]]] = True
     plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False) & ~thrice
     length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    best = np.zeros(len(words))
-    for mark, size in (("", 0), ("4", 4), ("5", 5)):
-        known = {f[len(mark):]: v for f, v in of.items() if f[1:2] != "x" and (f[:1] == mark if mark else f[:1] not in "45")}
-        if known:
-            part = pc.utf8_slice_codeunits(words, 0, size) if size else words
-            i = pc.index_in(part, value_set=pa.array(list(known), pa.large_string())).to_numpy(zero_copy_only=False)
-            hit = plain & ~np.isnan(i) & (length > size)
-            best[hit] = np.maximum(best[hit], np.array(list(known.values()))[i[hit].astype(np.int64)])
+    best = np.where(plain, told_by(words, length, of), 0.0)
     word_ids, held = {}, []
     if shared:
         first = pc.is_in(pc.utf8_slice_codeunits(words, 0, 5), value_set=pa.array(sorted(shared), pa.large_string())).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(plain & first & (length > 5)).tolist():
             held.append((i, word_ids.setdefault(words[i].as_py(), len(word_ids))))
-    # the others are restored one by one
+    # the others are restored one by one, and words with a letter twice, too
     tokens = coded.dictionary
-    for i in np.flatnonzero(~plain).tolist():
+    same = np.flatnonzero((raw[1:] == raw[:-1]) & (raw[1:] >= 97) & (raw[1:] <= 122))
+    owner = np.searchsorted(at, same, "right") - 1
+    twice = np.zeros(len(words), bool)
+    twice[owner[same + 1 < at[owner + 1]]] = True
+    for i in np.flatnonzero(~plain | twice).tolist():
         for w in decoder.words_of(tokens[i].as_py()):
             best[i] = max(best[i], *(of.get(f, 0.0) for f in own_features(w)))
             if len(w) > 5 and w[:5] in shared:
                 held.append((i, word_ids.setdefault(w, len(word_ids))))
     np.maximum.at(out, row, best[codes])
+    # short neighbouring pieces: only where the word they make would tell is it asked how they read
+    short = plain & (length <= PIECE)
+    bare = short & (pc.utf8_length(tokens).to_numpy(zero_copy_only=False) == length)
+    at = np.flatnonzero(bare[codes[:-1]] & short[codes[1:]] & (row[:-1] == row[1:]))
+    pairs, which = np.unique(codes[at].astype(np.int64) * len(words) + codes[at + 1], return_inverse=True)
+    a, b = words.take(pa.array(pairs // len(words))), words.take(pa.array(pairs % len(words)))
+    one = pc.binary_join_element_wise(a, b, pa.scalar("", pa.large_string()))
+    value = told_by(one, pc.utf8_length(one).to_numpy(zero_copy_only=False), of)
+    for i in np.flatnonzero(value > least).tolist():
+        if decoder.read(f"{a[i].as_py()} {b[i].as_py()}") != one[i].as_py():
+            value[i] = 0.0
+    np.maximum.at(out, row[at], value[which])
     if held:
         token, word = np.array(held).T
         prefixes = sorted(shared)

@@ -321,3 +321,19 @@ def test_viterbi_finds_the_cheapest_reading(spark):
     decoder = toxicity.Decoder(toxicity.language_model(frame(spark, rows)))
     for text in ("1d10t", "m.o.r.o.n", "id!ot", "mooron", "w0rth", "p@$t", "a b c"):
         assert decoder.search(text) == brute_reading(decoder, text)
+
+
+def test_long_stretches_pieces_and_doubled_letters_are_decoded(spark):
+    import pyarrow as pa
+    rows, _ = toxic_rows()
+    said = " you are a worthless moron and an idiot "
+    decoder = toxicity.Decoder(toxicity.language_model(frame(spark, rows + [(i, said * 20) for i in range(20)])))
+    of = {"idiot": 0.9, "moron": 0.8, "worthless": 0.7}
+    letters = " ".join("youareaworthlessmoronandanidiot")
+    cases = [(letters, 0.9), (" ".join("xqzvkwjxqzvkwjxqzvkwjxqzvkwj") + " i d i o t", 0.9), ("id" + "i" * 80 + "ot", 0.9), ("alpha mor on beta", 0.8),
+             ("alpha wor thless, beta", 0.7), ("alpha mor.on beta", 0.8), ("moorron", 0.8), ("alpha beta. gamma", 0.1), ("id" + "i" * 30_000 + "ot", 0.9),
+             ("a mo. ron", 0.1)]
+    assert len(letters) > toxicity.LONGEST
+    got = toxicity.text_scores(pa.array([t for t, _ in cases], pa.string()), decoder, 0.1, of)
+    assert got.tolist() == [s for _, s in cases]
+    assert len(decoder.search("x y " * 20_000)) >= 40_000
