@@ -5,11 +5,13 @@ Three kinds of strong finds are reported wherever they stand: ``assign``,
 identifier), ``key`` (a possible secret) and ``endpoint`` - are reported only
 with a complementary part near by: an identifier with a secret, a secret with
 an identifier or an endpoint, an endpoint with both.  Near means in the same
-scope (no blank line between) with starts at most ``REACH`` characters apart.
+scope (no blank line between) with starts at most ``REACH`` characters apart,
+where a part, or parts that overlap, count as ``PART`` characters at most: a long
+secret does not keep what stands around it apart.
 
 Finds are cut out with split and regexp_extract_all, which agree on the
 leftmost non-overlapping matches, so positions are running sums of lengths.
-The linking is an interval join: starts fall into bins of ``REACH``
+The linking is an interval join: starts, so counted, fall into bins of ``REACH``
 characters, each bin keeps the smallest and largest start of each part, and a
 candidate asks its own bin and the two beside it.  Nothing pairs parts with
 parts, so a text full of candidates costs no more than their number.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from retentio.llm.common import Scratch, load, running_sums, sha256_hex, with_key
 
 REACH = 256
+#: Characters that a part counts for in distances, at most.
+PART = 64
 KEY = ["d", "t"]
 #: kind -> (pattern, group that is measured, its least length, what a text must hold at all); matches
 #: that fail are dropped.  A run of capitals or hex digits that is long enough is the same match
@@ -38,12 +42,12 @@ STRONG = {
 }
 WEAK = {
     "ident": (r"""(?<![A-Za-z0-9_])(?:(?i:access_?key(?:_?id)?|client_?id|key_?id|user(?:_?name)?|login|account)"""
-              r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{1,128})""", 0, 1, "[:=@]"),
+              r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]+)""", 0, 1, "[:=@]"),
     "key": (r"""(?<![A-Za-z0-9_])(?:(?i:pwd|pass|passphrase|auth|bearer|credentials?|private_?key|signature)"""
-            r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,512}|(?=[A-Za-z0-9+/]{0,38}[a-z])(?=[A-Za-z0-9+/]{0,38}[A-Z])"""
+            r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}|(?=[A-Za-z0-9+/]{0,38}[a-z])(?=[A-Za-z0-9+/]{0,38}[A-Z])"""
             r"""(?=[A-Za-z0-9+/]{0,38}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/]))""", 0, 1, "[:=]|[A-Za-z0-9+/]{40}"),
-    "endpoint": (r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+.-]{1,16}://[^\s"'<>]{3,512}|(?i:host|endpoint|server)"""
-                 r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,253}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5})""", 0, 1, "[:=]"),
+    "endpoint": (r"""(?<![A-Za-z0-9_])(?:[a-z][a-z0-9+.-]{1,16}://[^\s"'<>]{3,}|(?i:host|endpoint|server)"""
+                 r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5})""", 0, 1, "[:=]"),
 }
 KINDS = [*STRONG, *WEAK]
 #: The part that a kind plays.
@@ -93,11 +97,19 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
             b.alias("from"), scope_end.alias("kind"), b.alias("to"))))).alias("x")).select(*KEY, "x.*").distinct())
     # a scope's number is how many blank lines end at or before its parts
     by_doc = Window.partitionBy(*KEY).orderBy("from", "kind")
-    parts = (rows.withColumn("scope", F.sum((F.col("kind") < 0).cast("int")).over(by_doc)).where("kind >= 0")
-             .withColumn("bin", F.floor(F.col("from") / reach)))
+    parts = rows.withColumn("scope", F.sum((F.col("kind") < 0).cast("int")).over(by_doc))
+    # blocks of overlapping parts; what a block has over PART characters is left out of places
+    parts = parts.withColumn("seen", F.coalesce(F.max("to").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.withColumn("block", F.max(F.when(F.col("from") >= F.col("seen"), F.col("from"))).over(by_doc))
+    parts = parts.withColumn("last", F.lag("block").over(by_doc))
+    over = F.when(F.col("block") == F.col("last"), F.lit(0)).otherwise(
+        F.coalesce(F.greatest(F.col("seen") - F.col("last") - PART, F.lit(0)), F.lit(0)))
+    place = F.col("from") - F.col("over") - F.greatest(F.col("from") - F.col("block") - PART, F.lit(0))
+    parts = (parts.withColumn("over", F.sum(over).over(by_doc)).where("kind >= 0").withColumn("at", place)
+             .withColumn("bin", F.floor(F.col("at") / reach)).select(*KEY, "scope", "from", "kind", "to", "at", "bin"))
 
     def ends(kinds, name):
-        at = F.when(F.col("kind").isin([index[k] for k in kinds]), F.col("from"))
+        at = F.when(F.col("kind").isin([index[k] for k in kinds]), F.col("at"))
         return [F.min(at).alias(f"{name}_lo"), F.max(at).alias(f"{name}_hi")]
 
     bins = parts.groupBy(*KEY, "scope", "bin").agg(
@@ -109,8 +121,8 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
     def near(name):
         # the whole own bin is within reach; of the others, what lies nearest decides
         return F.max(F.coalesce(F.when(F.col("bin") == F.col("own"), F.col(f"{name}_lo").isNotNull())
-                                .when(F.col("bin") < F.col("own"), F.col(f"{name}_hi") >= F.col("from") - reach)
-                                .otherwise(F.col(f"{name}_lo") <= F.col("from") + reach), F.lit(False))).alias(name)
+                                .when(F.col("bin") < F.col("own"), F.col(f"{name}_hi") >= F.col("at") - reach)
+                                .otherwise(F.col(f"{name}_lo") <= F.col("at") + reach), F.lit(False))).alias(name)
 
     sides = met.groupBy(*KEY, "from", "kind", "to").agg(near("i"), near("s"), near("e"))
     kind = F.col("kind")

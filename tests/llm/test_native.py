@@ -221,3 +221,15 @@ def test_open_entries_hold_for_all_days(spark):
     for i, u, d in captures:
         since = next(f(d) for k, f in holds.items() if k in u) or None
         assert got[i] == (since is not None, since), (u, d)
+
+
+def test_secret_parts_around_a_long_secret_are_linked_and_spans_are_whole(spark):
+    long = "https://db.example.com/" + "p/" * 600
+    rows = [(1, "user=bob\ntoken=" + "k9" * 300 + "\nhost=db.internal"), (2, f"user=bob pass=hunter22x {long} end"),
+            (3, "user=" + "u" * 90 + " pass=" + "h" * 700 + " host=" + "s" * 300), (4, "user=bob " + "y " * 150 + "pass=hunter22x"),
+            (5, "user=bob\n\ntoken=" + "k9" * 300 + "\nhost=db.internal")]
+    got = {r.doc_id: r.spans for r in secrets.scan(frame(spark, rows)).select("doc_id", secrets.written("spans").alias("spans")).collect()}
+    assert got[1] == "ident:0:8,assign:9:615,endpoint:616:632"
+    assert got[2] == f"ident:0:8,key:9:23,endpoint:24:{24 + len(long)}"
+    assert got[3] == "ident:0:95,key:96:801,endpoint:802:1107"
+    assert got[4] == "" and got[5] == "assign:10:616"
