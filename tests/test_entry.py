@@ -1,6 +1,8 @@
 """Driver contract: entry() runs the flagship on sf0.001; the registry is consistent."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -20,3 +22,10 @@ def test_entry_returns_top_twenty_with_suggestions(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+@pytest.mark.parametrize("gone, fails", [("xxhash", True), ("zstandard", True), ("retentio.llm", False), ("corpus_pipeline", False)])
+def test_only_an_absent_subpackage_is_passed_over(gone, fails):
+    code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as E; assert 'pipeline' not in E.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(E.__file__), capture_output=True, text=True)
+    assert (done.returncode != 0) == fails and (not fails or f"ModuleNotFoundError: import of {gone}" in done.stderr), done.stderr
