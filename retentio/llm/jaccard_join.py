@@ -78,7 +78,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chain(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` words."""
-    out = np.full(max(0, len(hashes) - n + 1), n, np.uint64)
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(hashes) - n + 1, n, np.uint64)
     for j in range(n):
         out = (out ^ hashes[j:len(hashes) - n + 1 + j]) * MIX
         out ^= out >> np.uint64(31)

@@ -107,6 +107,18 @@ def near_copies():
     return out + [(300, " ".join(nine)), (301, " ".join(nine[:-1])), (302, " ".join(nine[:-2]))]
 
 
+def test_shingles_of_few_words_in_one_chunk():
+    """Every total of 0 to 2n words, as one text and split over two, three and single words."""
+    import pyarrow as pa
+    n = jaccard_join.WORDS
+    for total in range(2 * n + 1):
+        words = [f"w{i}" for i in range(total)]
+        for parts in {1, 2, 3, max(1, total)}:
+            texts = [" ".join(words[i::parts]) for i in range(parts)]
+            want = [max(0, len(t.split()) - n + 1) or (1 if t else 0) for t in texts]
+            assert [len(s) for s in jaccard_join.shingle_sets(pa.array(texts))] == want, (total, parts)
+
+
 def test_jaccard_join(spark):
     rows = EDGE + near_copies()
     sets, groups = jaccard_brute(rows)
