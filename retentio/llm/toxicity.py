@@ -34,11 +34,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import load
-from retentio.llm.tokens import buffers, large, text_chunks
+from retentio.llm.common import Scratch, load
+from retentio.llm.tokens import buffers, large, text_chunks, worker_state
 
 FIT_ROWS = 30_000
 WORDS = 4096
@@ -112,6 +113,11 @@ def language_model(docs: DataFrame) -> list[np.ndarray]:
     return out
 
 
+def digest_of(tables: list[np.ndarray]) -> int:
+    """Names the decoder that a Python worker keeps for these tables."""
+    return xxhash.xxh3_64_intdigest(b"".join(t.tobytes() for t in tables))
+
+
 class Decoder:
     """Viterbi decoding of stretches under the language model; readings are remembered."""
 
@@ -240,10 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast(
         (got.column("id").to_numpy()[order], got.column("toxic").to_numpy()[order], lm))
+    digest = digest_of(lm)
 
     def run(batches):
         ids, toxic, tables = shared.value
-        decoder = Decoder(tables)
+        decoder = worker_state(("decoder", digest), lambda: Decoder(tables))
         for batch in batches:
             doc = pc.fill_null(batch.column("doc_id"), -2**63).to_numpy()
             at = np.searchsorted(ids, doc)
@@ -261,6 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
     per = (docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
            .mapInArrow(run, "word string, clean long, toxic long")
            .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    # written once: both of the questions below would decode the labelled texts anew
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    per = scratch.table(per)
     n_clean, n_toxic = (per.where("word = ''").select("clean", "toxic").first() or (0, 0))
     # Wilson's lower bound of toxic / (toxic + clean)
     n = F.col("toxic") + F.col("clean")
@@ -269,6 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
     # at most `most` rows
     rows = (per.where("word != ''").select("word", low.alias("low")).where(F.col("low") > LEAST)
             .orderBy(F.desc("low"), "word").limit(most).collect())
+    scratch.drop(per)
     # texts without telling features are rarely toxic: half the share of toxic ones, below any feature
     return min(LEAST, 0.5 * n_toxic / max(1, n_clean + n_toxic)), {r["word"]: r["low"] for r in rows}
 
@@ -366,10 +377,11 @@ def text_scores(texts: pa.Array, decoder: Decoder, least: float, of: dict) -> np
 def scores(docs: DataFrame, lm, base: float, weights: dict) -> DataFrame:
     """(doc_id, score): probability that the restored text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast((lm, base, weights))
+    digest = digest_of(lm)
 
     def run(batches):
         tables, least, of = shared.value
-        decoder = Decoder(tables)
+        decoder = worker_state(("decoder", digest), lambda: Decoder(tables))
         for batch in batches:
             for rows in text_chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(text_scores(rows.column("text"), decoder, least, of))],
