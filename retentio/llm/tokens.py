@@ -2,12 +2,13 @@
 
 The vocabulary's pre-tokenizer drops white space and no token crosses it, so a
 text's ids are the ids of its white-space separated words in a row.  Each
-distinct word of a batch is looked up once; only words not seen before reach
+distinct word of a batch is looked up once; only words not remembered reach
 the tokenizer.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
@@ -16,8 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words remembered by one Python worker; the table starts anew beyond it.
+#: Words remembered by one Python worker; beyond it, those that came up only once are forgotten.  Longer
+#: words than ``LONG_WORD`` are never remembered, so the table is bounded in bytes, too.
 TABLE_WORDS = 300_000
+LONG_WORD = 48
+MOST_IDS = 16 * TABLE_WORDS
 CHUNK_BYTES = 2 << 20
 
 
@@ -29,6 +33,13 @@ def worker_state(key, make):
     return kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would hold the most that any stage took."""
+    pa.default_memory_pool().release_unused()
+    trim = worker_state("trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0))
+    trim(0)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     """``batch`` in runs of rows whose texts take about ``most`` bytes; one longer text is a run."""
     n = batch.num_rows
@@ -38,7 +49,7 @@ def text_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n]):
         if b > a:
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def large(texts: pa.Array) -> pa.LargeStringArray:
@@ -99,42 +110,80 @@ class WordIds:
         self.clear()
 
     def clear(self):
-        self.place, self.flat, self.starts = {}, np.zeros(1 << 16, np.uint32), [0]
-
-    def _add(self, words: list[str], ids: np.ndarray, lens: np.ndarray):
-        base = self.starts[-1]
-        if base + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-        self.flat[base:base + len(ids)] = ids
-        n = len(self.place)
-        self.place.update(zip(words, range(n, n + len(words))))
-        self.starts.extend((base + np.cumsum(lens)).tolist())
-
-    def lookup(self, words: list[str]) -> np.ndarray:
-        """Place of each word in the table, adding new ones."""
-        if len(self.place) + len(words) > TABLE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.place]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            plain = [w for w in part if self.letters(w)]
-            got = [[t.id for t in self.model.tokenize(w.lower().translate(self.bytes))] for w in plain]
-            rest = [w for w in part if not self.letters(w)]
-            got += [g.ids for g in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-            self._add(plain + rest, np.asarray([x for g in got for x in g], np.uint32),
-                      np.asarray([len(g) for g in got], np.int64))
-        place = self.place
-        return np.fromiter((place[w] for w in words), np.int64, len(words))
+        self.place, self.flat, self.starts = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.n, self.uses = 0, np.zeros(1 << 12, np.int32)
+
+    def _add(self, words: list[str]):
+        """Ids of ``words`` behind those of the ``n`` words so far."""
+        plain, rest = [], []
+        for w in words:
+            (plain if self.letters(w) else rest).append(w)
+        got = [[t.id for t in self.model.tokenize(w.lower() if w.isascii() else w.lower().translate(self.bytes))]
+               for w in plain]
+        got += [g.ids for g in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        lens = np.asarray([len(g) for g in got], np.int64)
+        base, n = int(self.starts[self.n]), self.n + len(words)
+        while base + int(lens.sum()) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.uses = np.concatenate((self.uses, np.zeros_like(self.uses)))
+        self.flat[base:base + int(lens.sum())] = [x for g in got for x in g]
+        self.starts[self.n + 1:n + 1] = base + np.cumsum(lens)
+        self.uses[self.n:n] = 0
+        self.n, first = n, self.n
+        return dict(zip(plain + rest, range(first, n)))
+
+    def _shrink(self):
+        """Keep the words that came up again since the last time, at most half a table, and forget the others."""
+        uses = self.uses[:self.n]
+        most = np.sort(uses)[::-1][min(self.n - 1, TABLE_WORDS // 2)]
+        old = [(w, i) for w, i in self.place.items() if uses[i] > max(1, most)]
+        places = np.asarray([i for _, i in old], np.int64)
+        lens = self.starts[places + 1] - self.starts[places]
+        total = np.r_[0, np.cumsum(lens)]
+        kept = self.flat[np.repeat(self.starts[places] - total[:-1], lens) + np.arange(total[-1])]
+        self.clear()
+        self.place = dict(zip((w for w, _ in old), range(len(old))))
+        self.n, self.starts, self.uses = len(old), np.r_[total, np.zeros(1 << 12, np.int64)], np.zeros(
+            len(total) + (1 << 12), np.int32)
+        self.flat = np.r_[kept, np.zeros(1 << 16, np.uint32)]
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """(place of each distinct word in the table, number of words that stay in it).  New words are
+        added; one of more than ``LONG_WORD`` characters stays only until ``forget``."""
+        if len(self.place) + len(words) > TABLE_WORDS and len(self.place):
+            self._shrink()
+        place, long = self.place, {}
+        new = [w for w in words if w not in place]
+        short = [w for w in new if len(w) <= LONG_WORD]
+        for i in range(0, len(short), 4096):
+            place.update(self._add(short[i:i + 4096]))
+        stay = self.n
+        if len(short) < len(new):
+            long = self._add([w for w in new if len(w) > LONG_WORD])
+            where = [place[w] if w in place else long[w] for w in words]
+        else:
+            where = list(map(place.__getitem__, words))
+        where = np.asarray(where, np.int64)
+        self.uses[where] += 1
+        return where, stay
+
+    def forget(self, stay: int):
+        self.n = stay
+        if len(self.flat) > MOST_IDS:  # room taken by long words alone
+            self.flat = self.flat[:max(1 << 16, int(self.starts[stay]))].copy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts in it)."""
         split = pc.ascii_split_whitespace(spread(large(texts)))
         off = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
-        where = self.lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        starts = np.asarray(self.starts, np.int64) if len(where) else np.zeros(1, np.int64)
+        places, stay = self.lookup(coded.dictionary.to_pylist())
+        where, starts = places[coded.indices.to_numpy(zero_copy_only=False)], self.starts
         lens = starts[where + 1] - starts[where] if len(where) else np.zeros(0, np.int64)
         total = np.r_[0, np.cumsum(lens)]
         flat = self.flat[np.repeat(starts[where] - total[:-1], lens) + np.arange(total[-1])] if len(where) else \
             np.zeros(0, np.uint32)
+        self.forget(stay)
         return flat, total[off - off[0]]
