@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from retentio.llm import (decontaminate, fingerprints, importance, jaccard_join, line_dedup, packing, secrets, suffix_dedup,
-                          toxicity, url_filter)
+from retentio.llm import (centroids, decontaminate, fingerprints, hard_negatives, html_extract, importance, jaccard_join,
+                          line_dedup, packing, secrets, suffix_dedup, toxicity, url_filter)
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
@@ -16,10 +16,15 @@ QUERIES = {f.__name__: f for f in (
     jaccard_join.op8_jaccard_join,
     url_filter.op9_url_filter,
     packing.op10_packing,
+    html_extract.op11_html,
+    centroids.op12_centroids,
+    hard_negatives.op13_hard_negatives,
 )}
 
 ORACLE = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op12_centroids": centroids.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
