@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from retentio.functions.columns import exact_mean, timestamp_col, whole_days_between
 from retentio.functions.resolve import with_text_column
-from retentio.operators.ranking import quantile_bucket, running_totals
+from retentio.operators.ranking import range_bucket, running_totals
 
 KEY = "customer_id"
 
@@ -77,20 +77,14 @@ def unkeyed_orders(orders: DataFrame, order_key: str | None = None,
     """Orders without a customer key: each row, in ``order_key`` order, becomes
     a customer '1', '2', ... with one order, 30 days since the last order and
     its own order value (100 when there is none); ``n`` keeps the first n rows
-    only.  The other columns are kept.  Numbers are bucket offsets plus ranks
-    inside buckets, so no task numbers the whole table."""
+    only.  The other columns are kept.  The key may be of any sortable type; equal
+    ones are numbered in the order of a hash of the row.  Numbers are bucket offsets
+    plus ranks inside buckets of similar size, so no task numbers the whole table."""
     key = order_key or ("order_id" if "order_id" in orders.columns else orders.columns[0])
     head = orders if n is None else orders.orderBy(key).limit(n)
-    kind = orders.schema[key].dataType.typeName()
-    head = head.withColumn("_one", F.lit(1).cast("bigint"))
-    if kind in ("string", "boolean", "binary"):
-        head = head.withColumn("_b", F.substring(F.col(key).cast("string"), 1, 3))
-    else:
-        head = head.withColumn("_x", F.unix_date(key) if kind == "date" else F.col(key).cast("timestamp").cast("double")
-                               if kind.startswith("timestamp") else F.col(key).cast("double"))
-        head = quantile_bucket(head, "_x").withColumn("_b", F.when(F.col("_x").isNotNull(), F.col("_b"))).drop("_x")
+    head = range_bucket(head.withColumn("_one", F.lit(1).cast("bigint")), [key])
     others = [c for c in orders.columns if c != key and orders.schema[c].dataType.typeName() not in ("map", "variant")]
-    numbered = running_totals(head, [key, *others], ["_one"], bucket="_b").drop("_one", "_b")
+    numbered = running_totals(head, [key, "_tie", *others], ["_one"], bucket="_b").drop("_one", "_b", "_tie")
     value = (F.col("order_value").cast("double") if "order_value" in orders.columns
              else F.lit(UNKEYED_VALUE))
     return numbered.select(

@@ -51,6 +51,7 @@ class ModelOptions:
     # statistics memory per pass and node-id caching for deep trees
     max_memory_mb: int = 1024
     cache_node_ids: bool = True
+    parallel_folds: int = 5  # cross-validation folds fitted at a time
 
 
 @dataclass
@@ -60,6 +61,7 @@ class ModelMeta:
     embedding_dim: int | None = None
     label: str = LABEL
     options: dict = field(default_factory=dict)
+    embedder_state: dict | None = None  # of an encoder that was fitted with the model
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -118,7 +120,7 @@ def median_imputer(df: DataFrame, cols: list[str]) -> tuple[SQLTransformer, dict
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val"))
                                         for c in cols])))
     # one row for each column that has values
-    found = exact_percentiles(long, "_val", [0.5], by=["_col"], names=["m"]).collect()
+    found = exact_percentiles(long, "_val", [0.5], by=["_col"], names=["m"], narrowing=True).collect()
     meds = dict.fromkeys(cols, 0.0) | {r["_col"]: r["m"] for r in found}
     fills = ", ".join(f"coalesce(`{c}`, {float(m)!r}D) AS `_imp_{c}`" for c, m in meds.items())
     return SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"), {c: f"_imp_{c}" for c in cols}

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio.operators.ranking import quantile_bucket, running_totals
+from retentio.operators.selection import EXACT_ROWS, narrowed_percentiles
 
 
 def _name(p: float) -> str:
@@ -26,14 +27,20 @@ def _name(p: float) -> str:
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
                       names: Sequence[str] | None = None, buckets: int = 1024,
-                      relative_error: float | None = None) -> DataFrame:
+                      relative_error: float | None = None, narrowing: bool = False,
+                      exact_rows: int = EXACT_ROWS) -> DataFrame:
     """One row per ``by`` group with one column per probability.
 
     NULL values are ignored; a group without values gets no row (and a global
     call returns NULLs).  ``relative_error`` switches to ``percentile_approx``.
+    ``narrowing`` gives the same exact values by ``operators.selection``: jobs
+    run at once, but values are never shuffled (groups of up to ``exact_rows``
+    values apart); without it all distinct values are, and nothing runs yet.
     """
     by = list(by)
     names = list(names) if names else [_name(p) for p in probs]
+    if narrowing and relative_error is None:
+        return narrowed_percentiles(df, value, probs, by, names, exact_rows)
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if relative_error is not None:
         acc = max(1, int(round(1.0 / relative_error)))

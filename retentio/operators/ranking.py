@@ -107,3 +107,38 @@ def quantile_bucket(df: DataFrame, value: str, buckets: int = 1024, out: str = "
 
     pos = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step)
     return df.withColumn("_splits", splits).withColumn(out, pos).drop("_splits")
+
+
+def range_bucket(df: DataFrame, order_by: Sequence[str], buckets: int = 1024, out: str = "_b", tie: str = "_tie",
+                 sample_per_bucket: int = 16) -> DataFrame:
+    """Add an order-preserving bucket (0..buckets-1) of the columns ``order_by``, of any sortable types,
+    and the column ``tie``, a hash of the row that orders rows equal in them.
+
+    Splitters are every ``sample_per_bucket``-th of a sorted sample of about ``buckets *
+    sample_per_bucket`` rows, drawn by hash at the rate that the row count gives, so buckets hold
+    similar numbers of rows whatever the keys look like.  As the sample is of (keys, hash), one key
+    with very many rows is split over buckets, too; only rows equal in every column stay together.
+    The sample is all that is gathered; splitters are one array in a scalar subquery, searched in
+    steps on the JVM.
+    """
+    order_by = list(order_by)
+    hashable = [c for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
+    df = df.withColumn(tie, F.xxhash64(*hashable))
+    wanted = float(buckets * sample_per_bucket)
+    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # the hash of the hash, as rows drawn by the tie itself would all have low ties
+    drawn = F.pmod(F.xxhash64(F.col(tie), F.lit(1)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * wanted / n
+    sample = df.where(drawn).agg(F.sort_array(F.collect_set(F.struct(*order_by, tie))).alias("s"))
+    every = F.col("s")[F.col("i") * F.greatest(F.size("s") / buckets, F.lit(1.0)).cast("int")]
+    splits = (sample.select("s", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1))).alias("i"))
+              .where(F.col("i") * F.greatest(F.size("s") / buckets, F.lit(1.0)).cast("int") < F.size("s"))
+              .agg(F.sort_array(F.collect_set(every)).alias("s")).scalar())
+    here, s = F.struct(*order_by, tie), F.col("_splits")
+
+    def step(pos, i):
+        nxt = pos + F.pow(F.lit(2), i).cast("int")
+        return F.when(F.coalesce(F.get(s, nxt - 1) <= here, F.lit(False)), nxt).otherwise(pos)
+
+    steps = max(1, (buckets - 1).bit_length())
+    pos = F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
+    return df.withColumn("_splits", splits).withColumn(out, pos).drop("_splits")

@@ -50,6 +50,10 @@ def stratified_folds(df: DataFrame, label: str = LABEL, key: str = KEY, k: int =
     return r.withColumn(fold_col, (F.col("_rk") % k).cast("int")).drop("_rk")
 
 
+#: Draws that one copy of a row is joined to, on average.
+DRAWS_PER_COPY = 10_000
+
+
 def oversample(df: DataFrame, label: str = LABEL, key: str = KEY, seed: int = SEED,
                draw_col: str = "draw", prefix_digits: int = HASH_PREFIX_DIGITS) -> DataFrame:
     """Random oversampling with replacement until every class has as many rows
@@ -59,9 +63,10 @@ def oversample(df: DataFrame, label: str = LABEL, key: str = KEY, seed: int = SE
 
     The j = 0..deficit-1 draws are generated by the largest class's own rows
     of rank < deficit (no driver-side range, no explode in one task); each
-    draw is then an equi-join on (label, rank).  A NULL label is a class like
-    any other.  A tiny class has few rows, which the join sends to its draws; a
-    large one spreads its draws over many ranks.
+    draw is then an equi-join on (label, rank, salt).  A NULL label is a class
+    like any other.  A row of a tiny class is drawn very often, so it is copied
+    once for every ``DRAWS_PER_COPY`` of its draws to be expected, and draw j
+    meets copy j mod copies: no join key holds more, whatever the class sizes.
     """
     ranked = bucketed_rank(df, label, key, seed, rank_col="_rk", prefix_digits=prefix_digits)
     counts = class_counts(df, label)
@@ -74,12 +79,17 @@ def oversample(df: DataFrame, label: str = LABEL, key: str = KEY, seed: int = SE
     needs = counts.where(F.col("class_n") < F.col("_nmax")).select(
         F.col(label).alias("_cls"), F.col("class_n").alias("_ncls"),
         (F.col("_nmax") - F.col("class_n")).alias("_deficit"), F.col("_major"))
+    needs = needs.withColumn("_copies", F.ceil(F.col("_deficit") / (F.col("_ncls") * DRAWS_PER_COPY)).cast("bigint"))
     majority = ranked.select(F.col(label).alias("_lab"), F.col("_rk").alias("_j"))
     draws = majority.join(needs, majority._lab.eqNullSafe(needs._major) & (majority._j < needs._deficit), "inner")
     draws = draws.select(
         F.col("_cls").alias(label), F.col("_j").alias(draw_col),
-        (hash_int(F.col("_cls"), F.col("_j"), F.lit(seed)) % F.col("_ncls")).alias("_rk"))
-    extras = null_safe_join(ranked, draws, [label, "_rk"])
+        (hash_int(F.col("_cls"), F.col("_j"), F.lit(seed)) % F.col("_ncls")).alias("_rk"),
+        (F.col("_j") % F.col("_copies")).alias("_salt"))
+    copies = needs.select(F.col("_cls").alias(label), "_copies")  # a row per class
+    copied = null_safe_join(ranked, copies, [label]).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+    extras = null_safe_join(copied, draws, [label, "_rk", "_salt"])
     cols = df.columns
     originals = ranked.select(*cols, F.lit(None).cast("bigint").alias(draw_col))
     return originals.unionByName(extras.select(*cols, F.col(draw_col).cast("bigint")))

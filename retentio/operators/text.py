@@ -8,6 +8,10 @@ the sum of per-row vectors: rows are encoded where they are and summed with a
 partial aggregate, and a customer with a third of all feedback never lands
 whole in one task or one string.
 
+``svd-<dim>`` names the encoder of ``operators.lsa``, which is fitted on the
+corpus (document frequencies and truncated SVD) and saved with the model; a
+fitted one is passed as the object itself.
+
 Any other encoder (e.g. a sentence model available on the workers) plugs in
 through ``embed_texts`` as an Arrow-batched ``predict_batch_udf`` over the
 joined text of each customer.
@@ -26,8 +30,8 @@ from pyspark.sql import types as T
 
 from retentio.functions.resolve import with_text_column
 from retentio.operators.features import KEY, feedback_text
+from retentio.operators.lsa import EMBEDDING, TextSvd
 
-EMBEDDING = "emb_vector"
 DEFAULT_DIM = 64
 DEFAULT_ENCODER = f"hashing-{DEFAULT_DIM}"
 
@@ -75,6 +79,8 @@ def feedback_embeddings(feedback: DataFrame | None, encoder: str | Callable | No
     usable feedback or ``encoder`` is None (text features left out)."""
     if encoder is None or feedback is None:
         return None
+    if isinstance(encoder, TextSvd):
+        return encoder.encode(feedback)
     if isinstance(encoder, str):
         d = hashing_dim(encoder)
         if d is None:

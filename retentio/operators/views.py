@@ -47,8 +47,7 @@ def filter_customers(scored: DataFrame, labels: Sequence[str] | None = None,
 
 def filter_domain(scored: DataFrame) -> DataFrame:
     """One row: labels (sorted, comma-joined), min/max recency, min/max
-    monetary, number of customers (A8).  The id list itself stays the
-    customer_id column of the scored table."""
+    monetary, number of customers (A8); ``filter_ids`` has the customers."""
     return scored.agg(
         F.array_join(F.sort_array(F.collect_set(BAND)), ",").alias("labels"),
         F.min("recency").alias("min_recency"), F.max("recency").alias("max_recency"),
@@ -56,6 +55,11 @@ def filter_domain(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("n_customers"))
 
 
+def filter_ids(scored: DataFrame) -> DataFrame:
+    """The customers to choose from, each once (A8): a table, as it grows with the customers."""
+    return scored.select(KEY).where(F.col(KEY).isNotNull()).distinct()
+
+
 def risk_distribution(filtered: DataFrame) -> DataFrame:
     """risk_label, count, most frequent first (D-4)."""
     return filtered.groupBy(BAND).agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy(F.desc("count"), BAND)
@@ -112,7 +116,7 @@ def orders_trend(orders: DataFrame, granularity: str = "auto") -> DataFrame | No
 def monetary_box(filtered: DataFrame, value: str = "monetary", relative_error: float | None = None) -> DataFrame:
     """Per risk label: n, min, q1, median, q3, max, lower/upper 1.5*IQR fences (D-7)."""
     q = exact_percentiles(filtered, value, [0.25, 0.5, 0.75], by=[BAND], names=["q1", "median", "q3"],
-                          relative_error=relative_error)
+                          relative_error=relative_error, narrowing=True)
     mm = (filtered.where(F.col(value).isNotNull()).groupBy(BAND)
           .agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.min(value).alias("min"), F.max(value).alias("max")))
     iqr = F.col("q3") - F.col("q1")

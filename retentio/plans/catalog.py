@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 from retentio.functions.columns import AS_OF_DEFAULT, exact_mean, unparsable_dates
 from retentio.operators import features as feat
 from retentio.operators import label as lab
+from retentio.operators import lsa
 from retentio.operators import metrics as met
 from retentio.operators import sampling as smp
+from retentio.operators import segments
 from retentio.operators import text as txt
 from retentio.operators import views as vw
-from retentio.operators.model import ModelOptions, align_features, fill_features, load_model, save_model
+from retentio.operators.model import ModelOptions, align_features, fill_features, load_model, median_imputer, save_model
 from retentio.operators.quantiles import exact_percentiles
 from retentio.operators.risk import SCORE, score_customers, score_with, with_suggestion
 from retentio.plans import oracle as sql
 from retentio.session import SESSION_DEFAULTS, scratch_dir
 from retentio.sources import driver
-from retentio.sources.tables import preview, read_table, write_predictions
+from retentio.sources.layout import publish_bucketed
+from retentio.sources.tables import export_csv, preview, read_table, write_predictions
 
 AS_OF = AS_OF_DEFAULT
 KEY = "customer_id"
@@ -91,6 +94,22 @@ def q_csv_scan(spark, d):
     return back.select(KEY, "order_id", "order_value", parse_date("order_date").alias("order_date"))
 
 
+SPLIT_CSV_SQL = """SELECT doc_id, lang, source,
+       CASE WHEN text NOT IN ('', 'NA', 'NULL', 'null', 'nan', 'NaN', 'None', 'N/A', 'n/a')
+            THEN regexp_replace(text, '\\r\\n?', chr(10), 'g') END AS text
+FROM documents"""
+
+
+@query("csv_scan_split", SPLIT_CSV_SQL)
+def q_csv_scan_split(spark, d):
+    """One quoted CSV file with all texts, line feeds inside fields included, read in byte ranges."""
+    path = scratch_dir(spark, "documents-csv")
+    docs = driver.table(spark, d, "documents")
+    docs = docs.select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("text"), "lang", "source")
+    export_csv(docs, f"{path}/all.csv", order_by=["doc_id"])
+    return read_table(spark, path, fmt="csv", key=None, split_bytes=0).select("doc_id", "lang", "source", "text")
+
+
 @query("raw_preview", sql.with_(sql.ORDERS) + "SELECT * FROM o ORDER BY order_id LIMIT 200")
 def q_raw_preview(spark, d):
     return preview(driver.orders(spark, d), "order_id", 200)
@@ -114,6 +133,13 @@ def q_predictions_export(spark, d):
     return back.select(*SCORED_COLS)
 
 
+@query("predictions_one_file", sql.FULL_SCORED + f"SELECT {', '.join(SCORED_COLS)} FROM sc")
+def q_predictions_one_file(spark, d):
+    path = f"{scratch_dir(spark, 'predictions')}/predictions.csv"
+    export_csv(pseudo_scored(spark, d).select(*SCORED_COLS), path)
+    return read_table(spark, path, fmt="csv").select(*SCORED_COLS)
+
+
 # ---------------------------------------------------------------- orders / delivery / feedback aggregates
 
 ORDERS_RFM_COLS = "customer_id, recency, frequency, monetary, num_orders_90d, avg_order_value, days_since_last_order"
@@ -136,6 +162,14 @@ def q_orders_rfm_no_order_id(spark, d):
     return feat.orders_aggregate(driver.orders(spark, d).drop("order_id"), as_of=AS_OF)
 
 
+@query("orders_strict_dates", sql.with_(sql.ORDERS, sql.AGG) + "SELECT * FROM agg")
+def q_orders_strict_dates(spark, d):
+    """Dates given as text, of which none may fail to parse."""
+    o = driver.orders(spark, d)
+    text = o.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd HH:mm:ss"))
+    return feat.orders_aggregate(text, as_of=AS_OF, strict_dates=True)
+
+
 @query("orders_rfm_no_value", sql.with_(sql.ORDERS) + f"""
 SELECT customer_id, CAST(count(order_id) AS BIGINT) AS num_orders_90d,
        CAST(count(order_id) AS DOUBLE) AS avg_order_value, {sql.DAYS_SINCE} AS days_since_last_order
@@ -156,6 +190,16 @@ def q_unkeyed_orders(spark, d):
     return feat.unkeyed_orders(driver.orders(spark, d).drop(KEY), order_key="order_id")
 
 
+@query("unkeyed_orders_text", sql.with_(sql.ORDERS) + """, h AS (
+  SELECT 'ORD-' || lpad(CAST(order_id AS VARCHAR), 12, '0') AS code, order_value, order_date FROM o)
+SELECT code, order_value, order_date, CAST(row_number() OVER (ORDER BY code) AS VARCHAR) AS customer_id,
+       CAST(1 AS BIGINT) AS num_orders_90d, CAST(order_value AS DOUBLE) AS avg_order_value,
+       CAST(30 AS BIGINT) AS days_since_last_order FROM h""")
+def q_unkeyed_orders_text(spark, d):
+    code = F.concat(F.lit("ORD-"), F.lpad(F.col("order_id").cast("string"), 12, "0"))
+    return feat.unkeyed_orders(driver.orders(spark, d).select(code.alias("code"), "order_value", "order_date"), order_key="code")
+
+
 @query("delivery_metrics", sql.with_(sql.DELIVERY, sql.DM) + "SELECT * FROM dm")
 def q_delivery_metrics(spark, d):
     return feat.delivery_metrics(driver.delivery(spark, d))
@@ -210,6 +254,16 @@ def q_feedback_text(spark, d):
     return _text_digest(feat.feedback_text(driver.feedback(spark, d)))
 
 
+@query("feedback_segments", sql.with_(sql.FEEDBACK) + """, j AS (
+  SELECT customer_id, coalesce(string_agg(feedback_text, ' ' ORDER BY feedback_id), '') AS t FROM f
+  WHERE customer_id IS NOT NULL GROUP BY customer_id),
+s AS (SELECT customer_id, t, unnest(range(0, greatest(length(t), 1), 1000)) AS start FROM j)
+SELECT customer_id, CAST(start // 1000 AS BIGINT) AS segment, CAST(start AS BIGINT) AS start,
+       substring(t, CAST(start AS BIGINT) + 1, 1000) AS segment_text FROM s""")
+def q_feedback_segments(spark, d):
+    return segments.feedback_segments(driver.feedback(spark, d), limit=1000)
+
+
 @query("feedback_text_alias", FEEDBACK_TEXT_SQL)
 def q_feedback_text_alias(spark, d):
     fb = driver.feedback(spark, d).withColumnRenamed("feedback_text", "text")
@@ -305,6 +359,58 @@ def q_feedback_embeddings(spark, d):
 
 # ---------------------------------------------------------------- sampling
 
+TERMS_SQL = """fb AS (
+  SELECT row_number() OVER () AS i, customer_id,
+         [t FOR t IN regexp_split_to_array(lower(coalesce(feedback_text, '')), '[^\\p{L}\\p{N}]+') IF t <> ''] AS terms FROM f),
+tb AS (SELECT i, customer_id, CAST(('0x' || substr(md5(t), 1, 15)) AS BIGINT) % 512 AS bucket
+       FROM (SELECT i, customer_id, unnest(terms) AS t FROM fb)),
+dfs AS (SELECT bucket, count(DISTINCT i) AS df FROM tb GROUP BY bucket),
+idf AS (SELECT CAST(range AS INTEGER) AS bucket, CAST(coalesce(df, 0) AS BIGINT) AS df,
+               ln(((SELECT count(DISTINCT i) FROM tb) + 1) / (coalesce(df, 0) + 1)) AS idf
+        FROM range(512) LEFT JOIN dfs ON bucket = range)"""
+
+
+@query("encoder_plugin", sql.with_(sql.FEEDBACK) + """, j AS (
+  SELECT customer_id, coalesce(string_agg(feedback_text, ' ' ORDER BY feedback_id), '') AS t FROM f
+  WHERE customer_id IS NOT NULL GROUP BY customer_id)
+SELECT customer_id, CAST(length(t) AS FLOAT) AS emb_0, CAST(len(string_split(t, ' ')) - 1 AS FLOAT) AS emb_1 FROM j""")
+def q_encoder_plugin(spark, d):
+    """An encoder of one's own: characters and spaces of a customer's joined text."""
+    def counts():
+        import numpy as np
+        return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], np.float32)
+
+    return txt.widen(txt.feedback_embeddings(driver.feedback(spark, d), counts, dim=2), 2)
+
+
+@query("text_idf", sql.with_(sql.FEEDBACK, TERMS_SQL) + "SELECT bucket, df, round(idf, 9) AS idf FROM idf")
+def q_text_idf(spark, d):
+    idf = lsa.inverse_document_frequencies(lsa.feedback_terms(driver.feedback(spark, d)))
+    return idf.select("bucket", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("text_norms", sql.with_(sql.FEEDBACK, TERMS_SQL) + """, tf AS (
+  SELECT customer_id, bucket, count(*) AS tf FROM tb GROUP BY 1, 2),
+w AS (SELECT customer_id, sum(tf) AS n, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tf JOIN idf USING (bucket) GROUP BY 1)
+SELECT k.customer_id, CAST(coalesce(n, 0) AS BIGINT) AS n_terms, round(coalesce(norm, 0), 6) AS norm
+FROM (SELECT DISTINCT customer_id FROM f WHERE customer_id IS NOT NULL) k LEFT JOIN w USING (customer_id)""")
+def q_text_norms(spark, d):
+    return lsa.weighted_norms(driver.feedback(spark, d)).withColumn("norm", F.round("norm", 6))
+
+
+@query("text_svd", sql.with_(sql.FEEDBACK, TERMS_SQL) + """, w AS (
+  SELECT customer_id, sum(idf) AS weight FROM tb JOIN idf USING (bucket) GROUP BY 1)
+SELECT k.customer_id, 64 AS dim, coalesce(weight, 0) > 0 AS has_vector, coalesce(weight, 0) > 0 AS unit_length
+FROM (SELECT DISTINCT customer_id FROM f WHERE customer_id IS NOT NULL) k LEFT JOIN w USING (customer_id)""")
+def q_text_svd(spark, d):
+    """The fitted encoder's vectors, told by their length."""
+    fb = driver.feedback(spark, d)
+    x = lsa.TextSvd.fit(fb, 64).encode(fb)
+    square = F.aggregate(lsa.EMBEDDING, F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    return x.select(KEY, F.size(lsa.EMBEDDING).alias("dim"), (square > 0).alias("has_vector"),
+                    (F.abs(square - 1) < 1e-5).alias("unit_length"))
+
+
 @query("class_weights", sql.FULL + """, cnt AS (SELECT is_at_risk, count(*) AS n FROM tgt GROUP BY 1),
 w AS (SELECT is_at_risk, (SELECT sum(n) FROM cnt) / ((SELECT count(*) FROM cnt) * n) AS weight FROM cnt)
 SELECT customer_id, tgt.is_at_risk, round(weight, 6) AS weight FROM tgt JOIN w ON tgt.is_at_risk = w.is_at_risk""")
@@ -346,6 +452,18 @@ def q_median_impute(spark, d):
                                               .select("m").scalar()), 6).alias(c) for c in cols])
 
 
+@query("median_imputer_stage", sql.FULL + """
+SELECT customer_id,
+       round(coalesce(on_time_rate, (SELECT median(on_time_rate) FROM tgt)), 6) AS on_time_rate,
+       round(coalesce(avg_delay_hours, (SELECT median(avg_delay_hours) FROM tgt)), 6) AS avg_delay_hours,
+       round(coalesce(avg_rating, (SELECT median(avg_rating) FROM tgt)), 6) AS avg_rating FROM tgt""")
+def q_median_imputer_stage(spark, d):
+    t = target(spark, d)
+    cols = ["on_time_rate", "avg_delay_hours", "avg_rating"]
+    stage, imputed = median_imputer(t, cols)
+    return stage.transform(t).select(KEY, *[F.round(imputed[c], 6).alias(c) for c in cols])
+
+
 @query("standardize", sql.with_(sql.FEATURE_CTES) + """
 SELECT customer_id,
        round((recency - (SELECT avg(recency) FROM feat)) / (SELECT stddev_pop(recency) FROM feat), 6) AS recency,
@@ -418,7 +536,27 @@ def q_cross_validated_scores(spark, d):
     return metrics["cv_scores"]
 
 
-@query("model_roundtrip")
+@query("scored_facts", sql.with_(sql.FEATURE_CTES) +
+       "SELECT customer_id, true AS in_range, true AS band_agrees, CAST(1 AS BIGINT) AS times FROM feat")
+def q_scored_facts(spark, d):
+    """What holds of every model's scores: each customer once, a probability, and its band."""
+    model, meta, _ = train_model(spark, d, ModelOptions(n_estimators=20, max_depth=5))
+    s = score_all(spark, d, model, meta)
+    return s.groupBy(KEY).agg(
+        F.every(F.col(SCORE).between(0.0, 1.0)).alias("in_range"),
+        F.every(F.col("risk_label") == F.when(F.col(SCORE) >= 0.7, "High").when(F.col(SCORE) >= 0.4, "Medium")
+                .otherwise("Low")).alias("band_agrees"), F.count(F.lit(1)).alias("times"))
+
+
+@query("cross_validated_facts", sql.FULL + "SELECT customer_id, is_at_risk, CAST(1 AS BIGINT) AS times, true AS in_range FROM tgt")
+def q_cross_validated_facts(spark, d):
+    """What holds of all out-of-fold scores: each customer is scored in one fold, with its label and a probability."""
+    _, _, metrics = train_model(spark, d, ModelOptions(cv=True, n_estimators=20, max_depth=5))
+    return metrics["cv_scores"].groupBy(KEY, lab.LABEL).agg(
+        F.count(F.lit(1)).alias("times"), F.every(F.col("score").between(0.0, 1.0)).alias("in_range"))
+
+
+@query("model_roundtrip", sql.with_(sql.FEATURE_CTES) + "SELECT customer_id, true AS same FROM feat")
 def q_model_roundtrip(spark, d):
     model, meta, _ = train_model(spark, d)
     path = scratch_dir(spark, "model")
@@ -468,6 +606,11 @@ def q_filter_domain(spark, d):
     return vw.filter_domain(pseudo_scored(spark, d))
 
 
+@query("filter_ids", sql.FULL_SCORED + "SELECT DISTINCT customer_id FROM sc")
+def q_filter_ids(spark, d):
+    return vw.filter_ids(pseudo_scored(spark, d))
+
+
 @query("risk_distribution", sql.FULL_FILTERED +
        "SELECT risk_label, CAST(count(*) AS BIGINT) AS count FROM flt GROUP BY risk_label")
 def q_risk_distribution(spark, d):
@@ -556,6 +699,31 @@ def q_customer_detail(spark, d):
     return vw.customer_detail(scored, chosen)
 
 
+@query("customer_detail_lookup", _detail_sql())
+def q_customer_detail_lookup(spark, d):
+    """The same from a table laid out by customer: one bucket is read."""
+    scored = publish_bucketed(pseudo_scored(spark, d).select(*DETAIL_FIELDS), KEY)
+    chosen = scored.orderBy(F.col(SCORE).desc(), F.col(KEY)).select(KEY).first()[0]
+    return vw.customer_detail(scored, chosen)
+
+
+@query("features_bucketed", sql.with_(sql.FEATURE_CTES) + "SELECT * FROM feat")
+def q_features_bucketed(spark, d):
+    """Features from inputs laid out by customer: neither aggregates nor their join exchange rows."""
+    return feat.tabular_features(publish_bucketed(driver.orders(spark, d), KEY), publish_bucketed(driver.delivery(spark, d), KEY),
+                                 as_of=AS_OF, wide=True)
+
+
+@query("order_lines_bucketed", """SELECT o_orderkey AS order_id, CAST(count(*) AS BIGINT) AS lines,
+       CAST(sum(CASE WHEN l_shipdate <= o_orderdate THEN 1 ELSE 0 END) AS BIGINT) AS on_time
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def q_order_lines_bucketed(spark, d):
+    li = publish_bucketed(driver.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_shipdate"), "order_id")
+    o = publish_bucketed(driver.table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), "o_orderdate"), "order_id")
+    return li.join(o, "order_id").groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_shipdate") <= F.col("o_orderdate")).alias("on_time"))
+
+
 @query("customer_feedback", sql.with_(sql.FEATURE_CTES, sql.SCORED) + """, pick AS (
   SELECT customer_id FROM sc WHERE customer_id IN (SELECT customer_id FROM f)
   ORDER BY risk_score DESC, customer_id LIMIT 1)
@@ -685,6 +853,14 @@ def q_percentiles_null_group(spark, d):
     return p.select(lab.LABEL, F.round("p10", 4).alias("p10"), F.round("p90", 4).alias("p90"))
 
 
+@query("percentiles_narrowed", """SELECT l_returnflag, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.999) AS p99_9
+FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem) GROUP BY l_returnflag""")
+def q_percentiles_narrowed(spark, d):
+    """Ranges of more than 256 rows are narrowed, so that small tables go through the rounds, too."""
+    return exact_percentiles(driver.table(spark, d, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.999], by=["l_returnflag"],
+                             names=["p1", "p50", "p99_9"], narrowing=True, exact_rows=256)
+
+
 @query("monetary_outliers", sql.FULL_FILTERED + """, q AS (
   SELECT risk_label, quantile_cont(monetary, 0.25) AS q1, quantile_cont(monetary, 0.75) AS q3 FROM flt GROUP BY risk_label)
 SELECT customer_id, risk_label, monetary FROM flt JOIN q USING (risk_label)

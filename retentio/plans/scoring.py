@@ -8,6 +8,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from retentio.operators.features import tabular_features
+from retentio.operators.lsa import TextSvd
 from retentio.operators.model import load_model
 from retentio.operators.risk import score_customers
 from retentio.operators.text import feedback_embeddings, join_embeddings
@@ -21,11 +22,13 @@ def scored_customers(spark: SparkSession, orders: DataFrame, delivery: DataFrame
 
     The text vectors come from ``vectors`` if given, else from ``encoder``
     (a predict-fn factory, for models trained with one), else from the
-    encoder named in the model metadata."""
+    encoder saved or named in the model metadata."""
     if model is None and model_path:
         model, meta = load_model(spark, model_path, required=True)
     feats = tabular_features(orders, delivery, as_of=as_of, wide=True, materialize=True)
     if meta is not None and meta.embedding_dim:
+        if encoder is None and meta.embedder_state:
+            encoder = TextSvd.from_dict(meta.embedder_state)
         emb = vectors if vectors is not None else feedback_embeddings(
             feedback, encoder if encoder is not None else meta.embedder_name, meta.embedding_dim)
         feats = join_embeddings(feats, emb, meta.embedding_dim)

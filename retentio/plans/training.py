@@ -4,15 +4,20 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import functools
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import asdict
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.operators.features import KEY, tabular_features
 from retentio.operators.label import LABEL, create_target, require_two_classes, training_diagnostics
+from retentio.operators.lsa import TextSvd, svd_dim
 from retentio.operators.metrics import classification_report, pr_auc, roc_auc
 from retentio.operators.model import (
     ModelMeta, ModelOptions, feature_columns, fill_features, fit, predict, save_model, stable_layout,
@@ -29,7 +34,9 @@ def training_frame(orders: DataFrame, delivery: DataFrame | None, feedback: Data
 
     ``vectors`` (customer_id, emb_vector) overrides the encoder."""
     feats = tabular_features(orders, delivery, as_of=as_of, materialize=True, frequency_window_days=frequency_window_days)
-    if vectors is None and isinstance(encoder, str):
+    if vectors is None and isinstance(encoder, TextSvd):
+        dim = encoder.dim
+    elif vectors is None and isinstance(encoder, str):
         dim = hashing_dim(encoder) or dim  # the encoder's name says how long its vectors are
     emb = vectors if vectors is not None else feedback_embeddings(feedback, encoder, dim)
     if emb is not None:
@@ -49,6 +56,31 @@ def _scores(model: PipelineModel, df: DataFrame, cols: list[str], dim: int | Non
     return predict(model, df, cols, dim, score_col="score", prediction_col="prediction")
 
 
+def run_together(spark: SparkSession, tasks: Sequence[Callable], width: int) -> list:
+    """Results of the tasks, up to ``width`` of them at a time.  Each submits its Spark jobs from an own
+    thread and in an own scheduler pool, so under fair scheduling one task's last, narrow stages leave their
+    cores to the others.  The first failure cancels the jobs of the rest and is raised."""
+    tag = f"together-{uuid.uuid4().hex[:12]}"
+
+    def call(k, task):
+        spark.sparkContext.addJobTag(tag)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{tag}-{k}")
+        return task()
+
+    with ThreadPoolExecutor(max(1, width)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(call), k, t) for k, t in enumerate(tasks)]
+        done, rest = wait(running, return_when=FIRST_EXCEPTION)
+        failed = next((f.exception() for f in running if f in done and f.exception()), None)
+        while failed is not None and rest:
+            for f in rest:
+                f.cancel()
+            spark.sparkContext.cancelJobsWithTag(tag)
+            rest = wait(rest, timeout=1.0).not_done  # a fit submits its next job until it is told
+        if failed is not None:
+            raise failed
+        return [f.result() for f in running]
+
+
 def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None = None
           ) -> tuple[PipelineModel, dict[str, DataFrame]]:
     """Fit the classifier; returns the model and a dict of metric tables.
@@ -56,7 +88,7 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
     Without ``cv``: stratified hold-out split, fit on the training part,
     classification report and ROC AUC on the test part.  With ``cv``:
     stratified k-fold out-of-fold scores -> PR AUC, then a final fit on all
-    rows.  Oversampling touches only the data a model is fit on (never the
+    rows; folds are fitted ``parallel_folds`` at a time from one checkpointed layout.  Oversampling touches only the data a model is fit on (never the
     rows it is evaluated on)."""
     from retentio.session import checkpoint_base
     checkpoint_base(df.sparkSession)
@@ -82,12 +114,13 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
         return _weights(part, opts)
 
     if opts.cv:
-        parts = []
-        for k in range(opts.folds):
+        def fold(k: int) -> DataFrame:
             tr, w = prepare(df.where(F.col("fold") != k).drop("fold"))
             m = fit(tr, cols, opts, LABEL, w, dim, laid_out)
-            parts.append(_scores(m, df.where(F.col("fold") == k), cols, dim)
-                         .select(KEY, LABEL, "score", "prediction"))
+            return (_scores(m, df.where(F.col("fold") == k), cols, dim)
+                    .select(KEY, LABEL, "score", "prediction"))
+
+        parts = run_together(df.sparkSession, [functools.partial(fold, k) for k in range(opts.folds)], opts.parallel_folds)
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
@@ -111,11 +144,15 @@ def train(df: DataFrame, cols: list[str], opts: ModelOptions, dim: int | None =
 def run(spark: SparkSession, orders: DataFrame, delivery: DataFrame | None, feedback: DataFrame | None,
         model_path: str | None, opts: ModelOptions, as_of=None, encoder=DEFAULT_ENCODER,
         dim: int | None = DEFAULT_DIM, vectors: DataFrame | None = None):
+    if vectors is None and isinstance(encoder, str) and svd_dim(encoder):
+        encoder = TextSvd.fit(feedback, svd_dim(encoder)) if feedback is not None else None
     df, cols, d = training_frame(orders, delivery, feedback, as_of, encoder, dim, vectors, opts.exclude_features)
     model, metrics = train(df, cols, opts, d)
-    name = encoder if isinstance(encoder, str) else getattr(encoder, "__name__", repr(encoder))
-    meta = ModelMeta(feature_columns=cols, embedder_name=(name if vectors is None and d else None),
-                     embedding_dim=d, options=asdict(opts))
+    fitted = isinstance(encoder, TextSvd)
+    name = encoder if isinstance(encoder, str) else encoder.name if fitted else getattr(encoder, "__name__", repr(encoder))
+    used = vectors is None and bool(d)
+    meta = ModelMeta(feature_columns=cols, embedder_name=(name if used else None), embedding_dim=d, options=asdict(opts),
+                     embedder_state=(encoder.to_dict() if used and fitted else None))
     if model_path:
         save_model(model, meta, model_path)
     return model, meta, metrics
@@ -133,6 +170,8 @@ def main(argv=None):
     p.add_argument("--as-of", default=None)
     p.add_argument("--format", choices=["csv", "parquet"], default=None,
                    help="input format (default: csv for *.csv paths, else parquet)")
+    p.add_argument("--encoder", default=DEFAULT_ENCODER,
+                   help="text encoder: hashing-<dim> (stateless) or svd-<dim> (fitted on the feedback)")
     p.add_argument("--n_estimators", type=int, default=200)
     p.add_argument("--max_depth", type=lambda s: None if s.lower() == "none" else int(s), default=None,
                    help="'none' (default): as deep as Spark allows, 30")
@@ -152,7 +191,7 @@ def main(argv=None):
     opts = ModelOptions(n_estimators=a.n_estimators, max_depth=a.max_depth, oversample=a.oversample,
                         use_class_weight=a.use_class_weight, cv=a.cv, fit_partitions=a.fit_partitions,
                         exclude_features=tuple(a.exclude))
-    _, _, metrics = run(spark, orders, delivery, feedback, a.model, opts, as_of=a.as_of)
+    _, _, metrics = run(spark, orders, delivery, feedback, a.model, opts, as_of=a.as_of, encoder=a.encoder)
     for name, m in metrics.items():
         print(f"--- {name}")
         m.show(truncate=False)
