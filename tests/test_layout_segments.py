@@ -44,20 +44,34 @@ def test_join_and_aggregates_by_key_need_no_exchange(spark):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, laid.collect()))
 
 
-def test_a_lookup_reads_one_bucket(spark):
+def spoil_other_buckets(table, folder, key):
+    """Overwrite every file of the table but the one that holds the key."""
+    kept = {os.path.basename(r[0]) for r in table.where(F.col("customer_id") == key).select(F.input_file_name()).distinct().collect()}
+    assert len(kept) == 1
+    files = [x for x in os.listdir(folder) if x.endswith(".parquet")]
+    for x in set(files) - kept:
+        (folder / x).write_bytes(b"no parquet")
+    for x in os.listdir(folder):
+        if x.endswith(".crc"):
+            (folder / x).unlink()
+    return len(files)
+
+
+def test_a_lookup_reads_one_bucket(spark, tmp_path):
     scored = spark.range(2000).select(F.col("id").cast("string").alias("customer_id"), (F.col("id") / 2000).alias("risk_score"),
-                                      F.lit("High Risk").alias("risk_label"))
-    table = publish_bucketed(scored, "customer_id", 16)
-    one = customer_detail(table, "1234")
-    assert "SelectedBucketsCount: 1 out of 16" in plan_of(one)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, customer_detail(scored, "1234").collect())) != []
-    assert customer_detail(table, "none").collect() == []
+                                      F.lit("High").alias("risk_label"), F.lit(1.0).alias("recency"), F.lit(2.0).alias("avg_rating"))
+    table = publish_bucketed(scored, "customer_id", 16, path=str(tmp_path / "scored"))
+    want = sorted(map(tuple, customer_detail(scored, "1234").collect()))
+    assert len(want) > 3 and customer_detail(table, "none").collect() == []
+    assert spoil_other_buckets(table, tmp_path / "scored", "1234") > 10
+    assert sorted(map(tuple, customer_detail(table, "1234").collect())) == want
     fb = spark.range(500).select((F.col("id") % 90).cast("string").alias("customer_id"), F.col("id").alias("feedback_id"),
                                  F.lit("t").alias("feedback_text"))
-    laid = publish_bucketed(fb, "customer_id", 16, order_by=["feedback_id"])
-    got = customer_feedback(laid, "17")
-    assert "SelectedBucketsCount: 1 out of 16" in plan_of(got)
-    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in customer_feedback(fb, "17").collect()]
+    laid = publish_bucketed(fb, "customer_id", 16, order_by=["feedback_id"], path=str(tmp_path / "feedback"))
+    spoil_other_buckets(laid, tmp_path / "feedback", "17")
+    assert [tuple(r) for r in customer_feedback(laid, "17").collect()] == [tuple(r) for r in customer_feedback(fb, "17").collect()] != []
+    with pytest.raises(Exception):
+        laid.count() and laid.select(F.max("feedback_id")).collect()
 
 
 # --- segments -----------------------------------------------------------------------------------
