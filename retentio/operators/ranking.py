@@ -129,16 +129,18 @@ def range_bucket(df: DataFrame, order_by: Sequence[str], buckets: int = 1024, ou
     # the hash of the hash, as rows drawn by the tie itself would all have low ties
     drawn = F.pmod(F.xxhash64(F.col(tie), F.lit(1)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * wanted / n
     sample = df.where(drawn).agg(F.sort_array(F.collect_set(F.struct(*order_by, tie))).alias("s"))
-    every = F.col("s")[F.col("i") * F.greatest(F.size("s") / buckets, F.lit(1.0)).cast("int")]
-    splits = (sample.select("s", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1))).alias("i"))
-              .where(F.col("i") * F.greatest(F.size("s") / buckets, F.lit(1.0)).cast("int") < F.size("s"))
-              .agg(F.sort_array(F.collect_set(every)).alias("s")).scalar())
-    here, s = F.struct(*order_by, tie), F.col("_splits")
-
-    def step(pos, i):
-        nxt = pos + F.pow(F.lit(2), i).cast("int")
-        return F.when(F.coalesce(F.get(s, nxt - 1) <= here, F.lit(False)), nxt).otherwise(pos)
-
-    steps = max(1, (buckets - 1).bit_length())
-    pos = F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
-    return df.withColumn("_splits", splits).withColumn(out, pos).drop("_splits")
+    stride = F.greatest(F.size("s") / buckets, F.lit(1.0))
+    picked = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get(F.col("s"), F.floor(i * stride).cast("int")))
+    splits = sample.select(F.array_sort(F.array_distinct(F.filter(picked, lambda x: x.isNotNull()))).alias("s")).scalar()
+    return place_among(df, splits, F.struct(*order_by, tie), buckets - 1, out)
+
+
+def place_among(df: DataFrame, splits: Column, value: Column, most: int, out: str) -> DataFrame:
+    """Add ``out``: how many of the sorted array ``splits`` (of at most ``most`` elements) do not exceed
+    ``value``.  One projection halves the search each time, all in generated code; the array is referred
+    to, not carried along in the rows."""
+    df = df.withColumn(out, F.lit(0))
+    for i in reversed(range(most.bit_length())):
+        at = F.col(out)
+        df = df.withColumn(out, at + F.when(F.get(splits, at + ((1 << i) - 1)) <= value, 1 << i).otherwise(0))
+    return df

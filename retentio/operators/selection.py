@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.operators.ranking import null_safe_join
+from retentio.operators.ranking import null_safe_join, place_among
 from retentio.session import checkpoint_base, scratch_dir
 
 BINS = 512
@@ -39,16 +39,6 @@ def _with_ranges(values: DataFrame, ranges: DataFrame, by: Sequence[str], count:
     return held.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
 
-def _bin(splits, v, steps: int):
-    """2 * i for the i-th cut value, 2 * i + 1 for values between it and the next, 1 below the first."""
-    def step(pos, i):
-        nxt = pos + F.pow(F.lit(2), i).cast("int")
-        return F.when(F.coalesce(F.get(splits, nxt - 1) <= v, F.lit(False)), nxt).otherwise(pos)
-
-    pos = F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
-    return 2 * pos + F.when(F.coalesce(F.get(splits, pos - 1) == v, F.lit(False)), 0).otherwise(1)
-
-
 def narrowed_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], names: Sequence[str],
                          exact_rows: int = EXACT_ROWS, bins: int = BINS) -> DataFrame:
     """One row per ``by`` group with one column per probability, interpolated linearly.
@@ -72,7 +62,6 @@ def narrowed_percentiles(df: DataFrame, value: str, probs: Sequence[float], by:
                              F.lit(1).alias("up"), F.least(low + 1, F.col("_n") - 1).alias("rank")))).alias("_r"))
     ranks = ranks.select("*", "_r.up", "_r.rank").drop("_r").checkpoint()
     where = ["_lo", "_hi", "_below", "_inside"]
-    steps = (bins + 1).bit_length()
     while True:
         wide = F.col("_lo") < F.col("_hi")
         ranges = ranks.where(wide & (F.col("_inside") > exact_rows)).select(*by, *where).distinct().checkpoint()
@@ -82,7 +71,10 @@ def narrowed_percentiles(df: DataFrame, value: str, probs: Sequence[float], by:
         held = _with_ranges(values, ranges, by, count)
         sketch = held.groupBy(*by, *where).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], 4 * bins).alias("s"))
         cut = sketch.select(*by, *where, F.array_sort(F.array_distinct("s")).alias("_s")).checkpoint()
-        counted = (_with_ranges(values, cut, by, count).withColumn("_bin", _bin(F.col("_s"), F.col("_v"), steps))
+        held = place_among(_with_ranges(values, cut, by, count), F.col("_s"), F.col("_v"), bins - 1, "_place")
+        # 2 * i for the i-th cut value, 2 * i + 1 for values between it and the next, 1 below the first
+        at_cut = F.coalesce(F.get("_s", F.col("_place") - 1) == F.col("_v"), F.lit(False))
+        counted = (held.withColumn("_bin", 2 * F.col("_place") + F.when(at_cut, 0).otherwise(1))
                    .groupBy(*by, *where, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
         # at most 2 * bins rows a range
         order = Window.partitionBy(*by, *where).orderBy("_bin")
