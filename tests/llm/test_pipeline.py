@@ -44,7 +44,7 @@ def test_stages_on_empty_tables(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE) <= set(QUERIES)
     assert [s for s, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
