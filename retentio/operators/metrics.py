@@ -64,17 +64,17 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
                           digits: int = 4) -> DataFrame:
     """class, precision, recall, f1_score, support for each class, then
     'accuracy' (value in f1_score), 'macro avg' and 'weighted avg'.
-    A zero division gives 0."""
+    A zero division gives 0; NULL is a class like any other."""
     lab = F.col(label).cast("string")
     pred = F.col(prediction).cast("string")
     conf = df.groupBy(lab.alias("_l"), pred.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     # confusion table: at most k*k rows
-    support = conf.groupBy(F.col("_l").alias("class")).agg(F.sum("_c").alias("support"))
-    predicted = conf.groupBy(F.col("_p").alias("class")).agg(F.sum("_c").alias("_npred"))
-    correct = conf.where(F.col("_l") == F.col("_p")).groupBy(F.col("_l").alias("class")).agg(
-        F.sum("_c").alias("_tp"))
-    per = (support.join(predicted, "class", "full").join(correct, "class", "left")
-           .na.fill(0, ["support", "_npred", "_tp"]))
+    zero = F.lit(0).cast("bigint")
+    as_label = F.struct(F.col("_l").alias("class"), F.col("_c").alias("support"), zero.alias("_npred"),
+                        F.when(F.col("_l").eqNullSafe(F.col("_p")), F.col("_c")).otherwise(zero).alias("_tp"))
+    as_prediction = F.struct(F.col("_p").alias("class"), zero.alias("support"), F.col("_c").alias("_npred"), zero.alias("_tp"))
+    per = (conf.select(F.inline(F.array(as_label, as_prediction)))
+           .groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "_npred", "_tp")]))
     prec = F.when(F.col("_npred") > 0, F.col("_tp") / F.col("_npred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("_tp") / F.col("support")).otherwise(0.0)
     per = per.withColumns({"precision": prec, "recall": rec})

@@ -175,7 +175,8 @@ def customer_detail(scored: DataFrame, customer_id, digits: int = 6) -> DataFram
     for f in row.schema.fields:
         c = F.col(f.name)
         if f.dataType.typeName() in ("double", "float"):
-            v = F.round(c, digits).cast(f"decimal(38,{digits})").cast("string")
+            # a number of more digits is printed as it is
+            v = F.coalesce(F.round(c, digits).try_cast(f"decimal(38,{digits})").cast("string"), c.cast("string"))
         elif f.dataType.typeName() == "array":
             v = F.to_json(c)
         else:

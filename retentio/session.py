@@ -51,7 +51,7 @@ def checkpoint_base(spark: SparkSession) -> str:
     base = sc.getCheckpointDir()
     if not base:
         conf = spark.conf.get("spark.checkpoint.dir", None)
-        if not conf and not sc.master.startswith("local"):
+        if not conf and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
                                "(checkpoints and scratch tables go there)")
         base = conf or tempfile.mkdtemp(prefix="retentio-ckpt-")

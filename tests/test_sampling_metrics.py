@@ -85,3 +85,11 @@ def test_exact_percentiles_match_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     got = exact_percentiles(df, "v", [0.1, 0.5, 0.9], names=["a", "b", "c"], buckets=32).first()
     assert list(got) == pytest.approx(list(np.quantile(vals, [0.1, 0.5, 0.9])))
+
+
+def test_report_takes_null_as_one_class(spark):
+    from retentio.operators.metrics import classification_report
+    df = spark.createDataFrame([(1, 1), (1, None), (None, None), (None, None), (None, 1), (0, 0)], "label int, prediction int")
+    r = {x["class"]: x for x in classification_report(df, "label", "prediction").collect()}
+    assert len(r) == 6 and r[None]["support"] == 3
+    assert r[None]["precision"] == r[None]["recall"] == 0.6667 and r["1"]["precision"] == 0.5 and r["accuracy"]["f1_score"] == 0.6667

@@ -90,3 +90,10 @@ def test_correlation_constant_column_is_null(spark):
     assert c[("recency", "frequency")] == 1.0 and c[("frequency", "recency")] == 1.0
     assert c[("recency", "risk_score")] is None and c[("risk_score", "risk_score")] is None
     assert c[("recency", "monetary")] == -1.0
+
+
+def test_customer_detail_prints_numbers_of_any_size(spark):
+    df = spark.createDataFrame([("1", 1e33, 0.5, "Low", 1.0, 2.0), ("2", 1.25, 0.5, "Low", 1.0, 2.0)],
+                               "customer_id string, monetary double, risk_score double, risk_label string, recency double, avg_rating double")
+    value = lambda k: dict(map(tuple, vw.customer_detail(df, k).collect()))["monetary"]
+    assert float(value("1")) == 1e33 and value("2") == "1.250000"
