@@ -76,7 +76,8 @@ def main():
             ("train_rf200_depth10", train), ("score_all_customers", score),
             ("top20_interventions", top20), ("orders_trend", trend),
             ("csv_scan", query("csv_scan")), ("monetary_box", query("monetary_box")),
-            ("stratified_split", query("stratified_split")), ("oversample", query("oversample"))]
+            ("stratified_split", query("stratified_split")), ("oversample", query("oversample")),
+            ("cv_folds_together", query("cross_validated_facts"))]
     times = {}
     for name, fn in plan:
         samples = []

@@ -193,3 +193,17 @@ def test_tasks_run_together_and_the_first_failure_ends_all(spark):
     with pytest.raises(ValueError, match="fold"):
         run_together(spark, [endless, fails, endless], 3)
     assert time.time() - t0 < 60 and spark.range(3).count() == 3
+
+
+def test_folds_fitted_together_score_as_in_sequence(spark):
+    from retentio.operators.model import ModelOptions
+    from retentio.plans.training import train
+    r = random.Random(6)
+    df = spark.createDataFrame([(f"c{i}", r.random() + (i % 4 == 0), r.random(), int(i % 4 == 0)) for i in range(160)],
+                               "customer_id string, recency double, frequency double, is_at_risk int")
+    got = []
+    for width in (1, 3):
+        opts = ModelOptions(n_estimators=4, max_depth=3, cv=True, folds=3, parallel_folds=width)
+        _, metrics = train(df, ["recency", "frequency"], opts)
+        got.append(sorted(map(tuple, metrics["cv_scores"].collect())))
+    assert got[0] == got[1] and len(got[0]) == 160
