@@ -1,11 +1,11 @@
 """Benchmark decontamination (native).
 
 The distinct windows of the benchmark (10 consecutive words of an item; a
-shorter item is one window) are hashed into one small set.  Each document's
-word windows are hashed in place and looked up in that set; what hits leaves
-its row and is verified on the words themselves.  The set is sent to the tasks
-only while its counted rows stay below ``BROADCAST_ROWS``; a larger benchmark
-is joined by a shuffle of the window hashes.
+shorter item is one window) are hashed into a set of bits that goes to every
+task: ``BITS_EACH`` bits for a window, and never more than ``MOST_BITS`` (8 MB),
+which a larger benchmark only fills more.  Each document is cut into words once,
+its windows of every length that the items have are hashed in place and tested
+in the set; what hits leaves its row and is verified on the words themselves.
 
 Defined cases: null or empty text has no words and is never hit; an item
 without words has no window; items with equal ids count once; rows equal in
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from retentio.llm.common import Scratch, ascii_lower, load, sha256_hex, with_key
 
 WORDS = 10
-#: Windows of the benchmark up to which their hashes are sent with the plan (about 20 bytes each).
-BROADCAST_ROWS = 50_000
+#: Size of the hash set: bits for each window, and in all; each window sets ``PROBES`` of them.
+BITS_EACH, MOST_BITS, PROBES = 16, 1 << 26, 4
 # every character below 0x80 that is neither a digit nor a letter
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["d", "t"]
@@ -50,40 +50,53 @@ def item_windows(items: DataFrame, n: int = WORDS) -> DataFrame:
             .withColumn("h", F.xxhash64("item_words")))
 
 
-def in_set(array: str, hashes: list[int]) -> Column:
-    """The elements of ``array`` whose ``h`` is one of ``hashes``: a hash set sent with the plan."""
-    return F.expr(f"filter({array}, x -> x.h IN ({', '.join(f'{h}L' for h in hashes)}))")
+def places(h: Column, size: int) -> list[Column]:
+    """The bits of hash ``h`` in a set of ``size`` bits, a power of two."""
+    low, high = h.bitwiseAND(F.lit(2**32 - 1)), F.shiftrightunsigned(h, 32)
+    return [(low + high * j).bitwiseAND(F.lit(size - 1)) for j in range(PROBES)]
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bit_set(hashes: DataFrame, most: int = MOST_BITS) -> list[int]:
+    """The set of all ``h``: numbers of 64 bits, at most ``most`` bits in all."""
+    size = min(most, max(64, 1 << (BITS_EACH * hashes.count()).bit_length()))
+    bits = hashes.select(F.explode(F.array(*places(F.col("h"), size))).alias("p"))
+    words_ = bits.groupBy(F.shiftright("p", 6).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))).alias("w"))
+    out = [0] * (size // 64)
+    for at, w in zip(*words_.toArrow().to_pydict().values()):
+        out[at] = w
+    return out
+
+
+def may_hold(bits: list[int], h: Column) -> Column:
+    """Whether all bits of ``h`` are set; most hashes fail the first."""
+    # one constant for the optimiser to fold, not a node for each number
+    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    tests = [F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+             for p in places(h, 64 * len(bits))]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
+def hits(docs: DataFrame, items: DataFrame, n: int = WORDS, most_bits: int = MOST_BITS) -> DataFrame:
     """(d, t, pos, len, items): each verified occurrence of an item's window in a document."""
-    found = item_windows(items, n)
-    # at most n rows: how many windows there are of each length
-    counted = {r["len"]: r["n"] for r in found.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = sum(counted.values()) <= broadcast_rows
+    found = Scratch(docs.sparkSession, "windows").table(item_windows(items, n))  # read three times
+    # at most n numbers: the lengths that windows have
+    lengths = sorted(r["len"] for r in found.select("len").distinct().collect()) or [n]
+    bits = bit_set(found.select("h").distinct(), most_bits)
     ws = docs.select(*KEY, words(F.col("text")).alias("ws"))
-    out = None
-    for k in sorted(counted) or [n]:
-        cut = ws.select(*KEY, "ws", windows(F.col("ws"), k).alias("wins"))
-        of_len = found.where(F.col("len") == k)
-        if small and counted:
-            # the set travels with the plan; only hits leave the row they are in
-            hashes = [r["h"] for r in of_len.select("h").distinct().collect()]
-            x = (cut.select(*KEY, "ws", in_set("wins", hashes).alias("wins"))
-                 .select(*KEY, F.explode(F.transform("wins", lambda x: F.struct(
-                     x["pos"].alias("pos"), x["h"].alias("h"),
-                     F.slice("ws", x["pos"] + 1, F.lit(k)).alias("item_words")))).alias("x")).select(*KEY, "x.*"))
-        else:
-            # hashes alone meet in a shuffle; the words of what they hit are cut again to verify them
-            x = cut.select(*KEY, F.explode("wins").alias("x")).select(*KEY, "x.*")
-            x = x.join(of_len.select("h").distinct(), "h", "left_semi")
-            x = (x.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "h")).alias("wins")).join(ws, KEY)
-                 .select(*KEY, F.explode(F.transform("wins", lambda x: F.struct(
-                     x["pos"].alias("pos"), x["h"].alias("h"),
-                     F.slice("ws", x["pos"] + 1, F.lit(k)).alias("item_words")))).alias("x")).select(*KEY, "x.*"))
-        x = x.join(of_len, ["h", "item_words"]).select(*KEY, "pos", "len", "items")
-        out = x if out is None else out.unionByName(x)
-    return out
+    none = F.array().cast("array<struct<pos:int,h:bigint,len:int,item_words:array<string>>>")
+
+    def of_length(k):
+        hit = F.filter(windows(F.col("ws"), k), lambda x: may_hold(bits, x["h"]))
+        return F.coalesce(F.transform(hit, lambda x: F.struct(
+            x["pos"].alias("pos"), x["h"].alias("h"), F.lit(k).alias("len"),
+            F.slice("ws", x["pos"] + 1, F.lit(k)).alias("item_words"))), none)
+
+    x = ws.select(*KEY, F.explode(F.concat(*[of_length(k) for k in lengths])).alias("x")).select(*KEY, "x.*")
+    return x.join(found, ["h", "len", "item_words"]).select(*KEY, "pos", "len", "items")
 
 
 def hit_words(found: DataFrame) -> DataFrame:
