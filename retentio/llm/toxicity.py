@@ -11,14 +11,15 @@ the share of toxic documents among the labelled ones that have it.
 The language model interpolates counts of 1 to 4 characters (UTF-8 bytes) over
 the whole corpus, in hashed tables of fixed size.  Word statistics are fitted
 on at most ``FIT_ROWS`` labelled rows, never on the held-out fifth (crc32 of
-the doc_id as text, modulo 5, is 0), and at most ``WORDS`` features are kept.
-Scores read the text alone.
+the doc_id as text, modulo 5, is 0); every feature whose bound is above ``LEAST``
+is kept, and each of them occurs in two toxic rows at least.  Scores read the
+text alone.
 
 Defined cases: null or empty text has no words and gets the score of a text
 without toxic words; a null doc_id is not held out and not fitted on; without
-labelled rows every score is that of the prior; stretches are decoded whole,
-whatever their length (in those of more than ``LONGEST`` characters, a character
-more than three times in a row counts as three times); a word of letters with
+labelled rows every score is that of the prior; a doc_id with both labels counts
+as clean; stretches are decoded whole, whatever their length (a character more
+than three times in a row counts as three times); a word of letters with
 doubled ones, or of pieces with separators between, is read both as it is and
 decoded; two neighbouring pieces of up to ``PIECE`` letters are read as one word
 where the decoding drops the space; rows with equal text get equal scores; extra
@@ -42,7 +43,6 @@ from retentio.llm.common import Scratch, load
 from retentio.llm.tokens import buffers, large, text_chunks, worker_state
 
 FIT_ROWS = 30_000
-WORDS = 4096
 #: Squared width of the confidence bound, and the least bound of a telling feature.
 Z2, LEAST = 7.0, 0.2
 #: Readings of longer stretches are not remembered.
@@ -153,8 +153,9 @@ class Decoder:
             yield "", REPEAT_COST if run > 2 else TWICE_COST
 
     def read(self, text: str) -> str:
+        text = MANY.sub(r"\1\1\1", text)
         if len(text) > LONGEST:
-            return self.search(MANY.sub(r"\1\1\1", text))
+            return self.search(text)
         if text not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -236,7 +237,7 @@ def runs_of(places: list[int]):
             start = i
 
 
-def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most: int = WORDS) -> tuple[float, dict]:
+def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS) -> tuple[float, dict]:
     """(score of a text without telling features, score that each telling feature gives)."""
     usable = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)")
               .select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic"))
@@ -276,9 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, lm, fit_rows: int = FIT_ROWS, most:
     n = F.col("toxic") + F.col("clean")
     share = F.col("toxic") / n
     low = (share + Z2 / (2 * n) - F.sqrt(Z2 * (share * (1 - share) / n + Z2 / (4 * n * n)))) / (1 + Z2 / n)
-    # at most `most` rows
-    rows = (per.where("word != ''").select("word", low.alias("low")).where(F.col("low") > LEAST)
-            .orderBy(F.desc("low"), "word").limit(most).collect())
+    # telling features of the bounded sample
+    rows = per.where("word != ''").select("word", low.alias("low")).where(F.col("low") > LEAST).collect()
     scratch.drop(per)
     # texts without telling features are rarely toxic: half the share of toxic ones, below any feature
     return min(LEAST, 0.5 * n_toxic / max(1, n_clean + n_toxic)), {r["word"]: r["low"] for r in rows}

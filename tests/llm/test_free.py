@@ -265,6 +265,33 @@ def toxic_rows():
     return rows, labels
 
 
+def test_telling_features_against_counting(spark):
+    rows, labels = toxic_rows()
+    docs = frame(spark, rows)
+    lm = toxicity.language_model(docs)
+    decoder, texts = toxicity.Decoder(lm), collections.defaultdict(list)
+    for d, x in rows:
+        texts[d].append(x or "")
+    seen, n = collections.defaultdict(lambda: [0, 0]), [0, 0]
+    for d, y in set(labels):
+        if zlib.crc32(str(d).encode()) % 5:
+            for x in texts[d]:
+                n[y] += 1
+                for f in decoder.features(x):
+                    seen[f][y] += 1
+    z2, expected = toxicity.Z2, {}
+    for f, (clean, toxic) in seen.items():
+        k = clean + toxic
+        low = (toxic / k + z2 / (2 * k) - math.sqrt(z2 * (toxic / k * (clean / k) / k + z2 / (4 * k * k)))) / (1 + z2 / k)
+        if low > toxicity.LEAST:
+            expected[f] = low
+            assert toxic > 1
+    base, got = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), lm)
+    assert expected and got.keys() == expected.keys()
+    assert all(abs(got[f] - v) < 1e-9 for f, v in expected.items())
+    assert base == min(toxicity.LEAST, 0.5 * n[1] / sum(n))
+
+
 def test_toxicity(spark):
     rows, labels = toxic_rows()
     hidden = [(5001, prose(1, 20, 99) + " 1d10t " + prose(2, 20, 99)), (5002, prose(3, 20, 99) + " m.o.r.o.n, " + prose(4, 20, 99)),

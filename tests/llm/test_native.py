@@ -1,10 +1,15 @@
 """Secret scan, fingerprints, line dedup, decontamination and URL filter against plain Python."""
 
+import collections
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from retentio.llm import decontaminate, fingerprints, line_dedup, secrets, url_filter
 from tests.llm.cases import EDGE, frame, rows_of
+from tests.llm.cases import WORDS as WORDLIST
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -50,9 +55,28 @@ def test_secret_scan(spark):
     assert secrets.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def paragraphs_brute(text, n=fingerprints.PIECE, stops=".!?。！？"):
+    out = set()
+    for line in text.split("\n"):
+        at = 0
+        while at < len(line):
+            end = min(at + n, len(line))
+            stop = next((i for i in range(end, min(end + n + 1, len(line))) if line[i] in stops), None)
+            if stop is None and len(line) - end <= n:
+                cut = len(line)
+            elif stop is None:
+                spaces = [i for i in range(end, min(end + n + 1, len(line))) if line[i] in " \t"]
+                opened = [i for i in spaces if line[i + 1:i + 2] and line[i + 1] in fingerprints.OPENERS]
+                cut = (opened or spaces or [end + n])[0]
+            else:
+                cut = next((i for i in range(stop, len(line)) if line[i] not in stops), len(line))
+            out.add(line[at:cut])
+            at = cut
+    return out
+
+
 def fingerprint_brute(rows):
-    piece = re.compile(rf"[^\n]{{1,{fingerprints.PIECE}}}[^\n.!?]*[.!?]*")
-    sets = lambda s: set(piece.findall(s))
+    sets = paragraphs_brute
 
     def like(a, b):
         return round(1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b)), 9)
@@ -84,6 +108,37 @@ def test_fingerprints(spark, monkeypatch):
     assert sorted(map(digest, again), key=repr) == fingerprint_brute(rows)
 
 
+def test_unpunctuated_texts_keep_most_of_their_paragraphs(spark):
+    r = random.Random(5)
+    words = " ".join(r.choice(WORDLIST) + str(r.randrange(99)) for _ in range(5000))
+    rows = [(1, words), (2, "q" * 9000 + words[:9000]), (3, "".join(chr(0x4E00 + r.randrange(4000)) for _ in range(9000))), (4, "end. " * 3000)]
+    assert len(words) > 30_000
+    got = {x.doc_id: x for x in fingerprints.compared(frame(spark, rows)).collect()}
+    assert got[1].near_edited >= 0.5 and got[3].near_edited >= 0.5
+    # a few characters put in at the front change the paragraphs near them alone
+    near = paragraphs_brute(words), paragraphs_brute("put in here " + words)
+    assert len(near[0] & near[1]) > 0.9 * len(near[0])
+
+
+def test_hot_and_absent_ids_spread_over_buckets(spark):
+    rows = [(7, f"text {i} of the hot id, some more words") for i in range(300)] + [(None, f"nameless {i} with words") for i in range(300)]
+    rows += [(i, f"other {i}") for i in range(20, 120)]
+    keyed = fingerprints.with_key(frame(spark, rows))
+    got = [tuple(x) for x in keyed.select(fingerprints.buckets(keyed, 400).alias("b"), "d", "t").orderBy("b", "d", "t").collect()]
+    # buckets follow the order of (d, t), and none is large
+    assert [x[1:] for x in got] == sorted(x[1:] for x in got)
+    for d in (7, -2**63):
+        assert max(collections.Counter(x[0] for x in got if x[1] == d).values()) < 60
+    # runs of buckets give the same order as one window
+    first = keyed.select(fingerprints.buckets(keyed, 400).alias("b"), "d", "t").groupBy("b").agg(
+        F.min(F.struct("d", "t")).alias("f")).select("b", "f.d", "f.t")
+    numbers = [x[0] for x in first.select("b").orderBy("b").collect()]
+    firsts = {(x.d, x.t): x.b for x in first.collect()}
+    for ordered in (3, 4096):
+        to = {firsts[x.d, x.t]: x.to for x in fingerprints.bucket_before(first, ordered).collect()}
+        assert to == dict(zip(numbers, [numbers[-1], *numbers[:-1]]))
+
+
 def test_fingerprints_ties_empty_and_single(spark):
     assert fingerprints.compared(frame(spark, EDGE)).count() == len(EDGE)
     assert fingerprints.compared(frame(spark, EDGE).limit(0)).count() == 0
@@ -158,7 +213,7 @@ def test_decontamination(spark):
     assert read(decontaminate.contamination(docs, items)) == expected
     # the way of a benchmark too large to send with the plan
     keyed = decontaminate.with_key(docs)
-    large = decontaminate.hits(keyed, items, broadcast_rows=0)
+    large = decontaminate.hits(keyed, items, most_bits=64)
     small = decontaminate.hits(keyed, items)
     key = lambda df: sorted((r.d, r.t, r.pos, r.len, tuple(sorted(r["items"]))) for r in df.distinct().collect())
     assert key(large) == key(small)
