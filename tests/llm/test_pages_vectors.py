@@ -223,6 +223,40 @@ def test_hard_negatives(spark, monkeypatch, grain, anchors, block):
     assert len(expected) > 100 and rows_of(got) == expected
 
 
+def contract_brute(rows):
+    """Every row is one, whatever its id."""
+    own = [(i, (la + 1) % 10 if i is not None and i % 7 == 0 else la, [math.floor(256 * x) for x in v]) for i, v, la in rows
+           if la is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, la, va) in enumerate(own):
+        if i is None or i % 100:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(va, v)), j is None, j or 0, label) for b, (j, label, v) in enumerate(own) if b != a)
+        for p, none, pid, _ in [s for s in scored if s[3] == la][:5]:
+            fit = [s for s in scored if s[3] != la and 80 * -p <= 100 * -s[0] <= 100 * -p][:5]
+            out += [(i, None if none else pid, n + 1, None if u else j, -p, -s) for n, (s, u, j, _) in enumerate(fit)]
+    return sorted(out, key=repr)
+
+
+def test_hard_negatives_of_repeated_missing_and_large(spark, tmp_path):
+    """The query counts rows of one id, and of none, each, and large components too."""
+    rows = [(i * 5, v, label) for i, v, label in labelled(8, 300, 6, 4, 4)]
+    rows += rows[::20] + [(i, v[::-1], 1) for i, v, _ in rows[::30]] + [(None, [1.5] * 6, label) for label in (0, 1, 2, 2)]
+    rows += [(2000, [3e5, 0.5, 0.0, 0.0, 0.0, 0.0], 1), (2001, [4e5, 0.0, 0.0, 0.0, 0.0, 0.0], 1), (2002, [3.9e5] + [0.0] * 5, 2),
+             (2100, [1e7] * 6, 2), (2003, [1e7] * 6, 2), (2004, [9e6] * 6, 0), (2005, None, 1), (2006, [1.0] * 6, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    expected = contract_brute(rows)
+    assert any(r[3] is None for r in expected) and rows_of(hard_negatives.op13_hard_negatives(spark, str(tmp_path))) == expected
+
+
+def test_products_beyond_a_long_are_cut_to_it():
+    a = np.array([[1 << 40, 1 << 40], [3, -5]])
+    b = np.array([[1 << 40, 1 << 40], [1 << 40, -(1 << 40)], [-(1 << 40), 0], [1 << 22, 7]])
+    most = hard_negatives.MOST
+    assert hard_negatives.products(a, b).tolist() == [[most, 0, -most, (1 << 62) + (7 << 40)], [-(2 << 40), 8 << 40, -(3 << 40), (3 << 22) - 35]]
+
+
 @pytest.mark.parametrize("rows", [[], [(100, [1.0], 1)], [(100, [1.0], 1), (101, [1.0], 2)], [(100, [1.0], 1), (101, [1.0], 1)]])
 def test_hard_negatives_of_few(spark, rows):
     ints = hard_negatives.integer_rows(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
