@@ -1,7 +1,9 @@
 """Fitted text encoder (M1): hashed TF-IDF, then truncated SVD of the corpus.
 
 Terms are letters and digits in lower case, hashed into ``buckets`` (md5, so
-any engine names the same bucket).  Fitting takes two passes over the feedback:
+any engine names the same bucket).  Texts are cut into terms on the JVM; tasks
+hash each distinct term of an Arrow batch once, however often it comes up.
+Fitting takes two passes over the feedback:
 
 1. document frequencies per bucket, giving ``idf = ln((n + 1) / (df + 1))``;
 2. the Gram matrix of the weighted, unit-length term vectors.  Each task adds
@@ -19,6 +21,7 @@ vector; a customer with nothing else keeps the zero vector.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from dataclasses import dataclass
 
@@ -27,13 +30,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.resolve import with_text_column
 from retentio.operators.features import KEY
-from retentio.operators.ranking import hash_int
 
 EMBEDDING = "emb_vector"
 BUCKETS = 512
@@ -46,10 +48,28 @@ CHUNK = 1024
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def term_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket of every term of a text, repetitions included; empty for a null text."""
-    terms = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
-    return F.transform(terms, lambda t: (hash_int(t) % buckets).cast("int"))
+def split_terms(text: Column) -> Column:
+    """Terms of a text in order, empty strings among them; none for a null text."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All elements of a list column, and its offsets among them."""
+    off = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.slice(off[0], off[-1] - off[0]), off - off[0]
+
+
+def term_buckets(terms: pa.Array, buckets: int = BUCKETS) -> pa.Array:
+    """Buckets of lists of terms, repetitions included, empty strings left out."""
+    flat, off = _flat(terms)
+    coded = flat.dictionary_encode()
+    # hash_int's first 15 hex digits; -1 for the empty string
+    named = np.asarray([int(hashlib.md5(t).hexdigest()[:15], 16) % buckets if t else -1
+                        for t in coded.dictionary.cast(pa.binary()).to_pylist()], np.int32)
+    at = named[coded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
+    held = at >= 0
+    kept = np.r_[0, np.cumsum(held)][off]
+    return pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(at[held]))
 
 
 def feedback_terms(feedback: DataFrame, buckets: int = BUCKETS) -> DataFrame | None:
@@ -59,29 +79,52 @@ def feedback_terms(feedback: DataFrame, buckets: int = BUCKETS) -> DataFrame | N
     fb = with_text_column(feedback)
     if fb is None:
         return None
-    return fb.where(F.col(KEY).isNotNull()).select(KEY, term_buckets(F.col("feedback_text"), buckets).alias("terms"))
+    fb = fb.where(F.col(KEY).isNotNull()).select(KEY, split_terms(F.col("feedback_text")).alias("terms"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), term_buckets(batch.column("terms"), buckets)], names=[KEY, "terms"])
+
+    return fb.mapInArrow(run, f"{KEY} {fb.schema[KEY].dataType.simpleString()}, terms array<int>")
 
 
 def inverse_document_frequencies(terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, df, idf) of every bucket; rows without a term are no documents."""
-    held = terms.where(F.size("terms") > 0)
-    # one row a task and bucket is shuffled; -1 counts the documents
-    df = (held.select(F.explode(F.array_append(F.array_distinct("terms"), F.lit(-1))).alias("bucket"))
-          .groupBy("bucket").agg(F.count(F.lit(1)).alias("df")))
-    every = terms.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    n = df.where("bucket = -1").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"))
-    return (every.join(df, "bucket", "left").crossJoin(F.broadcast(n))  # n is one row
-            .select("bucket", F.coalesce("df", F.lit(0)).cast("bigint").alias("df"),
-                    F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf")))
+    def run(batches):
+        # the last place counts the documents
+        total = np.zeros(buckets + 1, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK):
+                held = counted(batch.column("terms").slice(a, CHUNK), buckets) > 0
+                total += np.r_[held.sum(0), held.any(1).sum()]
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "df"])
+
+    # one row a task and bucket is shuffled
+    df = terms.select("terms").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    every = terms.sparkSession.range(buckets + 1).withColumnRenamed("id", "bucket").join(df, "bucket", "left")
+    w = Window.partitionBy()  # over the table of buckets
+    every = every.select("bucket", F.coalesce("df", F.lit(0)).alias("df")).withColumn(
+        "n", F.max(F.when(F.col("bucket") == buckets, F.col("df"))).over(w)).where(F.col("bucket") < buckets)
+    return every.select(F.col("bucket").cast("int").alias("bucket"), "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+
+
+def counted(terms: pa.Array, buckets: int) -> np.ndarray:
+    """Term counts by bucket, one row a text."""
+    flat, off = _flat(terms)
+    row = np.repeat(np.arange(len(terms)), np.diff(off))
+    return np.bincount(row * buckets + flat.to_numpy(zero_copy_only=False).astype(np.int64),
+                       minlength=len(terms) * buckets).reshape(len(terms), buckets)
 
 
 def dense(terms: pa.Array, idf: np.ndarray) -> np.ndarray:
     """Weighted term vectors, one row a text."""
-    off = terms.offsets.to_numpy().astype(np.int64)
-    flat = terms.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(terms)), np.diff(off))
-    counts = np.bincount(row * len(idf) + flat, minlength=len(terms) * len(idf))
-    return counts.reshape(len(terms), len(idf)) * idf
+    return counted(terms, len(idf)) * idf
+
+
+def _rows(x: np.ndarray) -> pa.Array:
+    """A matrix as a list column, one row each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
 
 
 def gram_matrix(terms: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -95,7 +138,7 @@ def gram_matrix(terms: DataFrame, idf: np.ndarray) -> np.ndarray:
                 x = x[length > 0] / length[length > 0][:, None]
                 total += x.T @ x
         used = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))],
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), _rows(total[used])],
                                          names=["i", "row"])
 
     rows = (terms.select("terms").mapInArrow(run, "i int, row array<double>")
@@ -168,8 +211,7 @@ class TextSvd:
                 for a in range(0, batch.num_rows, CHUNK):
                     part = batch.slice(a, CHUNK)
                     x = dense(part.column("terms"), idf) @ directions
-                    yield pa.RecordBatch.from_arrays([part.column(KEY), pa.array(list(x), pa.list_(pa.float64()))],
-                                                     names=[KEY, "x"])
+                    yield pa.RecordBatch.from_arrays([part.column(KEY), _rows(x)], names=[KEY, "x"])
 
         summed = (terms.mapInArrow(run, f"{KEY} {key_type}, x array<double>")
                   .groupBy(KEY).agg(Summarizer.sum(array_to_vector("x")).alias("x")))
@@ -189,8 +231,24 @@ def weighted_norms(feedback: DataFrame, buckets: int = BUCKETS) -> DataFrame | N
     terms = feedback_terms(feedback, buckets)
     if terms is None:
         return None
-    counts = (terms.select(KEY, F.explode_outer("terms").alias("bucket"))
-              .groupBy(KEY, "bucket").agg(F.count("bucket").alias("tf")))
+    key_type = terms.schema[KEY].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            flat, off = _flat(batch.column("terms"))
+            keys = batch.column(KEY).dictionary_encode()
+            owner = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            cell, tf = np.unique(np.repeat(owner, np.diff(off)) * buckets + flat.to_numpy(zero_copy_only=False), return_counts=True)
+            whose, bucket = np.divmod(cell, buckets)
+            bare = np.setdiff1d(owner, whose)  # customers without a term keep a row
+            yield pa.RecordBatch.from_arrays(
+                [keys.dictionary.take(pa.array(np.r_[whose, bare])),
+                 pa.array(np.r_[bucket, np.zeros(len(bare), np.int64)], pa.int32(), mask=np.arange(len(cell) + len(bare)) >= len(cell)),
+                 pa.array(np.r_[tf, np.zeros(len(bare), np.int64)])], names=[KEY, "bucket", "tf"])
+
+    # a row is a customer's count of a bucket in one batch
+    counts = (terms.mapInArrow(run, f"{KEY} {key_type}, bucket int, tf long")
+              .groupBy(KEY, "bucket").agg(F.sum("tf").alias("tf")))
     idf = inverse_document_frequencies(terms, buckets)
     weighted = counts.join(F.broadcast(idf), "bucket", "left")  # `buckets` rows
     w = F.coalesce(F.col("tf") * F.col("idf"), F.lit(0.0))

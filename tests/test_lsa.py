@@ -111,3 +111,19 @@ def test_training_and_scoring_carry_the_fitted_encoder(spark, tmp_path):
     scored = scored_customers(spark, orders, None, fb, path, as_of="2001-08-02")
     by = {x["customer_id"]: x["risk_score"] for x in scored.select("customer_id", "risk_score").collect()}
     assert len(by) == 80 and min(by[f"c{i}"] for i in range(0, 80, 4)) > max(by[f"c{i}"] for i in range(1, 80, 4))
+
+
+def test_terms_are_hashed_once_a_batch(monkeypatch):
+    """A term that comes up often is hashed once; empty strings are no terms."""
+    import pyarrow as pa
+    hashed, md5 = [], hashlib.md5
+    monkeypatch.setattr(lsa.hashlib, "md5", lambda t: hashed.append(t) or md5(t))
+    got = lsa.term_buckets(pa.array([["x", "a", "", "a"], [""], [], ["b", "a"] * 50]).slice(1), 64).to_pylist()
+    own = [int(md5(t).hexdigest()[:15], 16) % 64 for t in (b"b", b"a")]
+    assert got == [[], [], own * 50] and sorted(hashed) == [b"a", b"b"]
+
+
+def test_document_frequencies_read_the_feedback_once(spark, tmp_path, capsys):
+    spark.createDataFrame(table(), "customer_id string, feedback_text string, feedback_id long").write.parquet(f"{tmp_path}/f")
+    lsa.inverse_document_frequencies(lsa.feedback_terms(spark.read.parquet(f"{tmp_path}/f"))).explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
