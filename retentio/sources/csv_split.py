@@ -148,7 +148,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.col("value").alias("line")))
     notes = _noted(lines)
-    told = notes.join(_range_starts(notes), ["file", "block"])
+    # one row a byte range: the lines stay where they are
+    told = notes.join(F.broadcast(_range_starts(notes)), ["file", "block"])
 
     def by_start(name):
         return F.when(F.col("inside"), F.col(f"q_{name}")).otherwise(F.col(f"u_{name}"))

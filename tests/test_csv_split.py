@@ -131,3 +131,17 @@ def test_empty_files(spark, tmp_path, ranges):
     whole, parts = both(spark, str(tmp_path))
     assert parts == whole == [("1", "x\ny")]
     assert CSV_OPTIONS["quote"] == '"'
+
+
+def test_lines_are_not_shuffled_to_learn_their_ranges_start(spark, tmp_path, capsys):
+    """One row a range goes to the lines, however small the broadcast threshold."""
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        csv_split.records(spark, str(tmp_path)).explain()
+    finally:
+        spark.conf.set(key, old)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
