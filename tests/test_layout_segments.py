@@ -207,3 +207,18 @@ def test_folds_fitted_together_score_as_in_sequence(spark):
         _, metrics = train(df, ["recency", "frequency"], opts)
         got.append(sorted(map(tuple, metrics["cv_scores"].collect())))
     assert got[0] == got[1] and len(got[0]) == 160
+
+
+def test_the_final_fit_runs_beside_the_folds(spark, monkeypatch):
+    from retentio.operators.model import ModelOptions
+    from retentio.plans import training
+    calls, together = [], training.run_together
+    monkeypatch.setattr(training, "run_together", lambda s, tasks, width: calls.append((len(tasks), width)) or together(s, tasks, width))
+    df = spark.createDataFrame([(f"c{i}", float(i % 9), int(i % 4 == 0)) for i in range(60)], "customer_id string, recency double, is_at_risk int")
+    model, metrics = training.train(df, ["recency"], ModelOptions(n_estimators=2, max_depth=2, cv=True, folds=3, parallel_folds=3))
+    assert calls == [(4, 4)] and model.stages and metrics["cv_scores"].count() == 60
+
+
+def test_statistics_of_an_executors_tasks_fit_its_memory():
+    from retentio.operators.model import ModelOptions
+    assert 4 * ModelOptions().max_memory_mb <= 1024
