@@ -152,6 +152,44 @@ def test_ids_of_words_are_the_tokenizers_ids():
         assert ids[off[i]:off[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_each_distinct_word_asks_the_table_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            self.asked += 1
+            return super().__contains__(k)
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    tok = Tokenizer.from_str(vocabulary)
+    words = ["Abc", "x1y", "été", "ª", "straße", "42.1", "b" * 60, "7" * 60, "ÀÖ", "zz", "...", "n" * 48]
+    ids_of = tokens.WordIds(vocabulary)
+    ids_of.place = Counting()
+    for texts in ([" ".join(words)], [" ".join(reversed(words)), "new zz 42.1 new"]):
+        ids, off = ids_of.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[off[i]:off[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert ids_of.place.asked == len(words) + len(words) + 1
+    # a full table forgets words and finds their ids again
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 8)
+    for _ in range(3):
+        for w in words:
+            assert ids_of.encode(pa.array([w + " zz"]))[0].tolist() == tok.encode(w + " zz", add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
