@@ -52,6 +52,50 @@ def test_suffix_dedup(spark, monkeypatch, heavy):
     assert suffix_dedup.drop_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_range_minima_are_exact_and_take_few_bytes():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 31, 32, 33, 63, 64, 65, 97, 1000, 1 << 16):
+        x = rng.integers(0, 200, n).astype(np.uint8)
+        least = suffix_dedup.RangeMin(x)
+        a, b = np.sort(rng.integers(0, n, (2, 500)), axis=0)
+        assert least(a, b).tolist() == [x[i:j + 1].min() for i, j in zip(a, b)]
+    held = sum(v.nbytes for v in vars(least).values() if isinstance(v, np.ndarray))
+    assert held < 8 * n  # a table of all powers of two takes 17 bytes an element
+
+
+def test_hashes_and_minima_do_not_depend_on_blocks(monkeypatch):
+    raw = np.random.default_rng(8).integers(0, 256, 3000).astype(np.uint8)
+    whole = suffix_dedup.runs(raw, np.array([0, 20, 900, 900, 3000]))
+    least = suffix_dedup.sliding_min(raw, 31)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    for x, y in zip(whole, suffix_dedup.runs(raw, np.array([0, 20, 900, 900, 3000]))):
+        assert x.tolist() == y.tolist()
+    assert least.tolist() == suffix_dedup.sliding_min(raw, 31).tolist() == [raw[i:i + 31].min() for i in range(2970)]
+    assert len(suffix_dedup.kmer_hashes(raw[:5], 20)) == len(suffix_dedup.sliding_min(raw[:5], 31)) == 0
+
+
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 10])
+def test_cut_keeps_the_bytes_outside_the_ranges(monkeypatch, chunk):
+    import pyarrow as pa
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rows = [(3, "abcdef", [(0, 2), (2, 3)]), (None, "é" * 4, [(0, 4), (3, 5)]), (3, "", None), (4, "xyz", []), (5, "klm", [(0, 3)]),
+            (6, "nop", [(0, 1), (2, 3), (0, 1)]), (7, "0123456789" * 3, [(20, 30), (5, 9), (6, 8)]), (8, None, None)]
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([-2**63 if d is None else d for d, _, _ in rows], pa.int64()), pa.array([t for _, t, _ in rows], pa.string()),
+        pa.array([r if r is None else [{"a": a, "b": b} for a, b in r] for _, _, r in rows], kind)], names=["d", "text", "ranges"])
+    batches = list(suffix_dedup.cut([batch.slice(0, 0), batch.slice(0, 3), batch.slice(3)]))
+    # a batch is worked on in runs of rows, not as Python lists of all its ranges at once
+    assert len(batches) == 2 if chunk > 10 else len(batches) > 2
+    got = [r for b in batches for r in b.to_pylist()]
+    for r, (d, text, ranges) in zip(got, rows, strict=True):
+        raw = (text or "").encode()
+        gone = {i for a, b in ranges or () for i in range(a, b)}
+        kept = bytes(x for i, x in enumerate(raw) if i not in gone)
+        assert r == {"doc_id": d, "n_bytes": len(raw), "n_removed": len(gone), "n_spans": sum(i - 1 not in gone for i in gone),
+                     "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
+
+
 def test_suffix_dedup_tells_rows_of_one_id_apart_by_64_bits(spark):
     # two texts whose 16-bit hashes are equal, under one id, each with a passage of an earlier document
     texts = [f"{i} " + prose(7000 + i, 14 + i % 9) + f" {i}" for i in range(1500)]
