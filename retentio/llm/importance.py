@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, load
+from retentio.llm.common import Scratch, load, small_batches
 from retentio.llm.tokens import buffers, from_buffers, large, text_chunks
 
 BUCKETS = 1 << 16
@@ -122,9 +122,16 @@ def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
     kind = rows.schema["row"].dataType
+    at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
+    inside = docs.dtypes[at][1] == "string"
+    if inside:  # the text goes to Python once, in its row
+        rows = rows.select("row")
 
     def run(batches):
         for batch in batches:
+            if inside:
+                row = batch.column("row")
+                batch = pa.RecordBatch.from_arrays([row, row.field(at)], names=["row", "text"])
             for part in text_chunks(batch, "text"):
                 f, off = features(part.column("text"))
                 value, n = shared.value[f], np.diff(off)
@@ -178,9 +185,12 @@ def select_rows(docs: DataFrame, labels: DataFrame, good_share: float = GOOD_SHA
     # at most target_rows ids: the bounded sample that the target model is fitted on
     target = good.where(half == 0).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(target_rows).toArrow()
     ids = np.sort(target.column("id").to_numpy())
-    rows = weighted(docs, log_ratios(counts(docs, ids)))
+    with small_batches(docs.sparkSession):
+        ratios = log_ratios(counts(docs, ids))
+    rows = weighted(docs, ratios)
     noise = gumbel(seed, F.col("row.doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
-    rows = scratch.table(rows.withColumn("score", F.col("log_weight") + noise))
+    with small_batches(docs.sparkSession):
+        rows = scratch.table(rows.withColumn("score", F.col("log_weight") + noise))
     scores = rows.select(F.col("row.doc_id").cast("long").alias("id"), "score")
     held = scores.join(good.where(half == 1), "id").select("score")
     n_held = held.count()

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, load, with_key
+from retentio.llm.common import Scratch, load, small_batches, with_key
 from retentio.llm.suffix_dedup import in_two
 from retentio.llm.tokens import large, text_chunks
 
@@ -391,7 +391,8 @@ def similar_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, t, n, comp) of each row of (doc_id, d, t, text); comp is null for empty sets."""
-    members, labels = similar_classes(docs, Scratch(docs.sparkSession, "jaccard"))
+    with small_batches(docs.sparkSession):
+        members, labels = similar_classes(docs, Scratch(docs.sparkSession, "jaccard"))
     return members.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
 
 

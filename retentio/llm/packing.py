@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, id_and_text, load
-from retentio.llm.tokens import WordIds, text_chunks, worker_state
+from retentio.llm.common import Scratch, id_and_text, load, small_batches
+from retentio.llm.tokens import WordIds, leave_stage, stage_state, text_chunks
 
 CAPACITY = 2048
 PIECE = 512
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, piece
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary, a few MB
 
     def run(batches):
-        ids_of = worker_state(("ids", zlib.crc32(shipped.value.encode())), lambda: WordIds(shipped.value))
+        ids_of = stage_state(("ids", zlib.crc32(shipped.value.encode())), lambda: WordIds(shipped.value))
         for batch in batches:
             for rows in text_chunks(batch, "text"):
                 flat, off = ids_of.encode(rows.column("text"))
@@ -127,6 +127,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack_group(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
+    leave_stage()
     rows = rows.sort_values("rid", kind="stable")
     whole = rows["length"].to_numpy() == capacity
     rest = rows["length"].to_numpy()[~whole].astype(np.int64)
@@ -147,7 +148,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, piece:
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = f.read()
-    cut = Scratch(spark, "packing").table(pieces(docs, vocabulary, capacity, piece))
+    with small_batches(spark):
+        cut = Scratch(spark, "packing").table(pieces(docs, vocabulary, capacity, piece))
     groups = max(1, -(-cut.count() // group))
     # the written table does not change, so neither does the number given to its rows
     numbered = cut.withColumn("rid", F.monotonically_increasing_id())

@@ -17,6 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Words remembered by one Python worker; beyond it, those that came up only once are forgotten.  Longer
 #: words than ``LONG_WORD`` are never remembered, so the table is bounded in bytes, too.
@@ -34,6 +35,30 @@ def worker_state(key, make):
     return kept[key]
 
 
+def stage_state(key, make):
+    """A value that lives until the Python worker runs ``leave_stage`` in a task of another stage."""
+    states = worker_state("stages", dict)
+    if key not in states:
+        states[key] = [None, make()]
+    states[key][0] = stage_id()
+    return states[key][1]
+
+
+def stage_id() -> int | None:
+    task = TaskContext.get()
+    return task.stageId() if task else None
+
+
+def leave_stage() -> None:
+    """Let go of what other stages kept: a reused worker would hold it beside the work of its own."""
+    states, now = worker_state("stages", dict), stage_id()
+    old = [key for key, (stage, _) in states.items() if stage != now]
+    for key in old:
+        del states[key]
+    if old:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a reused worker would hold the most that any stage took."""
     pa.default_memory_pool().release_unused()
@@ -43,6 +68,7 @@ def give_back() -> None:
 
 def text_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):
     """``batch`` in runs of rows whose texts take about ``most`` bytes; one longer text is a run."""
+    leave_stage()
     n = batch.num_rows
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     run = np.cumsum(sizes) // most if n else sizes
