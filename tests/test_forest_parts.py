@@ -81,3 +81,18 @@ def test_parts_score_as_all_trees(spark, monkeypatch):
         if (r.recency, r.monetary) in want:
             assert r.risk_score == pytest.approx(want[r.recency, r.monetary], abs=1e-12)
     assert roc_auc(got, "is_at_risk", "risk_score").first()[0] > 0.9
+
+
+def test_parts_are_saved_and_reloaded(spark, monkeypatch, tmp_path):
+    model, _ = _fitted(spark, monkeypatch)
+    path = f"{tmp_path}/model"
+    mod.save_model(model, mod.ModelMeta(COLS, None), path)
+    loaded, meta = mod.load_model(spark, path)
+    assert meta.forest_parts == 3 and all(p.startswith(path) for p in loaded.paths)
+    a, b = (sorted((str(tuple(r)) for r in mod.predict(m, _rows(spark), COLS).collect())) for m in (model, loaded))
+    assert a == b
+    # a smaller forest in the same folder does not take up the old parts
+    small, _ = _fitted(spark, monkeypatch, nodes=1_000_000, n_estimators=2)
+    mod.save_model(small, mod.ModelMeta(COLS, None), path)
+    again, meta = mod.load_model(spark, path)
+    assert meta.forest_parts == 0 and again.stages[-1].getNumTrees == 2
