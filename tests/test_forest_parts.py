@@ -96,3 +96,15 @@ def test_parts_are_saved_and_reloaded(spark, monkeypatch, tmp_path):
     mod.save_model(small, mod.ModelMeta(COLS, None), path)
     again, meta = mod.load_model(spark, path)
     assert meta.forest_parts == 0 and again.stages[-1].getNumTrees == 2
+
+
+def test_cross_validation_in_parts_does_not_depend_on_what_runs_at_a_time(spark, monkeypatch):
+    from retentio.plans.training import train
+    monkeypatch.setattr(mod, "NODES_AT_ONCE", 1_000)
+    df = _rows(spark).withColumn("customer_id", F.monotonically_increasing_id().cast("string"))
+    got = []
+    for width in (1, 3):
+        model, metrics = train(df, COLS, mod.ModelOptions(n_estimators=6, cv=True, folds=2, parallel_folds=width))
+        assert len(model.paths) > 1
+        got.append(sorted(map(tuple, metrics["cv_scores"].collect())))
+    assert got[0] == got[1] and len(got[0]) == 400
